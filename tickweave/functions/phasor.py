@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: exact channel-name aliases, after upper-casing and stripping ---
@@ -146,50 +146,67 @@ def display_label(name) -> Column:
     return F.nullif(F.upper(_first_class(bare, rules)), F.lit(""))
 
 
-def standard_slots(channels) -> Column:
-    """STRUCT va, vb, vc, ia out of ARRAY<STRUCT<name, mag, deg>>.
+def with_classes(channels) -> Column:
+    """ARRAY<STRUCT<name, mag, deg>> with the class and upper-case name of each channel."""
+    return F.transform(_col(channels), lambda c: tagged(c["name"], c["mag"], c["deg"], channel_class(c["name"])))
+
+
+def tagged(name: Column, mag: Column, deg: Column, cls: Column) -> Column:
+    return F.struct(
+        name.alias("name"), mag.alias("mag"), deg.alias("deg"), cls.alias("cls"), F.upper(F.trim(name)).alias("up")
+    )
+
+
+def last_of(channels, cls: str) -> Column:
+    """The last channel of a class, NULL when there is none; ``channels`` carry ``cls``."""
+    return F.try_element_at(F.filter(_col(channels), lambda t: t["cls"] == cls), F.lit(-1))
+
+
+def with_standard_slots(df: DataFrame, channels: str = "channels") -> DataFrame:
+    """Add ``va``, ``vb``, ``vc``, ``ia`` (STRUCT with mag and deg) from classified channels.
 
     The last classified channel fills its slot; an empty slot falls back to the n-th
-    voltage (or first current) channel, then to the position in the frame.
+    voltage (or first current) channel, then to the position in the frame. The steps are
+    separate projections, so that no array is searched twice for one slot.
     """
-    channels = _col(channels)
-    zero = F.struct(F.lit("").alias("name"), F.lit(0.0).alias("mag"), F.lit(0.0).alias("deg"))
-    tagged = F.transform(
-        channels,
-        lambda c: F.struct(
-            F.struct(c["name"].alias("name"), c["mag"].alias("mag"), c["deg"].alias("deg")).alias("c"),
-            channel_class(c["name"]).alias("cls"),
-            F.upper(F.trim(c["name"])).alias("up"),
-        ),
-    )
-    pick = lambda arr, i: F.get(arr, F.lit(i))["c"]
-    last = lambda cls: F.try_element_at(F.filter(tagged, lambda t: t["cls"] == cls), F.lit(-1))["c"]
-    of_kind = lambda kind: F.filter(
-        tagged,
-        lambda t: t["cls"].startswith(kind.lower()) | ((t["cls"] == "") & t["up"].startswith(kind)),
-    )
-    volts, amps = of_kind("V"), of_kind("I")
+    at = lambda arr, i: F.get(F.col(arr), F.lit(i))
     filled = lambda p: F.coalesce(p["mag"], F.lit(0.0)) != 0
-    slot = lambda own, other: F.coalesce(F.when(filled(own), own), other, own, zero)
-    va, vb, vc = (slot(last(c), pick(volts, i)) for i, c in enumerate(("va", "vb", "vc")))
-    ia = slot(last("ia"), pick(amps, 0))
+    slot = lambda own, other: F.coalesce(F.when(filled(own), own), other, own)
+
+    def of_kind(kind: str) -> Column:
+        mine = lambda t: t["cls"].startswith(kind.lower()) | ((t["cls"] == "") & t["up"].startswith(kind))
+        return F.filter(F.col(channels), mine)
+
+    va, vb, vc, ia = (F.col(p) for p in ("va", "vb", "vc", "ia"))
+    staged = df.select(
+        "*",
+        of_kind("V").alias("_volts"),
+        of_kind("I").alias("_amps"),
+        *(last_of(channels, p).alias(p) for p in ("va", "vb", "vc", "ia")),
+    ).withColumns(
+        {
+            "va": slot(va, at("_volts", 0)),
+            "vb": slot(vb, at("_volts", 1)),
+            "vc": slot(vc, at("_volts", 2)),
+            "ia": slot(ia, at("_amps", 0)),
+        }
+    )
     by_position = ~filled(va) & ~filled(vb) & (F.size(channels) >= 4)
-    va, vb, vc, ia = (F.when(by_position, pick(tagged, i)).otherwise(p) for i, p in enumerate((va, vb, vc, ia)))
-    va = slot(va, pick(tagged, 0))
-    second = F.get(tagged, F.lit(1))
+    staged = staged.withColumn("_by_position", by_position).withColumns(
+        {p: F.when(F.col("_by_position"), at(channels, i)).otherwise(F.col(p)) for i, p in enumerate(("va", "vb", "vc", "ia"))}
+    )
+    second = at(channels, 1)
     second_is_current = (second["cls"] == "ia") | second["up"].startswith("I")
-    ia = F.when(
-        ~filled(ia) & (F.size(channels) >= 2),
-        F.coalesce(pick(amps, 0), F.when(second_is_current, second["c"]), ia),
-    ).otherwise(ia)
-    return F.struct(va.alias("va"), vb.alias("vb"), vc.alias("vc"), ia.alias("ia"))
+    lone = F.coalesce(at("_amps", 0), F.when(second_is_current, second), ia)
+    return staged.withColumns(
+        {"va": slot(va, at(channels, 0)), "ia": F.when(~filled(ia) & (F.size(channels) >= 2), lone).otherwise(ia)}
+    ).drop("_volts", "_amps", "_by_position")
 
 
-def trend_values(channels, slots: dict[str, Column], field: str) -> dict[str, Column]:
-    """Six values va..ic: the last classified channel, else the slot value, else 0."""
-    channels = _col(channels)
+def trend_values(channels, field: str) -> dict[str, Column]:
+    """Six values va..ic of rows with slots: the last classified channel, else the slot, else 0."""
     out = {}
     for cls in CHANNEL_ALIASES:
-        found = F.filter(channels, lambda c, cls=cls: channel_class(c["name"]) == cls)
-        out[cls] = F.coalesce(F.try_element_at(found, F.lit(-1))[field], slots.get(cls, F.lit(0.0)), F.lit(0.0))
+        slot = F.col(cls)[field] if cls in ("va", "vb", "vc", "ia") else F.lit(None).cast("double")
+        out[cls] = F.coalesce(last_of(channels, cls)[field], slot, F.lit(0.0))
     return out

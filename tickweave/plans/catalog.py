@@ -2,6 +2,7 @@
 
 from tickweave.plans import (  # noqa: F401
     q_align,
+    q_decode,
     q_quality,
     q_scalars,
 )

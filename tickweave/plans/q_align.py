@@ -106,22 +106,10 @@ def _(spark, sf):
     return align.align_points(edge, expected(edge), HALF_HOUR_US).select("tick_us", "pmu_id", "meas_us", "arrival_seq")
 
 
-@query(
-    "align_volume",
-    f"""
-SELECT tick_us, pmu_id, {r6('arg_min(freq, k)')} AS freq FROM (
-  SELECT *, ((meas_us + 1800000000) // 3600000000) * 3600000000 AS tick_us,
-    abs(meas_us - ((meas_us + 1800000000) // 3600000000) * 3600000000) * 2
-      + CASE WHEN meas_us > ((meas_us + 1800000000) // 3600000000) * 3600000000 THEN 1 ELSE 0 END AS k
-  FROM (SELECT pmu_id, meas_us, arg_max(freq, arrival_seq) AS freq FROM frames_bench GROUP BY ALL)
-  WHERE meas_us % 3600000000 <> 1800000000)
-WHERE tick_us <= (SELECT min(m) FROM (SELECT max(meas_us) AS m FROM frames_bench GROUP BY pmu_id))
-GROUP BY tick_us, pmu_id
-""",
-)
+_aligned_sql("bench", "frames_bench", v.HOUR_US, "arrival_seq, pmu_id, meas_us, freq, va_mag")
+
+
+@query("align_volume", f"SELECT tick_us, pmu_id, {r6('freq')} AS freq FROM bench_points")
 def _(spark, sf):
     rows = v.frames_bench(spark, sf)
-    inner = rows.filter(F.col("meas_us") % v.HOUR_US != v.HOUR_US // 2)
-    pts = align.nearest_tick(inner, v.HOUR_US)
-    frontier = align.fleet_bounds(align.device_bounds(rows, expected(rows))).select("min_newest_us").scalar()
-    return pts.filter(F.col("tick_us") <= frontier).select("tick_us", "pmu_id", v.d6("freq").alias("freq"))
+    return align.align_points(rows, expected(rows), v.HOUR_US).select("tick_us", "pmu_id", v.d6("freq").alias("freq"))
