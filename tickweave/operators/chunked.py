@@ -135,3 +135,21 @@ def islands(
             F.sum("_n").alias("n"),
         )
     )
+
+
+def ordinal(df: DataFrame, order: list[str], width: int, out: str) -> DataFrame:
+    """Number all rows 1..n by ``order`` (``order[0]`` numeric), chunk by chunk.
+
+    Only one row per chunk, its size, is ordered globally.
+    """
+    rows = df.withColumn("_chunk", chunk_of(order[0], width))
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(W.partitionBy("_chunk").orderBy(*order))
+    return (
+        rows.withColumn("_rank", rank)
+        .join(offsets, "_chunk")
+        .withColumn(out, (F.col("_offset") + F.col("_rank")).cast("bigint"))
+        .drop("_chunk", "_rank", "_offset")
+    )

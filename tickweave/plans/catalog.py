@@ -3,6 +3,7 @@
 from tickweave.plans import (  # noqa: F401
     q_align,
     q_decode,
+    q_fleet,
     q_quality,
     q_scalars,
 )
