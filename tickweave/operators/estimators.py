@@ -199,23 +199,36 @@ def _next_kept(t: np.ndarray, gap: int) -> np.ndarray:
     return np.searchsorted(t, t + gap, side="left")
 
 
+def _with_sure(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(times, which of them are rows): rows plus the row before each, where that is not a row here.
+
+    The row before is either kept for certain or was decided in the chunk before; deciding
+    it again changes nothing.
+    """
+    t, before = pdf["_t"].to_numpy(), pdf["_before"].to_numpy()
+    missing = np.append(True, before[1:] != t[:-1])
+    at = np.flatnonzero(missing)
+    times = np.insert(t, at, before[at])
+    real = np.insert(np.ones(len(t), dtype=bool), at, False)
+    return times, real
+
+
 def _thin_summary(pdf: pd.DataFrame) -> dict:
     """For every row that may be the first kept one: the last kept one that follows.
 
     The first kept row is at most one gap behind the first row, whatever came before.
     """
-    t, gap = pdf["_t"].to_numpy(), int(pdf["_gap"].iloc[0])
+    t, gap = _with_sure(pdf)[0], int(pdf["_gap"].iloc[0])
     n = len(t)
     jump = np.append(_next_kept(t, gap), n)
     last = np.arange(n)
-    while True:  # doubling: after k rounds ``last`` is 2^k kept rows on
+    while True:  # doubling: every round squares how far ``last`` is ahead
         after = jump[last]
         if (after >= n).all():
             break
         last = np.where(after < n, after, last)
-        # from the kept row reached so far, continue with what that row itself reaches
         last = last[last]
-    firsts = np.unique(np.arange(min(n, int(jump[0]) + 1)))
+    firsts = np.arange(min(n, int(jump[0]) + 1))
     return {"gap": gap, "first": t[firsts].tolist(), "last": t[last[firsts]].tolist()}
 
 
@@ -227,14 +240,14 @@ def _thin_advance(last: int | None, s: dict) -> int | None:
 
 
 def _thin_apply(pdf: pd.DataFrame, last: int | None) -> dict[str, np.ndarray]:
-    t, gap = pdf["_t"].to_numpy(), int(pdf["_gap"].iloc[0])
+    (t, real), gap = _with_sure(pdf), int(pdf["_gap"].iloc[0])
     follow = _next_kept(t, gap)
     keep = np.zeros(len(t), dtype=bool)
     i = 0 if last is None else int(np.searchsorted(t, last + gap, side="left"))
     while i < len(t):
         keep[i] = True
         i = int(follow[i])
-    return {"_keep": keep}
+    return {"_keep": keep[real]}
 
 
 THIN = Fold(_thin_summary, _thin_advance, _thin_apply, {"_keep": T.BooleanType()})
@@ -243,12 +256,16 @@ THIN = Fold(_thin_summary, _thin_advance, _thin_apply, {"_keep": T.BooleanType()
 def thin(rows: DataFrame, keys: list[str], time: str, gap: str, tie: str, width: int = HOUR_US) -> DataFrame:
     """Keep a row when ``gap`` has passed since the last kept row of its key.
 
-    ``gap`` is a column with one value per key; ``width`` must not be below it. Rows of
-    one time keep the order of ``tie``.
+    ``gap`` is a column with one positive value per key; ``width`` must not be below it.
+    Rows of one time keep the order of ``tie``. A row a whole gap behind the row before
+    it is kept whatever happened earlier, so only the others are folded.
     """
     timed = rows.withColumn("_t", F.col(time)).withColumn("_gap", F.col(gap).cast("bigint"))
-    kept = chunked_fold(timed, keys, ["_t", tie], ["_gap"], width, THIN)
-    return kept.filter("_keep").drop("_keep", "_t", "_gap")
+    seen = with_previous(timed, keys, ["_t", tie], ["_t"], width).withColumnRenamed("prev__t", "_before")
+    sure = F.coalesce(F.col("_t") - F.col("_before") >= F.col("_gap"), F.lit(True))
+    open_rows = seen.filter(~sure)
+    folded = chunked_fold(open_rows, keys, ["_t", tie], ["_before", "_gap"], width, THIN).filter("_keep")
+    return seen.filter(sure).unionByName(folded.drop("_keep")).select(*rows.columns)
 
 
 def trend_downsample(readings: DataFrame, gap_us: int = TREND_GAP_US, mode: str = "greedy", keep: int = EXPORTED_TRENDS) -> DataFrame:

@@ -30,12 +30,14 @@ def sql_view(name: str, body: str) -> None:
 
 def with_views(sql: str) -> str:
     """Put the views a statement mentions in front of it, dependencies first."""
+    if sql.lstrip().startswith("WITH RECURSIVE"):
+        return sql
     order: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, path: tuple[str, ...] = ()) -> None:
         for name in SQL_VIEWS:
-            if name not in order and re.search(rf"\b{name}\b", text):
-                visit(SQL_VIEWS[name])
+            if name not in order and name not in path and re.search(rf"\b{name}\b", text):
+                visit(SQL_VIEWS[name], (*path, name))
                 if name not in order:
                     order.append(name)
 
@@ -43,7 +45,10 @@ def with_views(sql: str) -> str:
     if not order:
         return sql
     views = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in order)
-    return f"WITH {views}\n{sql.strip()}"
+    own = sql.strip()
+    if own.startswith("WITH "):
+        return f"WITH {views},\n{own.removeprefix('WITH ')}"
+    return f"WITH {views}\n{own}"
 
 
 def r6(expr: str) -> str:
