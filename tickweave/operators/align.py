@@ -102,33 +102,38 @@ def nearest_tick(readings: DataFrame, period_us: int) -> DataFrame:
 def _border_picks(border_rows: DataFrame, inner_keys: DataFrame, period_us: int) -> DataFrame:
     """Which border samples are used, and at which of their two ticks.
 
-    ``border_rows`` carry their upper tick as ``tick_us``.
+    ``border_rows`` carry their upper tick as ``tick_us``. Whatever matters to a border
+    sample is sent to its (device, upper tick) as a note: the sample itself, a border
+    sample one period earlier, inner samples at either tick. One grouping collects them.
     """
-    border = dedupe_latest(border_rows)
-    keys = border.select("pmu_id", F.col("tick_us").alias("upper"))
-    lower = F.col("upper") - period_us
-    touched = keys.select("pmu_id", F.explode(F.array("upper", lower)).alias("tick_us"))
-    held = inner_keys.join(touched, ["pmu_id", "tick_us"], "left_semi").distinct()
-
-    def flag(ticks: DataFrame, shift: int, name: str) -> DataFrame:
-        return ticks.select("pmu_id", (F.col("tick_us") + shift).alias("upper"), F.lit(True).alias(name))
-
-    earlier = keys.select("pmu_id", F.col("upper").alias("tick_us"))
+    cols = border_rows.columns
+    keys = border_rows.select("pmu_id", "tick_us")
+    touched = keys.select("pmu_id", F.explode(F.array("tick_us", F.col("tick_us") - period_us)).alias("tick_us"))
+    held = inner_keys.join(touched, ["pmu_id", "tick_us"], "left_semi")
+    yes = F.lit(True)
+
+    def note(ticks: DataFrame, shift: int, name: str) -> DataFrame:
+        return ticks.select("pmu_id", (F.col("tick_us") + shift).alias("tick_us"), yes.alias(name))
+
+    notes = (
+        border_rows.select("pmu_id", "tick_us", "arrival_seq", F.struct(*cols).alias("s"))
+        .unionByName(note(keys, period_us, "border_low"), allowMissingColumns=True)
+        .unionByName(note(held, period_us, "inner_low"), allowMissingColumns=True)
+        .unionByName(note(held, 0, "inner_up"), allowMissingColumns=True)
+    )
+    flags = ["border_low", "inner_low", "inner_up"]
     linked = (
-        keys.join(flag(held, period_us, "inner_low"), ["pmu_id", "upper"], "left")
-        .join(flag(held, 0, "inner_up"), ["pmu_id", "upper"], "left")
-        .join(flag(earlier, period_us, "border_low"), ["pmu_id", "upper"], "left")
-        .na.fill(False, ["inner_low", "inner_up", "border_low"])
+        notes.groupBy("pmu_id", "tick_us")
+        .agg(F.max_by("s", "arrival_seq").alias("s"), *(F.max(f).alias(f) for f in flags))
+        .filter(F.col("s").isNotNull())
+        .na.fill(False, flags)
         # NULL inside a run: the fate of its first member is carried forward
         .withColumn("_fate", F.when(F.col("inner_low") | ~F.col("border_low"), ~F.col("inner_low")))
     )
-    fate = forward_fill(linked, ["pmu_id"], ["upper"], "_fate", period_us * TICKS_PER_CHUNK, "goes_down")
-    placed = fate.filter(F.col("goes_down") | ~F.col("inner_up")).select(
-        "pmu_id",
-        F.col("upper").alias("tick_us"),
-        F.when(F.col("goes_down"), lower).otherwise(F.col("upper")).alias("_tick"),
-    )
-    return border.join(placed, ["pmu_id", "tick_us"]).withColumn("tick_us", F.col("_tick")).select(border.columns)
+    fate = forward_fill(linked, ["pmu_id"], ["tick_us"], "_fate", period_us * TICKS_PER_CHUNK, "goes_down")
+    tick = F.when(F.col("goes_down"), F.col("tick_us") - period_us).otherwise(F.col("tick_us"))
+    placed = fate.filter(F.col("goes_down") | ~F.col("inner_up")).select(tick.alias("_tick"), "s.*")
+    return placed.select(*(F.col("_tick").alias(c) if c == "tick_us" else F.col(c) for c in cols))
 
 
 def exact_tick(readings: DataFrame, ticks: DataFrame) -> DataFrame:

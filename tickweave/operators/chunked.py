@@ -65,13 +65,11 @@ def forward_fill(
     """Last non-NULL ``value`` up to and including each row, in ``order`` within ``keys``."""
     part = [*keys, "_chunk"]
     rows = df.withColumn("_chunk", chunk_of(order[0], width)).withColumn("_carried", F.lit(0))
-    last = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*part)
-        .agg(F.max_by(F.col(value), F.struct(*order)).alias(value), F.lit(True).alias("_has"))
+    held = F.col(value).isNotNull()
+    # a chunk without a value of its own still passes on the one before
+    chunks = rows.groupBy(*part).agg(
+        F.max_by(F.when(held, F.col(value)), F.when(held, F.struct(*order))).alias(value)
     )
-    # chunks without a value of their own still need the one carried through them
-    chunks = rows.select(*part).distinct().join(last, part, "left")
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     heads = (
         chunks.withColumn(value, F.last(value, ignorenulls=True).over(before))

@@ -41,14 +41,29 @@ LAST_FIELDS = [
 
 
 def latest_device_state(
-    delivered: DataFrame, as_of_us: Column, handshakes: DataFrame | None = None, within_us: int = CONNECTED_WITHIN_US
+    readings: DataFrame, as_of_us: Column, handshakes: DataFrame | None = None, within_us: int = CONNECTED_WITHIN_US
 ) -> DataFrame:
-    """Per device the last delivered reading; phasors are blanked once it has gone silent."""
-    last = delivered.groupBy("pmu_id").agg(
-        F.count(F.lit(1)).alias("total_frames"), F.max_by(F.struct(*LAST_FIELDS), "arrival_seq").alias("l")
+    """Per device the last delivered reading; phasors are blanked once it has gone silent.
+
+    ``readings`` are delivered ones, or gated ones with their verdict: then the device's
+    reject counters come out of the same pass.
+    """
+    gated = "quality_ok" in readings.columns
+    ok = F.col("quality_ok") if gated else F.lit(True)
+    skew = F.lower("reject_reason").contains("skew") if gated else F.lit(False)
+    counters = {
+        "quality_rejects": F.count_if(~ok),
+        "skew_rejects": F.count_if(~ok & skew),
+        "last_reject": F.max_by(F.when(~ok, F.col("reject_reason")), F.when(~ok, F.col("arrival_seq"))) if gated else None,
+    }
+    last = readings.groupBy("pmu_id").agg(
+        F.count_if(ok).alias("total_frames"),
+        F.max_by(F.when(ok, F.struct(*LAST_FIELDS)), F.when(ok, F.col("arrival_seq"))).alias("l"),
+        *(c.alias(n) for n, c in counters.items() if gated),
     )
-    flat = last.select("pmu_id", "total_frames", *(F.col(f"l.{c}").alias(c) for c in LAST_FIELDS))
-    connected = as_of_us - F.col("received_us") <= within_us
+    extra = list(counters) if gated else []
+    flat = last.select("pmu_id", "total_frames", *extra, *(F.col(f"l.{c}").alias(c) for c in LAST_FIELDS))
+    connected = F.coalesce(as_of_us - F.col("received_us") <= within_us, F.lit(False))
     waiting = F.lit(False)
     if handshakes is not None:
         flat = flat.join(handshakes.select("pmu_id", F.lit(True).alias("_shook")).distinct(), "pmu_id", "left")
@@ -63,6 +78,7 @@ def latest_device_state(
     return flat.withColumn("connected", connected).select(
         "pmu_id",
         "total_frames",
+        *extra,
         F.col("received_us").alias("last_received_us"),
         *plain,
         (F.col("freq") - F.col("fnom")).alias("freq_dev"),
@@ -82,17 +98,14 @@ def jitter(delivered: DataFrame) -> DataFrame:
     )
 
 
-def hops_join(states: DataFrame, hops: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def hops_join(states: DataFrame, hops: DataFrame) -> DataFrame:
     """States with their latest hops and a frame rate.
 
-    The measured rate (``rates``: pmu_id, approx_fps) wins, then the configured one, then,
-    for a connected device, the one its inter-arrival time suggests.
+    A measured rate (``approx_fps``) wins, then the configured one, then, for a connected
+    device, the one its inter-arrival time suggests.
     """
-    out = states.join(hops, "pmu_id", "left")
-    if rates is not None:
-        out = out.join(rates.select("pmu_id", F.col("approx_fps").alias("_measured")), "pmu_id", "left")
-    else:
-        out = out.withColumn("_measured", F.lit(0.0))
+    measured = F.col("approx_fps") if "approx_fps" in states.columns else F.lit(0.0)
+    out = states.withColumn("_measured", measured).join(hops, "pmu_id", "left")
     cfg = fleet.cfg_rate_fps("data_rate")
     gap = F.col("hop_frame_gap")
     from_gap = F.when(F.col("connected") & (gap > 1) & (gap < 500), F.try_divide(F.lit(1000.0), gap))
@@ -102,12 +115,13 @@ def hops_join(states: DataFrame, hops: DataFrame, rates: DataFrame | None = None
     ).drop("_measured")
 
 
-def registry_state_join(registry: DataFrame, states: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Every registered device with its live state, or with what an offline device shows."""
+def registry_state_join(registry: DataFrame, states: DataFrame) -> DataFrame:
+    """Every registered device with its live state, or with what an offline device shows.
+
+    ``states`` come from gated readings, with their reject counters.
+    """
     c = F.col
-    joined = registry.withColumnRenamed("name", "pmu_id").join(states, "pmu_id", "left").join(
-        rejects.select("pmu_id", "quality_rejects", "skew_rejects", "last_reject"), "pmu_id", "left"
-    )
+    joined = registry.withColumnRenamed("name", "pmu_id").join(states, "pmu_id", "left")
     zero = lambda n, v=0.0: F.coalesce(c(n), F.lit(v)).alias(n)
     own = ["pmu_id", "active", "station", "region", "vendor", "voltage", "ip", "data_rate"]
     return joined.select(
@@ -124,10 +138,10 @@ def registry_state_join(registry: DataFrame, states: DataFrame, rejects: DataFra
     )
 
 
-def fleet_table(devices: DataFrame, hops: DataFrame, jitters: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def fleet_table(devices: DataFrame, hops: DataFrame, jitters: DataFrame) -> DataFrame:
     """Devices with every derived measure the fleet views use, one row per device."""
     c = F.col
-    base = hops_join(devices, hops, rates).join(jitters, "pmu_id", "left")
+    base = hops_join(devices, hops).join(jitters, "pmu_id", "left")
     live, cfg = fleet.effective_fps("approx_fps", "hop_frame_gap"), fleet.cfg_rate_fps("data_rate")
     measured = base.withColumns(
         {

@@ -9,6 +9,7 @@ from tickweave.plans import (  # noqa: F401
     q_registry,
     q_quality,
     q_scalars,
+    q_sources,
     q_streams,
 )
 from tickweave.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tickweave.operators import align, charts, windows
 from tickweave.plans import views as v
 from tickweave.plans.q_align import expected, hourly_points, hourly_ticks
-from tickweave.plans.q_fleet import online
+from tickweave.plans.q_fleet import kept_fleet, online
 from tickweave.plans.q_scalars import CHANNEL_SETS, with_channels
 from tickweave.plans.registry import query, r6, sql_view
+from tickweave.session import materialize
 
 d6 = v.d6
 DEVICES = [f"10.0.0.{k}:4712" for k in range(8)]
@@ -19,6 +20,11 @@ def measures(spark, sf):
     return align.point_measures(hourly_points(spark, sf))
 
 
+def kept_measures(spark, sf):
+    """Aligned measures as a written table: charts read it several times."""
+    return materialize(measures(spark, sf), "aligned")
+
+
 _PH = ["va", "vb", "vc", "ia"]
 sql_view(
     "measures",
@@ -122,9 +128,8 @@ SELECT tick_us, string_agg(pmu_id || '=' || printf('%.3f', round(frequency, 3)),
 )
 def _(spark, sf):
     packed = align.points_map(measures(spark, sf), hourly_ticks(spark, sf))
-    entries = F.transform(
-        F.array_sort(F.map_entries("points")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", F.round(e["value"]["frequency"], 3)))
-    )
+    shown = lambda k: F.format_string("%.3f", F.round(F.try_element_at("points", k)["frequency"], 3))
+    entries = F.transform(F.array_sort(F.map_keys("points")), lambda k: F.concat(k, F.lit("="), shown(k)))
     return packed.select("tick_us", F.array_join(entries, " ").alias("points"), F.array_join("missing", " ").alias("missing"), "complete")
 
 
@@ -185,7 +190,7 @@ def _rounded(wide):
     "SELECT tick_us, " + _cells({m: m for m in charts.MEASURES}) + " FROM measures JOIN chart_ticks USING (tick_us) GROUP BY tick_us",
 )
 def _(spark, sf):
-    return _rounded(charts.aligned_pivot(measures(spark, sf), DEVICES))
+    return _rounded(charts.aligned_pivot(kept_measures(spark, sf), DEVICES))
 
 
 @query(
@@ -193,7 +198,7 @@ def _(spark, sf):
     "SELECT tick_us, " + _cells({f"{p}Angle": f"{p}_angle" for p in ("va", "vb", "vc")}) + " FROM measures JOIN chart_ticks USING (tick_us) GROUP BY tick_us",
 )
 def _(spark, sf):
-    return _rounded(charts.channel_pivot(measures(spark, sf), DEVICES, "angle", "voltage", charts.CHART_TICKS))
+    return _rounded(charts.channel_pivot(kept_measures(spark, sf), DEVICES, "angle", "voltage", charts.CHART_TICKS))
 
 
 @query(
@@ -201,7 +206,7 @@ def _(spark, sf):
     "SELECT tick_us, " + _cells({"analog1": "analog1", "analog2": "analog2"}) + " FROM measures JOIN chart_ticks USING (tick_us) GROUP BY tick_us",
 )
 def _(spark, sf):
-    return _rounded(charts.channel_pivot(measures(spark, sf), DEVICES, "analogs", "voltage", charts.CHART_TICKS, ["Analog1", "Analog2"]))
+    return _rounded(charts.channel_pivot(kept_measures(spark, sf), DEVICES, "analogs", "voltage", charts.CHART_TICKS, ["Analog1", "Analog2"]))
 
 
 _TREND = ["frequency", "frequency_dev", "rocof", "va", "vb", "vc", "ia", "ib", "ic"]
@@ -213,7 +218,7 @@ _TREND = ["frequency", "frequency_dev", "rocof", "va", "vb", "vc", "ia", "ib", "
     + f", {r6('analog1')} AS mw, {r6('analog2')} AS mvar FROM measures JOIN chart_ticks USING (tick_us) WHERE pmu_id = '{DEVICES[3]}'",
 )
 def _(spark, sf):
-    t = charts.device_trend(measures(spark, sf), DEVICES[3])
+    t = charts.device_trend(kept_measures(spark, sf), DEVICES[3])
     return t.select("tick_us", *(d6(f).alias(f) for f in [*_TREND, "mw", "mvar"]))
 
 
@@ -226,7 +231,7 @@ sql_view(
 
 @query("latest_tick", f"SELECT tick_us, pmu_id, {r6('frequency')} AS frequency FROM tick_now")
 def _(spark, sf):
-    return charts.latest_tick(measures(spark, sf), online(spark, sf)).select("tick_us", "pmu_id", d6("frequency").alias("frequency"))
+    return charts.latest_tick(kept_measures(spark, sf), online(spark, sf)).select("tick_us", "pmu_id", d6("frequency").alias("frequency"))
 
 
 @query(
@@ -239,7 +244,7 @@ def _(spark, sf):
     + ") WHERE NOT (mag = 0 AND deg = 0) UNION ALL SELECT pmu_id, NULL, label, NULL, NULL, 'missing' FROM online_now WHERE pmu_id NOT IN (SELECT pmu_id FROM tick_now)",
 )
 def _(spark, sf):
-    m, on = measures(spark, sf), online(spark, sf)
+    m, on = kept_measures(spark, sf), kept_fleet(spark, sf).filter("connected")
     vectors = charts.diagram_vectors(m, on, "voltage").select(
         "pmu_id", "label", "device", d6("mag").alias("mag"), d6("deg").alias("deg"), F.lit("vector").alias("kind")
     )
@@ -258,7 +263,7 @@ WHERE a.pmu_id < b.pmu_id AND a.pmu_id IN (SELECT pmu_id FROM online_now) AND b.
 """,
 )
 def _(spark, sf):
-    return charts.pair_angle_series(measures(spark, sf), online(spark, sf))
+    return charts.pair_angle_series(kept_measures(spark, sf), online(spark, sf))
 
 
 @query("distinct_channel_names", "SELECT DISTINCT unnest(CASE arrival_seq % 4 "

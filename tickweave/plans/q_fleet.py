@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickweave.operators import fleet_state as fs
-from tickweave.operators import latency, quality
+from tickweave.operators import latency
 from tickweave.plans import views as v
 from tickweave.plans.registry import query, r6, sql_view
+from tickweave.session import materialize
 
 d6 = v.d6
 
@@ -17,20 +18,19 @@ def as_of(spark, sf):
 
 
 def states(spark, sf):
-    return fs.latest_device_state(v.accepted(spark, sf), as_of(spark, sf), within_us=v.LIVE_US)
+    return fs.latest_device_state(v.gated(spark, sf), as_of(spark, sf), within_us=v.LIVE_US)
 
 
-def measured_rates(spark, sf):
-    """A stand-in for the estimator: a rate derived from each device's frame count."""
-    counts = v.accepted(spark, sf).groupBy("pmu_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("pmu_id", (F.col("n") % 60).cast("double").alias("approx_fps"))
+def fleet_rows(spark, sf):
+    devices = fs.registry_state_join(v.registry(spark, sf), states(spark, sf))
+    # a stand-in for the rate estimate: derived from each device's frame count
+    rated = devices.withColumn("approx_fps", (F.col("total_frames") % 60).cast("double"))
+    return fs.fleet_table(rated, latency.last_hops(v.hop_samples(spark, sf)), fs.jitter(v.accepted(spark, sf)))
 
 
-def fleet_rows(spark, sf):
-    devices = fs.registry_state_join(v.registry(spark, sf), states(spark, sf), quality.reject_counts(v.gated(spark, sf)))
-    return fs.fleet_table(
-        devices, latency.last_hops(v.hop_samples(spark, sf)), fs.jitter(v.accepted(spark, sf)), measured_rates(spark, sf)
-    )
+def kept_fleet(spark, sf):
+    """The enabled devices as a written table, for plans that read it several times."""
+    return materialize(fleet_rows(spark, sf).filter("active"), "fleet")
 
 
 def enabled(spark, sf):
@@ -144,7 +144,7 @@ SELECT pmu_id, active, connected, station, region, substation, total_frames, qua
 """,
 )
 def _(spark, sf):
-    rows = fs.registry_state_join(v.registry(spark, sf), states(spark, sf), quality.reject_counts(v.gated(spark, sf)))
+    rows = fs.registry_state_join(v.registry(spark, sf), states(spark, sf))
     return rows.select(
         "pmu_id", "active", "connected", "station", "region", "substation", "total_frames", "quality_rejects", "skew_rejects",
         "last_reject", d6("freq").alias("freq"), d6("freq_dev").alias("freq_dev"), d6("va_deg").alias("va_deg"), "stat_data_error",
@@ -306,18 +306,14 @@ FROM enabled_fleet a JOIN enabled_fleet b ON a.connected AND b.connected AND a.p
 )
 
 
-def pairs(spark, sf):
-    return fs.device_pairs(online(spark, sf))
-
-
 @query("device_pairs", "SELECT * FROM pairs")
 def _(spark, sf):
-    return pairs(spark, sf)
+    return fs.device_pairs(kept_fleet(spark, sf).filter("connected"))
 
 
 @query("angle_pairs_topk", "SELECT pair, name, value FROM pairs ORDER BY value DESC, pair LIMIT 10")
 def _(spark, sf):
-    return fs.angle_pairs_topk(pairs(spark, sf)).select("pair", "name", "value")
+    return fs.angle_pairs_topk(fs.device_pairs(kept_fleet(spark, sf).filter("connected"))).select("pair", "name", "value")
 
 
 @query(
@@ -363,7 +359,7 @@ UNION ALL SELECT * FROM (SELECT 2, row_number() OVER (ORDER BY {_WEIGHT}, loss D
 
 @query("connectivity_recs", 'SELECT sev, title, "desc" FROM link_advice ORDER BY rule, pos LIMIT 8')
 def _(spark, sf):
-    return fs.connectivity_recs(enabled(spark, sf)).select("sev", "title", "desc")
+    return fs.connectivity_recs(kept_fleet(spark, sf)).select("sev", "title", "desc")
 
 
 sql_view(
@@ -389,13 +385,14 @@ _TOP_ADVICE = """SELECT sev, title, "desc" FROM (SELECT *, row_number() OVER (PA
 WHERE rn = 1 ORDER BY rule, k0, k1, k2 LIMIT 8"""
 
 
-def advisories(spark, sf):
-    return fs.analytics_recs(enabled(spark, sf), pairs(spark, sf), v.events_log(spark, sf))
+def advisories(spark, sf, devices, pairs):
+    return fs.analytics_recs(devices, pairs, v.events_log(spark, sf))
 
 
 @query("analytics_recs", _TOP_ADVICE)
 def _(spark, sf):
-    return advisories(spark, sf).select("sev", "title", "desc")
+    devices = kept_fleet(spark, sf)
+    return advisories(spark, sf, devices, fs.device_pairs(devices.filter("connected"))).select("sev", "title", "desc")
 
 
 @query(
@@ -413,7 +410,9 @@ FROM enabled_fleet
 """,
 )
 def _(spark, sf):
-    k = fs.analytics_kpis(enabled(spark, sf), pairs(spark, sf), advisories(spark, sf))
+    devices = kept_fleet(spark, sf)
+    pairs = fs.device_pairs(devices.filter("connected"))
+    k = fs.analytics_kpis(devices, pairs, advisories(spark, sf, devices, pairs))
     return k.withColumns({c: d6(c) for c in ("avg_freq", "worst_df", "max_rocof")})
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # wall-clock columns are microseconds since the epoch, always read as UTC
@@ -45,3 +46,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="tickweave-ckpt-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several parts of a plan read, and read it back.
+
+    It lands in the shared folder, so a lost executor costs nothing that was computed.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -89,7 +89,9 @@ def read_spooled(spark: SparkSession, path: str) -> DataFrame:
     A line that is no document stays as a row with ``bad_line`` set, so nothing is lost.
     """
     schema = T.StructType([*SPOOLED.fields, T.StructField("bad_line", _TEXT)])
-    return spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="bad_line")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
 
 
 def spool_good(spooled: DataFrame) -> DataFrame:
