@@ -105,21 +105,21 @@ def _bare_name(name, strip_pattern: str) -> Column:
     return F.regexp_replace(n, strip_pattern, "")
 
 
-def _first_class(bare: Column, rules: list[tuple[str, Column]]) -> Column:
+def _first_class(bare: Column, rules: list[tuple[str, str]]) -> Column:
+    """The class of the first pattern found; exact aliases come before ``rules``."""
+    aliases = [(cls, f"^({'|'.join(names)})$") for cls, names in CHANNEL_ALIASES.items()]
     out = F.when(bare == "", F.lit(""))
-    for cls, aliases in CHANNEL_ALIASES.items():
-        out = out.when(bare.isin(aliases), cls)
-    for cls, test in rules:
-        out = out.when(test, cls)
+    for cls, pattern in [*aliases, *rules]:
+        out = out.when(bare.rlike(pattern), cls)
     return out.otherwise(F.lit(""))
 
 
-def _letter_rule(bare: Column, kind: str, phase: str) -> Column:
-    return bare.endswith(phase + kind) | bare.startswith(kind + phase)
+def _letter_rule(kind: str, phase: str) -> str:
+    return f"{phase}{kind}$|^{kind}{phase}"
 
 
-def _digit_rule(bare: Column, kind: str, digit: str) -> Column:
-    return bare.startswith(kind + digit) | bare.endswith(kind + digit)
+def _digit_rule(kind: str, digit: str) -> str:
+    return f"^{kind}{digit}|{kind}{digit}$"
 
 
 _PHASES = [("V", "A", "1"), ("V", "B", "2"), ("V", "C", "3"), ("I", "A", "1"), ("I", "B", "2"), ("I", "C", "3")]
@@ -131,8 +131,8 @@ def channel_class(name) -> Column:
     All letter rules are tried before any digit rule.
     """
     bare = _bare_name(name, "[ _.-]")
-    rules = [((k + p).lower(), _letter_rule(bare, k, p)) for k, p, _ in _PHASES]
-    rules += [((k + p).lower(), _digit_rule(bare, k, d)) for k, p, d in _PHASES]
+    rules = [((k + p).lower(), _letter_rule(k, p)) for k, p, _ in _PHASES]
+    rules += [((k + p).lower(), _digit_rule(k, d)) for k, p, d in _PHASES]
     return _first_class(bare, rules)
 
 
@@ -142,71 +142,76 @@ def display_label(name) -> Column:
     Here letter and digit rules are tried together, phase by phase.
     """
     bare = _bare_name(name, r"[\s_.-]")
-    rules = [((k + p).lower(), _letter_rule(bare, k, p) | _digit_rule(bare, k, d)) for k, p, d in _PHASES]
+    rules = [((k + p).lower(), f"{_letter_rule(k, p)}|{_digit_rule(k, d)}") for k, p, d in _PHASES]
     return F.nullif(F.upper(_first_class(bare, rules)), F.lit(""))
 
 
-def with_classes(channels) -> Column:
-    """ARRAY<STRUCT<name, mag, deg>> with the class and upper-case name of each channel."""
-    return F.transform(_col(channels), lambda c: tagged(c["name"], c["mag"], c["deg"], channel_class(c["name"])))
+SLOTS = ("va", "vb", "vc", "ia")
 
 
-def tagged(name: Column, mag: Column, deg: Column, cls: Column) -> Column:
-    return F.struct(
-        name.alias("name"), mag.alias("mag"), deg.alias("deg"), cls.alias("cls"), F.upper(F.trim(name)).alias("up")
+def with_slot_plan(df: DataFrame, names: str = "phasor_names") -> DataFrame:
+    """Add ``plan``: the channel positions of the standard slots, from channel names.
+
+    Per slot the last channel of its class; the n-th voltage and the first current as
+    stand-ins; ``lone_ia`` is the current of a device with one voltage and one current.
+    Names change with the layout only, so this runs per layout, not per frame.
+    """
+    tagged = F.transform(
+        names, lambda n, i: F.struct(i.alias("i"), channel_class(n).alias("cls"), F.upper(F.trim(n)).alias("up"))
     )
 
+    def of_kind(kind: str) -> Column:
+        mine = lambda t: t["cls"].startswith(kind.lower()) | ((t["cls"] == "") & t["up"].startswith(kind))
+        return F.transform(F.filter("_tagged", mine), lambda t: t["i"])
 
-def last_of(channels, cls: str) -> Column:
-    """The last channel of a class, NULL when there is none; ``channels`` carry ``cls``."""
-    return F.try_element_at(F.filter(_col(channels), lambda t: t["cls"] == cls), F.lit(-1))
+    def last(cls: str) -> Column:
+        back = F.array_position("_back", F.lit(cls)).cast("int")
+        return F.when(back > 0, F.size("_back") - back)
 
+    second = F.get("_tagged", F.lit(1))
+    second_is_current = (second["cls"] == "ia") | second["up"].startswith("I")
+    plan = F.struct(
+        *(last(p).alias(p) for p in CHANNEL_ALIASES),
+        *(F.get("_volts", F.lit(i)).alias(f"volt{i}") for i in range(3)),
+        F.get("_amps", F.lit(0)).alias("amp0"),
+        F.coalesce(F.get("_amps", F.lit(0)), F.when(second_is_current, F.lit(1))).alias("lone_ia"),
+    )
+    found = {"_volts": of_kind("V"), "_amps": of_kind("I"), "_back": F.reverse(F.col("_tagged.cls"))}
+    return df.withColumn("_tagged", tagged).withColumns(found).withColumn("plan", plan).drop("_tagged", *found)
 
-def with_standard_slots(df: DataFrame, channels: str = "channels") -> DataFrame:
-    """Add ``va``, ``vb``, ``vc``, ``ia`` (STRUCT with mag and deg) from classified channels.
 
-    The last classified channel fills its slot; an empty slot falls back to the n-th
-    voltage (or first current) channel, then to the position in the frame. The steps are
-    separate projections, so that no array is searched twice for one slot.
-    """
-    at = lambda arr, i: F.get(F.col(arr), F.lit(i))
-    filled = lambda p: F.coalesce(p["mag"], F.lit(0.0)) != 0
-    slot = lambda own, other: F.coalesce(F.when(filled(own), own), other, own)
+def with_standard_slots(df: DataFrame, mags: str = "phasor_mag", degs: str = "phasor_deg", plan: str = "plan") -> DataFrame:
+    """Add ``va_mag``, ``va_deg`` .. ``ia_mag``, ``ia_deg`` from magnitude and angle arrays.
 
-    def of_kind(kind: str) -> Column:
-        mine = lambda t: t["cls"].startswith(kind.lower()) | ((t["cls"] == "") & t["up"].startswith(kind))
-        return F.filter(F.col(channels), mine)
-
-    va, vb, vc, ia = (F.col(p) for p in ("va", "vb", "vc", "ia"))
-    staged = df.select(
-        "*",
-        of_kind("V").alias("_volts"),
-        of_kind("I").alias("_amps"),
-        *(last_of(channels, p).alias(p) for p in ("va", "vb", "vc", "ia")),
-    ).withColumns(
-        {
-            "va": slot(va, at("_volts", 0)),
-            "vb": slot(vb, at("_volts", 1)),
-            "vc": slot(vc, at("_volts", 2)),
-            "ia": slot(ia, at("_amps", 0)),
-        }
-    )
-    by_position = ~filled(va) & ~filled(vb) & (F.size(channels) >= 4)
-    staged = staged.withColumn("_by_position", by_position).withColumns(
-        {p: F.when(F.col("_by_position"), at(channels, i)).otherwise(F.col(p)) for i, p in enumerate(("va", "vb", "vc", "ia"))}
+    An empty slot falls back to the plan's stand-ins, then to the position in the frame.
+    """
+    n = F.size(mags)
+    mag = lambda i: F.coalesce(F.get(F.col(mags), i), F.lit(0.0))
+    deg = lambda i: F.coalesce(F.get(F.col(degs), i), F.lit(0.0))
+    own = lambda p: F.col(plan)[p]
+    at = {p: F.col(f"_{p}") for p in SLOTS}
+    stand_in = {"va": own("volt0"), "vb": own("volt1"), "vc": own("volt2"), "ia": own("amp0")}
+    first = {f"_{p}": F.when(mag(own(p)) != 0, own(p)).otherwise(F.coalesce(stand_in[p], own(p))) for p in SLOTS}
+    by_position = (mag(at["va"]) == 0) & (mag(at["vb"]) == 0) & (n >= 4)
+    second = {f"_{p}": F.when(by_position, F.lit(i)).otherwise(at[p]) for i, p in enumerate(SLOTS)}
+    third = {
+        "_va": F.when((mag(at["va"]) == 0) & (n >= 1), F.lit(0)).otherwise(at["va"]),
+        "_ia": F.when((mag(at["ia"]) == 0) & (n >= 2), F.coalesce(own("lone_ia"), at["ia"])).otherwise(at["ia"]),
+    }
+    placed = df.withColumns(first).withColumns(second).withColumns(third)
+    return placed.select(
+        *df.columns, *(f(at[p]).alias(f"{p}_{kind}") for kind, f in (("mag", mag), ("deg", deg)) for p in SLOTS)
     )
-    second = at(channels, 1)
-    second_is_current = (second["cls"] == "ia") | second["up"].startswith("I")
-    lone = F.coalesce(at("_amps", 0), F.when(second_is_current, second), ia)
-    return staged.withColumns(
-        {"va": slot(va, at(channels, 0)), "ia": F.when(~filled(ia) & (F.size(channels) >= 2), lone).otherwise(ia)}
-    ).drop("_volts", "_amps", "_by_position")
 
 
-def trend_values(channels, field: str) -> dict[str, Column]:
-    """Six values va..ic of rows with slots: the last classified channel, else the slot, else 0."""
+def trend_values(kind: str, values: str, plan: str = "plan") -> dict[str, Column]:
+    """Six values va..ic of rows with slots: the last classified channel, else the slot, else 0.
+
+    ``kind`` is mag or deg, ``values`` the array of that kind.
+    """
     out = {}
     for cls in CHANNEL_ALIASES:
-        slot = F.col(cls)[field] if cls in ("va", "vb", "vc", "ia") else F.lit(None).cast("double")
-        out[cls] = F.coalesce(last_of(channels, cls)[field], slot, F.lit(0.0))
+        channel = F.get(F.col(values), F.col(plan)[cls])
+        slot = F.col(f"{cls}_{kind}") if cls in SLOTS else F.lit(None).cast("double")
+        out[cls] = F.coalesce(channel, slot, F.lit(0.0))
     return out

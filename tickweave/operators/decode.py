@@ -1,8 +1,9 @@
 """Raw C37.118 frames to readings, as projections over a BINARY column.
 
-Field extraction stays in Spark expressions, so a filter on device or hour still reaches
-the scan. Python runs in two places only: the checksum (Arrow batches, vectorised over
-rows) and the rare layout frames, whose blocks have to be walked one after another.
+Header fields, verdicts and derived measures are Spark expressions, so a filter on device
+or hour still reaches the scan. Python sees Arrow batches in two places: checksum and
+measurements of DATA frames, read with array arithmetic over all frames of one shape, and
+the rare layout frames, whose blocks have to be walked one after another.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,22 +39,36 @@ def _crc_table() -> np.ndarray:
 CRC_TABLE = _crc_table()
 
 
-def crc_of_batch(parts: pd.Series) -> pd.Series:
-    """Checksum of each byte string; rows of equal length advance together."""
-    out = pd.array([pd.NA] * len(parts), dtype="Int32")
-    sizes = parts.map(lambda b: -1 if b is None else len(b)).to_numpy()
-    for n in np.unique(sizes[sizes >= 0]):
-        at = np.flatnonzero(sizes == n)
-        block = np.frombuffer(b"".join(bytes(parts.iloc[i]) for i in at), dtype=np.uint8).reshape(len(at), n)
-        crc = np.full(len(at), CRC_SEED, dtype=np.uint32)
-        for j in range(n):
-            crc = ((crc << 8) & 0xFFFF) ^ CRC_TABLE[(crc >> 8) ^ block[:, j]]
-        out[at] = crc.astype(np.int32)
-    return pd.Series(out)
+def _bytes_of(raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start, size) of a BINARY array; a NULL has size -1."""
+    raw = raw.cast(pa.binary()) if not pa.types.is_binary(raw.type) else raw
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    size = np.where(raw.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), -1)
+    flat = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return flat, ends[:-1], size
 
 
-@F.pandas_udf(T.IntegerType())
-def crc16(parts: pd.Series) -> pd.Series:
+def _crc_of_block(block: np.ndarray) -> np.ndarray:
+    """Checksum of each row of a byte matrix; all rows advance together."""
+    crc = np.full(len(block), CRC_SEED, dtype=np.uint32)
+    for j in range(block.shape[1]):
+        crc = ((crc << 8) & 0xFFFF) ^ CRC_TABLE[(crc >> 8) ^ block[:, j]]
+    return crc
+
+
+def crc_of_batch(parts: pa.Array) -> pa.Array:
+    """Checksum of each byte string, grouped by length."""
+    flat, start, size = _bytes_of(parts)
+    out = np.zeros(len(parts), dtype=np.int32)
+    for n in np.unique(size[size >= 0]):
+        at = np.flatnonzero(size == n)
+        out[at] = _crc_of_block(flat[start[at][:, None] + np.arange(n)])
+    return pa.array(out, mask=size < 0)
+
+
+@F.arrow_udf(T.IntegerType())
+def crc16(parts: pa.Array) -> pa.Array:
     """CRC-CCITT of a BINARY column."""
     return crc_of_batch(parts)
 
@@ -240,15 +256,22 @@ def decode_cfg2(frames: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ layout of a frame
 
 LAYOUT_OF_FRAME = [
-    "time_base", "format", "phnmr", "annmr", "dgnmr", "fnom", "ph_units", "an_units", "payload_bytes",
-    "phasor_names", "phasor_classes", "analog_names", "digital_names",
+    "time_base", "format", "phnmr", "annmr", "dgnmr", "fnom", "ph_scale", "an_scale", "payload_bytes",
+    "phasor_names", "analog_names", "digital_names", "plan",
 ]
 
 
 def prepare_layouts(layouts: DataFrame) -> DataFrame:
-    """Layouts with named and classified channels: done once per layout, not once per frame."""
+    """Layouts with named channels, slot positions and scales: once per layout, not per frame."""
+
+    def scales(units: str, count: str) -> Column:
+        one = lambda i: F.when(F.get(F.col(units), i)["factor"] > 0, F.get(F.col(units), i)["factor"]).otherwise(F.lit(1.0))
+        some = F.transform(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1), one)
+        return F.when(F.col(count) > 0, some).otherwise(F.array().cast("array<double>"))
+
     named = layouts.select("*", *(c.alias(n) for n, c in layout.channel_groups("channels", "phnmr", "annmr").items()))
-    return named.withColumn("phasor_classes", F.transform("phasor_names", phasor.channel_class))
+    scaled = named.withColumns({"ph_scale": scales("ph_units", "phnmr"), "an_scale": scales("an_units", "annmr")})
+    return phasor.with_slot_plan(scaled)
 
 
 def join_layout_asof(frames: DataFrame, layouts: DataFrame, cols: list[str], width: int = HOUR_US) -> DataFrame:
@@ -268,136 +291,177 @@ def join_layout_asof(frames: DataFrame, layouts: DataFrame, cols: list[str], wid
 # ------------------------------------------------------------------ DATA frames
 
 
+FIELDS = _struct(
+    crc=_INT, freq=T.DoubleType(), rocof=T.DoubleType(), phasor_mag=T.ArrayType(T.DoubleType()),
+    phasor_deg=T.ArrayType(T.DoubleType()), analogs=T.ArrayType(T.DoubleType()), digitals=T.ArrayType(_INT),
+)
+
+
+class _Lists:
+    """An ARRAY column filled group by group."""
+
+    def __init__(self, lengths: np.ndarray, dtype: type) -> None:
+        self.offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        self.values = np.zeros(self.offsets[-1], dtype=dtype)
+
+    def put(self, rows: np.ndarray, block: np.ndarray) -> None:
+        if block.shape[1]:
+            self.values[self.offsets[rows][:, None] + np.arange(block.shape[1])] = block
+
+    def array(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.offsets), pa.array(self.values))
+
+
+def _scales_of(lists: pa.Array, rows: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` entries of each row of a list column, as a matrix."""
+    starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+    values = lists.values.to_numpy(zero_copy_only=False)
+    return values[starts[rows][:, None] + np.arange(count)] if count else np.zeros((len(rows), 0))
+
+
+def fields_of_batch(
+    raw: pa.Array, fmt: pa.Array, phnmr: pa.Array, annmr: pa.Array, dgnmr: pa.Array, fnom: pa.Array, ph_scale: pa.Array, an_scale: pa.Array
+) -> pa.Array:
+    """Checksum and measurements of DATA frames; frames of one shape are read together.
+
+    A frame shorter than its layout asks for has a checksum but zero measurements.
+    """
+    flat, start, size = _bytes_of(raw)
+    number = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    shape = np.stack([size, *(number(a) for a in (fmt, phnmr, annmr, dgnmr))], axis=1)
+    n = len(raw)
+    crc, freq, rocof = np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
+    nominal = number(fnom).astype(float)
+    mags, degs = _Lists(shape[:, 2], float), _Lists(shape[:, 2], float)
+    analogs, digitals = _Lists(shape[:, 3], float), _Lists(shape[:, 4], np.int32)
+    shapes, member = np.unique(shape, axis=0, return_inverse=True)
+    member = member.reshape(-1)
+    for g, (length, f, ph, an, dg) in enumerate(shapes.tolist()):
+        rows = np.flatnonzero(member == g)
+        if length < CRC_BYTES:
+            continue
+        block = np.ascontiguousarray(flat[start[rows][:, None] + np.arange(length)])
+        crc[rows] = _crc_of_block(block[:, :-CRC_BYTES])
+        wide = lambda bit, f=f: bool(f >> bit & 1)
+        ph_float, an_float = wide(layout.PHASOR_FLOAT_BIT), wide(layout.ANALOG_FLOAT_BIT)
+        freq_float, polar = wide(layout.FREQ_FLOAT_BIT), wide(layout.POLAR_BIT)
+        word = {True: ">f4", False: ">i2"}
+        sizes = [ph * (8 if ph_float else 4), 8 if freq_float else 4, an * (4 if an_float else 2), dg * 2]
+        edges = HEADER_BYTES + 2 + np.append(0, np.cumsum(sizes))
+        if edges[-1] > length - CRC_BYTES:
+            continue
+        part = lambda i, kind, edges=edges, block=block: np.ascontiguousarray(block[:, edges[i] : edges[i + 1]]).view(kind)
+        pair = part(0, word[ph_float]).astype(float)
+        first, second = pair[:, 0::2], pair[:, 1::2]
+        if not ph_float:
+            scale = _scales_of(ph_scale, rows, ph)
+            if polar:
+                # magnitudes are unsigned, angles are in 1e-4 radians
+                first, second = part(0, ">u2")[:, 0::2].astype(float) * scale, second * 1e-4
+            else:
+                first, second = first * scale, second * scale
+        mags.put(rows, first if polar else np.hypot(first, second))
+        degs.put(rows, np.degrees(second if polar else np.arctan2(second, first)))
+        rates = part(1, word[freq_float]).astype(float)
+        freq[rows] = rates[:, 0] if freq_float else nominal[rows] + rates[:, 0] / 1000
+        rocof[rows] = rates[:, 1] if freq_float else rates[:, 1] / 100
+        values = part(2, word[an_float]).astype(float)
+        analogs.put(rows, values if an_float else values * _scales_of(an_scale, rows, an))
+        digitals.put(rows, part(3, ">u2").astype(np.int32))
+    columns = [pa.array(crc), pa.array(freq), pa.array(rocof), mags.array(), degs.array(), analogs.array(), digitals.array()]
+    return pa.StructArray.from_arrays(columns, names=FIELDS.names)
+
+
+@F.arrow_udf(FIELDS)
+def frame_fields(
+    raw: pa.Array, fmt: pa.Array, phnmr: pa.Array, annmr: pa.Array, dgnmr: pa.Array, fnom: pa.Array, ph_scale: pa.Array, an_scale: pa.Array
+) -> pa.Array:
+    return fields_of_batch(raw, fmt, phnmr, annmr, dgnmr, fnom, ph_scale, an_scale)
+
+
 def _error() -> Column:
     have, size = F.length("raw"), bits.be_uint("raw", 2, 2).cast("int")
-    lay = F.col("layout")
     not_data = (
         (have < MIN_FRAME)
         | (bits.be_uint("raw", 0, 1) != SYNC_BYTE)
         | (bits.be_uint("raw", 1, 1).bitwiseAND(F.lit(0x70)) != 0)
     )
     payload = have - HEADER_BYTES - CRC_BYTES
+    rx, calc, want = F.col("_rx"), F.col("_f.crc"), F.col("_want")
     return (
-        F.when(lay.isNull(), F.concat(F.lit('no CFG2 profile for "'), F.col("pmu_id"), F.lit('"')))
+        F.when(F.col("layout").isNull(), F.concat(F.lit('no CFG2 profile for "'), F.col("pmu_id"), F.lit('"')))
         .when(not_data, F.lit("not a data frame"))
         .when(size != have, F.format_string("frame size mismatch: header=%d actual=%d", size, have))
-        .when(
-            F.col("_rx") != F.col("_calc"),
-            F.concat(F.lit("CRC mismatch: rx="), _hex4(F.col("_rx")), F.lit(" calc="), _hex4(F.col("_calc"))),
-        )
-        .when(payload != F.col("_want"), F.format_string("payload length %d != expected %d", payload, F.col("_want")))
+        .when(rx != calc, F.concat(F.lit("CRC mismatch: rx="), _hex4(rx), F.lit(" calc="), _hex4(calc)))
+        .when(payload != want, F.format_string("payload length %d != expected %d", payload, want))
     )
 
 
 def decode_data(frames: DataFrame) -> DataFrame:
     """Readings out of DATA frames that carry their prepared ``layout``.
 
-    See :func:`prepare_layouts` and :func:`join_layout_asof`.
-
-    Every frame comes back: a bad one with ``error`` set and no measurements. Offsets
-    follow from the layout, so phasors, analogs and digitals are array transforms.
+    See :func:`prepare_layouts` and :func:`join_layout_asof`. Every frame comes back: a bad
+    one with ``error`` set and no measurements. The measurements of a batch of frames are
+    read with array arithmetic in one Arrow call; header fields, verdicts and everything
+    derived stay in Spark expressions.
     """
     lay = F.col("layout")
-    n_ph, n_an, n_dg = lay["phnmr"], lay["annmr"], lay["dgnmr"]
-    flags = layout.format_flags(lay["format"])
-    block = layout.payload_bytes(lay["format"], n_ph, n_an, n_dg)
-    prepared = (
-        frames.withColumn("_want", F.coalesce(lay["payload_bytes"], block))
-        .withColumn("_rx", bits.be_uint("raw", F.length("raw") - CRC_BYTES, CRC_BYTES).cast("int"))
-        .withColumn("_calc", body_crc())
-        .withColumn("error", _error())
+    numbers = lambda c: F.coalesce(c, F.array().cast("array<double>"))
+    fields = frame_fields(
+        F.col("raw"), lay["format"], lay["phnmr"], lay["annmr"], lay["dgnmr"], lay["fnom"], numbers(lay["ph_scale"]), numbers(lay["an_scale"])
     )
-    good = F.col("error").isNull()
-    ph_size = F.when(flags["ph_float"], 8).otherwise(4)
-    an_size = F.when(flags["an_float"], 4).otherwise(2)
-    ph_at = F.lit(HEADER_BYTES + 2)
-    freq_at = ph_at + n_ph * ph_size
-    an_at = freq_at + F.when(flags["freq_float"], 8).otherwise(4)
-    dg_at = an_at + n_an * an_size
-
-    def scale(units: Column, i: Column) -> Column:
-        factor = F.get(units, i)["factor"]
-        return F.when(factor > 0, factor).otherwise(F.lit(1.0))
-
-    def indexes(n: Column) -> Column:
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def one_phasor(i: Column) -> Column:
-        at = ph_at + i * ph_size
-        k = scale(lay["ph_units"], i)
-        first = F.when(flags["ph_float"], bits.be_float32("raw", at)).otherwise(
-            F.when(flags["polar"], bits.be_uint("raw", at, 2)).otherwise(bits.be_int16("raw", at)) * k
-        )
-        second = F.when(flags["ph_float"], bits.be_float32("raw", at + 4)).otherwise(
-            bits.be_int16("raw", at + 2) * F.when(flags["polar"], F.lit(1e-4)).otherwise(k)
+    block = layout.payload_bytes(lay["format"], lay["phnmr"], lay["annmr"], lay["dgnmr"])
+    read = (
+        frames.withColumn("_f", fields)
+        .withColumns(
+            {
+                "_want": F.coalesce(lay["payload_bytes"], block),
+                "_rx": bits.be_uint("raw", F.length("raw") - CRC_BYTES, CRC_BYTES).cast("int"),
+                "_soc": bits.be_uint("raw", 6, 4),
+                "_frac": bits.be_uint("raw", 10, 4),
+            }
         )
-        mag, deg = phasor.polar_of(first, second)
-        return phasor.tagged(
-            F.coalesce(F.get(lay["phasor_names"], i), F.lit("")),
-            F.when(flags["polar"], first).otherwise(mag),
-            F.when(flags["polar"], F.degrees(second)).otherwise(deg),
-            F.coalesce(F.get(lay["phasor_classes"], i), F.lit("")),
-        )
-
-    def one_analog(i: Column) -> Column:
-        at = an_at + i * an_size
-        return F.when(flags["an_float"], bits.be_float32("raw", at)).otherwise(
-            bits.be_int16("raw", at) * scale(lay["an_units"], i)
-        )
-
-    freq = F.when(flags["freq_float"], bits.be_float32("raw", freq_at)).otherwise(
-        lay["fnom"] + bits.be_int16("raw", freq_at) / 1000.0
-    )
-    rocof = F.when(flags["freq_float"], bits.be_float32("raw", freq_at + 4)).otherwise(
-        bits.be_int16("raw", freq_at + 2) / 100.0
+        .withColumn("error", _error())
     )
-    fracsec = bits.be_uint("raw", 10, 4)
-    fields: dict[str, Column] = {
+    good = F.col("error").isNull()
+    flags = layout.format_flags(lay["format"])
+    fields = {
         "idcode": bits.be_uint("raw", 4, 2).cast("int"),
-        "soc": bits.be_uint("raw", 6, 4),
-        "fracsec_raw": fracsec,
-        "fracsec_count": fracsec.bitwiseAND(F.lit(bits.FRACTION_MASK)),
-        "time_quality": F.shiftright(fracsec, 24).cast("int"),
-        "meas_us": bits.frame_time_us(bits.be_uint("raw", 6, 4), fracsec, lay["time_base"]),
+        "soc": F.col("_soc"),
+        "fracsec_raw": F.col("_frac"),
+        "fracsec_count": F.col("_frac").bitwiseAND(F.lit(bits.FRACTION_MASK)),
+        "time_quality": F.shiftright("_frac", 24).cast("int"),
+        "meas_us": bits.frame_time_us("_soc", "_frac", lay["time_base"]),
         "stat": bits.be_uint("raw", HEADER_BYTES, 2).cast("int"),
-        "channels": F.transform(indexes(n_ph), one_phasor),
-        "freq": freq,
-        "rocof": rocof,
-        "analogs": F.transform(indexes(n_an), one_analog),
+        **{n: F.col(f"_f.{n}") for n in FIELDS.names if n != "crc"},
+        "phasor_names": lay["phasor_names"],
         "analog_names": lay["analog_names"],
-        "digitals": F.transform(indexes(n_dg), lambda i: bits.be_uint("raw", dg_at + i * 2, 2).cast("int")),
         "digital_names": lay["digital_names"],
-        "_nominal": phasor.nominal_hz(freq, lay["fnom"], flags["freq_float"]),
+        "plan": lay["plan"],
+        "_nominal": phasor.nominal_hz(F.col("_f.freq"), lay["fnom"], flags["freq_float"]),
     }
-    decoded = prepared.select(
-        *frames.columns,
+    kept = [c for c in frames.columns if c != "layout"]
+    decoded = read.select(
+        *kept,
         "error",
         F.col("_rx").alias("checksum"),
         F.length("raw").alias("frame_bytes"),
         *(F.when(good, c).alias(n) for n, c in fields.items()),
     )
-    return with_derived(
-        decoded.withColumn("freq_dev", F.col("freq") - F.col("_nominal"))
-        .withColumn("fnom", F.floor(F.col("_nominal") + 0.5).cast("int"))
-        .drop("_nominal", "layout")
+    slotted = phasor.with_standard_slots(decoded).withColumns(
+        {"freq_dev": F.col("freq") - F.col("_nominal"), "fnom": F.floor(F.col("_nominal") + 0.5).cast("int")}
     )
+    return with_derived(slotted.drop("_nominal"))
 
 
 def with_derived(readings: DataFrame) -> DataFrame:
-    """Standard slots and the measures computed from them, from ``channels`` and ``analogs``."""
-    slots = ("va", "vb", "vc", "ia")
-    slotted = phasor.with_standard_slots(readings).select(
-        *readings.columns,
-        *(F.coalesce(F.col(p)[f], F.lit(0.0)).alias(f"{p}_{f}") for f in ("mag", "deg") for p in slots),
-    )
+    """The measures computed from the slots and the analog values."""
     pos, neg, zero = phasor.sequence_magnitudes(("va_mag", "va_deg"), ("vb_mag", "vb_deg"), ("vc_mag", "vc_deg"))
     p, q = phasor.complex_power("va_mag", "va_deg", "ia_mag", "ia_deg")
-    return slotted.select(
+    staged = readings.withColumns({"seq_pos": pos, "seq_neg": neg, "seq_zero": zero})
+    return staged.select(
         "*",
-        pos.alias("seq_pos"),
-        neg.alias("seq_neg"),
-        zero.alias("seq_zero"),
-        phasor.imbalance_pct(pos, neg).alias("imbalance_pct"),
+        phasor.imbalance_pct("seq_pos", "seq_neg").alias("imbalance_pct"),
         phasor.angle_diff("va_deg", "vb_deg").alias("vab_deg"),
         phasor.angle_diff("vb_deg", "vc_deg").alias("vbc_deg"),
         phasor.angle_diff("vc_deg", "va_deg").alias("vca_deg"),

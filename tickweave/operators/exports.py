@@ -52,10 +52,11 @@ def buffer_sheet(readings: DataFrame, phasor_names: list[str], analog_names: lis
     c = F.col
     have = set(readings.columns)
     zero = F.lit(0.0)
-    magnitudes = F.map_from_entries(F.transform("channels", lambda p: F.struct(p["name"], p["mag"])))
-    angles = F.map_from_entries(F.transform("channels", lambda p: F.struct(p["name"], p["deg"])))
-    analogs = F.map_from_arrays("analog_names", "analogs")
-    at = lambda m, n: F.coalesce(F.try_element_at(m, F.lit(n)), zero)
+    def at(values: str, names: str, n: str) -> Column:
+        """The last channel of that name; positions count from 1, 0 means absent."""
+        back = F.array_position(F.reverse(F.col(names)), F.lit(n)).cast("int")
+        return F.coalesce(F.when(back > 0, F.get(F.col(values), F.size(names) - back)), zero)
+
     header = [n for n in ("idcode", "soc", "fracsec_raw", "fracsec_count", "checksum", "frame_bytes", "time_quality") if n in have]
     measures = [
         n
@@ -77,8 +78,8 @@ def buffer_sheet(readings: DataFrame, phasor_names: list[str], analog_names: lis
         *measures,
         F.coalesce(F.get("digitals", F.lit(0)), F.lit(0)).alias("digital"),
         F.array_join(F.transform("digitals", lambda d: d.cast("string")), " ").alias("digital_words"),
-        *(x for n in phasor_names for x in (at(magnitudes, n).alias(f"{n}_mag"), at(angles, n).alias(f"{n}_angle_deg"))),
-        *(at(analogs, n).alias(n) for n in analog_names),
+        *(x for n in phasor_names for x in (at("phasor_mag", "phasor_names", n).alias(f"{n}_mag"), at("phasor_deg", "phasor_names", n).alias(f"{n}_angle_deg"))),
+        *(at("analogs", "analog_names", n).alias(n) for n in analog_names),
     )
 
 

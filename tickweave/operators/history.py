@@ -27,9 +27,8 @@ def frame_history(gated: DataFrame) -> DataFrame:
     c = F.col
     reason = F.when(~c("quality_ok"), F.nullif("reject_reason", F.lit("")))
     cfg = F.when(c("cfg_id") > 0, c("cfg_id")) if "cfg_id" in gated.columns else F.lit(None)
-    if "channels" in gated.columns:
-        mags = F.transform("channels", lambda p: p["mag"])
-        angs = F.transform("channels", lambda p: p["deg"])
+    if "phasor_mag" in gated.columns:
+        mags, angs = c("phasor_mag"), c("phasor_deg")
     else:
         mags, angs = (F.array(*(c(f"{p}_{f}") for p in ("va", "vb", "vc", "ia"))) for f in ("mag", "deg"))
     dev = c("freq_dev") if "freq_dev" in gated.columns else c("freq") - c("fnom")

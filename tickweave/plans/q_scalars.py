@@ -205,8 +205,10 @@ def with_channels(spark, sf):
 
 
 def slotted(spark, sf):
-    classed = with_channels(spark, sf).withColumn("channels", phasor.with_classes("channels"))
-    return phasor.with_standard_slots(classed)
+    c = with_channels(spark, sf)
+    arrays = {"phasor_mag": F.col("channels.mag"), "phasor_deg": F.col("channels.deg")}
+    bare = c.select("arrival_seq", F.col("channels.name").alias("phasor_names"), *(a.alias(n) for n, a in arrays.items()))
+    return phasor.with_standard_slots(phasor.with_slot_plan(bare))
 
 
 def _by_set(*exprs: str) -> str:
@@ -228,12 +230,8 @@ def _slot_sql(field: str) -> dict[str, str]:
     "SELECT arrival_seq, " + ", ".join(f"{e} AS {p}_{f}" for f in ("mag", "deg") for p, e in _slot_sql(f).items()) + " FROM frames",
 )
 def _(spark, sf):
-    s = slotted(spark, sf)
-    zero = F.lit(0.0)
-    return s.select(
-        "arrival_seq",
-        *(d6(F.coalesce(F.col(p)[f], zero)).alias(f"{p}_{f}") for f in ("mag", "deg") for p in ("va", "vb", "vc", "ia")),
-    )
+    slots = [f"{p}_{f}" for f in ("mag", "deg") for p in phasor.SLOTS]
+    return slotted(spark, sf).select("arrival_seq", *(d6(c).alias(c) for c in slots))
 
 
 @query(
@@ -244,7 +242,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     s = slotted(spark, sf)
-    mags, degs = phasor.trend_values("channels", "mag"), phasor.trend_values("channels", "deg")
+    mags, degs = phasor.trend_values("mag", "phasor_mag"), phasor.trend_values("deg", "phasor_deg")
     return s.select(
         "arrival_seq",
         *(d6(c).alias(f"{p}_mag") for p, c in mags.items()),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickweave.functions.phasor import angle_diff
 from tickweave.operators.quality import drop_rejected, quality_gate
@@ -19,8 +20,15 @@ LIVE_US = HOUR_US  # how fresh the last frame of a connected device is in these
 V1_US, V2_US = 1_704_067_200_000_000, 1_705_276_800_000_000  # 2024-01-01, 2024-01-15
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its footer is read for the schema only once per process."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def micros(c: str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,14 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # list hourly partition folders with a bounded number of tasks
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+}
+
+# settings a running session cannot change any more
+STATIC_SETTINGS = {
+    # no Python stack capture per column expression while plans are built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -22,18 +32,32 @@ def build_session(app: str = "tickweave", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**STATIC_SETTINGS, **SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime-changeable settings to a session someone else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python tasks import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tickweave-')}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for streaming checkpoints and cut lineage.
 

@@ -123,10 +123,12 @@ def write_frame_history(rows: DataFrame, path: str, mode: str = "append", files_
     busy hour nor a busy device ends up in one task; files stay few per hour.
     """
     spread = F.pmod(F.xxhash64(F.floor(F.col("time_us") / 1_000_000)), F.lit(files_per_hour))
+    # a fixed number of tasks: merging small ones would write the hours one after another
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.withColumn("hour", hour_of("time_us"))
         .withColumn("_spread", spread)
-        .repartition("hour", "_spread")
+        .repartition(tasks, "hour", "_spread")
         .drop("_spread")
         .sortWithinPartitions("hour", "pmu_id", "time_us")
         .write.mode(mode)
