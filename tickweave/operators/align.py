@@ -18,7 +18,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweave.functions import fleet
-from tickweave.operators.chunked import forward_fill
 
 # --- fixed values: grid period when no rate is known, and the "this is milliseconds" bound ---
 DEFAULT_PERIOD_US = 50_000
@@ -85,55 +84,60 @@ def _nearest_inside(rows: DataFrame) -> DataFrame:
 def nearest_tick(readings: DataFrame, period_us: int) -> DataFrame:
     """Give each (device, tick) its nearest sample; adds ``tick_us``, a sample is used once.
 
-    Several arrivals with one stamp count as one sample, the last arrival. The ranking
-    is one shuffle on (device, tick) that keeps a single row per group and task. Only
-    border samples of an even period take the second, narrow path.
+    Several arrivals with one stamp count as one sample, the last arrival. Rows are
+    shuffled once: by (device, tick) for an odd period, by (device, stretch of ticks) for
+    an even one, whose border samples also look at the tick below.
     """
     half = period_us // 2
     rows = readings.withColumn("tick_us", _floor_to(F.col("meas_us") + half, period_us))
-    if period_us % 2:
-        return _nearest_inside(rows)
-    on_border = F.col("tick_us") - F.col("meas_us") == half
-    inner = rows.filter(~on_border)
-    picked = _border_picks(rows.filter(on_border), inner.select("pmu_id", "tick_us"), period_us)
-    return _nearest_inside(inner).unionByName(picked)
-
-
-def _border_picks(border_rows: DataFrame, inner_keys: DataFrame, period_us: int) -> DataFrame:
-    """Which border samples are used, and at which of their two ticks.
-
-    ``border_rows`` carry their upper tick as ``tick_us``. Whatever matters to a border
-    sample is sent to its (device, upper tick) as a note: the sample itself, a border
-    sample one period earlier, inner samples at either tick. One grouping collects them.
-    """
-    cols = border_rows.columns
-    keys = border_rows.select("pmu_id", "tick_us")
-    touched = keys.select("pmu_id", F.explode(F.array("tick_us", F.col("tick_us") - period_us)).alias("tick_us"))
-    held = inner_keys.join(touched, ["pmu_id", "tick_us"], "left_semi")
-    yes = F.lit(True)
-
-    def note(ticks: DataFrame, shift: int, name: str) -> DataFrame:
-        return ticks.select("pmu_id", (F.col("tick_us") + shift).alias("tick_us"), yes.alias(name))
-
-    notes = (
-        border_rows.select("pmu_id", "tick_us", "arrival_seq", F.struct(*cols).alias("s"))
-        .unionByName(note(keys, period_us, "border_low"), allowMissingColumns=True)
-        .unionByName(note(held, period_us, "inner_low"), allowMissingColumns=True)
-        .unionByName(note(held, 0, "inner_up"), allowMissingColumns=True)
+    return _nearest_inside(rows) if period_us % 2 else _nearest_with_borders(rows, period_us)
+
+
+def _nearest_with_borders(rows: DataFrame, period_us: int) -> DataFrame:
+    """The even period; every row carries its upper tick as ``tick_us``."""
+    c, part = F.col, ["pmu_id", "_chunk"]
+    span = period_us * TICKS_PER_CHUNK
+    chunk = F.floor(c("tick_us") / span).cast("bigint")
+    # the last tick of a stretch is also shown to the next one
+    shown = F.when(c("tick_us") == (chunk + 1) * span - period_us, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = (
+        rows.select("*", F.explode(shown).alias("_guest"))
+        .withColumn("_chunk", chunk + c("_guest"))
+        .withColumn("_border", c("tick_us") - c("meas_us") == period_us // 2)
+        # one placement serves the ranking per tick and the look at the tick below
+        .repartition(*part)
+    )
+    ranks = W.partitionBy(*part, "tick_us", "_border").orderBy(
+        F.abs(c("meas_us") - c("tick_us")), "meas_us", F.desc("arrival_seq")
     )
-    flags = ["border_low", "inner_low", "inner_up"]
-    linked = (
-        notes.groupBy("pmu_id", "tick_us")
-        .agg(F.max_by("s", "arrival_seq").alias("s"), *(F.max(f).alias(f) for f in flags))
-        .filter(F.col("s").isNotNull())
-        .na.fill(False, flags)
-        # NULL inside a run: the fate of its first member is carried forward
-        .withColumn("_fate", F.when(F.col("inner_low") | ~F.col("border_low"), ~F.col("inner_low")))
+    best = spread.withColumn("_rank", F.row_number().over(ranks)).filter("_rank = 1")
+    # a tick has at most an inner and a border row, so what a border row needs to know of its
+    # own tick and the one below is among the three rows before it
+    ticks = W.partitionBy(*part).orderBy("tick_us", "_border")
+    near = [F.lag(F.struct("tick_us", "_border"), k).over(ticks).alias(f"_n{k}") for k in (1, 2, 3)]
+    no = F.lit(False)
+
+    def seen(steps: int, border: bool) -> Column:
+        at = c("tick_us") - steps * period_us
+        hits = [(c(f"_n{k}.tick_us") == at) & (c(f"_n{k}._border") == border) for k in (1, 2, 3)]
+        return F.coalesce(hits[0], no) | F.coalesce(hits[1], no) | F.coalesce(hits[2], no)
+
+    linked = best.select("*", *near).withColumns(
+        {"_inner_up": seen(0, False), "_inner_low": seen(1, False), "_border_low": seen(1, True)}
     )
-    fate = forward_fill(linked, ["pmu_id"], ["tick_us"], "_fate", period_us * TICKS_PER_CHUNK, "goes_down")
-    tick = F.when(F.col("goes_down"), F.col("tick_us") - period_us).otherwise(F.col("tick_us"))
-    placed = fate.filter(F.col("goes_down") | ~F.col("inner_up")).select(tick.alias("_tick"), "s.*")
-    return placed.select(*(F.col("_tick").alias(c) if c == "tick_us" else F.col(c) for c in cols))
+    # NULL inside a run of border samples: the fate of its first member is carried forward
+    starts = c("_border") & (c("_guest") == 0) & (c("_inner_low") | ~c("_border_low"))
+    own = F.last(F.when(starts, ~c("_inner_low")), ignorenulls=True)
+    upto = ticks.rowsBetween(W.unboundedPreceding, W.currentRow)
+    fated = linked.withColumn("_down", own.over(upto)).filter("_guest = 0")
+    # runs that reach into a stretch get their fate from the stretches before it
+    ends = fated.filter("_border").groupBy(*part).agg(F.max_by("_down", "tick_us").alias("_end"))
+    before = W.partitionBy("pmu_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*part, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    down = F.when(c("_border"), F.coalesce("_down", "_carried")).otherwise(no)
+    placed = fated.join(carried, part, "left").withColumn("_down", down).filter(c("_down") | ~c("_border") | ~c("_inner_up"))
+    tick = F.when(c("_down"), c("tick_us") - period_us).otherwise(c("tick_us"))
+    return placed.withColumn("tick_us", tick).select(rows.columns)
 
 
 def exact_tick(readings: DataFrame, ticks: DataFrame) -> DataFrame:

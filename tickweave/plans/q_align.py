@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickweave.operators import align
 from tickweave.plans import views as v
 from tickweave.plans.registry import query, r6, sql_view
+from tickweave.session import materialize
 
 HALF_HOUR_US = v.HOUR_US // 2
 
@@ -63,7 +64,8 @@ _aligned_sql("half_hourly", "frames_edge", HALF_HOUR_US, FRAME_COLS)
 
 
 def expected(readings):
-    return readings.select("pmu_id").distinct()
+    """The devices that send, as the small written table a registry would be."""
+    return materialize(readings.select("pmu_id").distinct(), "expected")
 
 
 def hourly_points(spark, sf):
@@ -72,7 +74,9 @@ def hourly_points(spark, sf):
 
 
 def hourly_ticks(spark, sf):
-    return align.align_ticks(hourly_points(spark, sf), expected(v.accepted(spark, sf)))
+    acc = v.accepted(spark, sf)
+    devices = expected(acc)
+    return align.align_ticks(align.align_points(acc, devices, v.HOUR_US), devices)
 
 
 def _flat(ticks):
