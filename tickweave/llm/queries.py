@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickweave.llm.bpe import bpe_decode, bpe_encode
 from tickweave.llm.common import table
 from tickweave.llm.packing import pack
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
@@ -37,3 +38,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048."""
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary(), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded through the pair index and decoded again."""
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
