@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave.llm.bpe import bpe_decode, bpe_encode
 from tickweave.llm.common import table
+from tickweave.llm.jaccard import jaccard_components
 from tickweave.llm.packing import pack
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
 
@@ -50,3 +51,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their five-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
