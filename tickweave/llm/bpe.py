@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickweave.llm.common import keyed_text
+from tickweave.llm.common import keyed_text, slices
 
 #: distinct runs between blanks that a worker remembers before it starts anew; bounds memory, not results
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: ids or characters in one Arrow batch, about
 BATCH_BYTES = 8 << 20
 #: characters that are looked at together, so that their new words share one index
-TOGETHER = 24_000_000
+TOGETHER = 5_000_000
 
 # fixed values: how the vocabularies of this kind cut a text into words, and mark a word's end
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -228,7 +228,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield from _batches(batch.column(0), coder(vocabulary).encode(batch.column(1).to_pylist()), "ids", pa.binary())
 
     return keyed_text(docs, key, text).mapInArrow(run, "doc_id long, ids binary")

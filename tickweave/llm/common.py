@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.session import checkpoint_root, materialize
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
@@ -41,3 +46,11 @@ def words_of(text):
 def bind(value, use):
     """Column: `use(value)` with the value computed once per row, also where `use` names it inside a lambda."""
     return F.transform(F.array(value), use)[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches of about `most` bytes: Spark bounds a batch's rows, not what they hold. A longer row comes alone."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm.bpe import bpe_decode, bpe_encode
@@ -13,6 +13,7 @@ from tickweave.llm.common import table
 from tickweave.llm.jaccard import jaccard_components
 from tickweave.llm.packing import pack
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
+from tickweave.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def fold() -> Column:
+    """Remainder that holds rows of a labelled table out of learning, if it is 0."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labelled rows that aren't held out."""
+    scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn=fold() != 0)
+    return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to ranked variable-length files in key order and read back."""

@@ -7,6 +7,7 @@ as never.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 SHINGLE = 5
 #: bytes whose words are numbered together
 SEGMENT = 2 << 20
+#: bytes between words: blank, tab, line feed, vertical tab, form feed, carriage return
+BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -28,11 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables(gaps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
     value[0x41:0x5B] = value[0x61:0x7B]  # A-Z count as a-z
     gap = np.zeros(256, dtype=bool)
-    gap[[0x20, *range(0x09, 0x0E)]] = True
+    gap[list(gaps)] = True
     value[gap] = 0
     n = SEGMENT + 1
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
@@ -42,13 +45,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return value, gap, up, down, parts
 
 
-_made: list = []
-
-
-def tables():
-    if not _made:
-        _made.append(_tables())
-    return _made[0]
+@functools.cache
+def tables(gaps: bytes):
+    return _tables(gaps)
 
 
 def _segments(ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -61,9 +60,9 @@ def _segments(ends: np.ndarray) -> Iterator[tuple[int, int]]:
         row = stop
 
 
-def _word_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_numbers(data: np.ndarray, gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and start places of the words of some bytes that begin with a gap, at most SEGMENT of them."""
-    value, gap, up, down, _ = tables()
+    value, gap, up, down, _ = tables(gaps)
     blank = gap[data]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     if not len(starts):
@@ -75,33 +74,33 @@ def _word_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends - 1] - total[starts - 1]) * down[starts]), starts
 
 
-def _long_row(data: np.ndarray) -> np.ndarray:
+def _long_row(data: np.ndarray, gaps: bytes) -> np.ndarray:
     """Word numbers of one row of any length, cut at gaps; a word over SEGMENT bytes is numbered from its pieces."""
-    gap = tables()[1]
-    out, at = [], 0
+    gap = tables(gaps)[1]
+    out, at, blank = [], 0, np.array([32], dtype=np.uint8)
     while at < len(data):
         stop = min(len(data), at + SEGMENT - 1)
         if stop < len(data):
-            gaps = np.flatnonzero(gap[data[at:stop]])
-            if len(gaps) and gaps[-1] > 0:
-                stop = at + int(gaps[-1])
-            elif not len(gaps):  # inside one huge word
+            cuts = np.flatnonzero(gap[data[at:stop]])
+            if len(cuts) and cuts[-1] > 0:
+                stop = at + int(cuts[-1])
+            elif not len(cuts):  # inside one huge word
                 nexts = np.flatnonzero(gap[data[stop:]])
                 end = stop + int(nexts[0]) if len(nexts) else len(data)
-                pieces = [_word_numbers(np.concatenate([[np.uint8(32)], data[i : min(end, i + SEGMENT - 1)]]))[0] for i in range(at, end, SEGMENT - 1)]
+                pieces = [_word_numbers(np.concatenate([blank, data[i : min(end, i + SEGMENT - 1)]]), gaps)[0] for i in range(at, end, SEGMENT - 1)]
                 number = np.zeros(1, dtype=np.uint64)
                 for piece in pieces:
                     number = mix(number * np.uint64(_BASE) + piece)
                 out.append(number)
                 at = end
                 continue
-        out.append(_word_numbers(np.concatenate([[np.uint8(32)], data[at:stop]]))[0])
+        out.append(_word_numbers(np.concatenate([blank, data[at:stop]]), gaps)[0])
         at = stop
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all words of an Arrow string array without nulls, and how many each row has."""
+def word_numbers(texts: pa.Array, gaps: bytes = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words of an Arrow string array without nulls, and how many each row has. `gaps` separate words; the blank is one."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
@@ -109,11 +108,11 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     spread = offsets + np.arange(len(offsets))  # with one gap put before each row
     for row, stop in _segments(spread):
         if stop == row + 1 and spread[stop] - spread[row] > SEGMENT:
-            words = _long_row(data[offsets[row] : offsets[stop]])
+            words = _long_row(data[offsets[row] : offsets[stop]], gaps)
             counts[row] = len(words)
         else:
             joined = np.insert(data[offsets[row] : offsets[stop]], offsets[row:stop] - offsets[row], 32)
-            words, starts = _word_numbers(joined)
+            words, starts = _word_numbers(joined, gaps)
             counts[row:stop] = np.diff(np.searchsorted(starts, spread[row : stop + 1] - spread[row]))
         numbers.append(words)
     return np.concatenate(numbers), counts
@@ -125,7 +124,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A row with fewer words than a shingle has its whole sequence as one; a row without words has none.
     """
     words, counts = word_numbers(texts)
-    parts = tables()[4]
+    parts = tables(BLANKS)[4]
     ends = np.cumsum(counts)
     starts = ends - counts
     row = np.repeat(np.arange(len(counts)), counts)

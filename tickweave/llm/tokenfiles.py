@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import keyed_text, shared_folder, written
+from tickweave.llm.common import keyed_text, shared_folder, slices, written
 from tickweave.llm.files import attempt_name, reader, writer
 from tickweave.llm.tokens import ids_of, prefix_sums, tokenized
 
@@ -71,7 +71,7 @@ def code_book(ids: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             seen = np.bincount(ids_of(batch.column(0).to_pylist())[0])
             if len(seen) > len(total):
                 total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
@@ -102,7 +102,7 @@ def write_token_files(
     rank_of[book] = np.arange(len(book), dtype="<u4")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4 << 20):
             flat, counts = ids_of(batch.column("ids").to_pylist())
             control, data, controls, sizes = encode_ranks(rank_of[flat], counts)
             yield pa.record_batch(

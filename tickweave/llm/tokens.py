@@ -7,7 +7,9 @@ normalizer that would leave them as they are. Texts that spell a special token g
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -15,12 +17,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tickweave.llm.common import slices
+
 #: distinct runs that a worker remembers before it starts anew; bounds memory, not results
 REMEMBERED = 400_000
 #: rows written per Arrow batch hold about so many bytes of ids
 BATCH_BYTES = 8 << 20
-_LATIN_END = "ɐ"
+#: characters that are looked at together
+TOGETHER = 4_000_000
 _CLOSING = frozenset(",.!?;:")
+#: characters after the Latin blocks: they may not be in normal form, or lower-case by context
+_beyond_latin = re.compile("[ɐ-\U0010ffff]")
 
 
 class Encoder:
@@ -29,43 +36,36 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers
 
-        self.full = Tokenizer.from_file(path)
-        self.full.no_truncation()
-        self.full.no_padding()
-        self.plain = Tokenizer.from_file(path)
-        self.plain.no_truncation()
-        self.plain.no_padding()
-        self.plain.normalizer = normalizers.Sequence([])
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.mark = self.special[0][:2] if self.special and len({s[:2] for s in self.special}) == 1 else ""
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.normalizer, self.nothing = self.library.normalizer, normalizers.Sequence([])
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {"": b""}
 
-    @staticmethod
-    def _bytes(encodings) -> list[bytes]:
-        ids = [e.ids for e in encodings]
-        flat = np.fromiter((x for row in ids for x in row), dtype="<u4", count=sum(map(len, ids))).tobytes()
-        ends = np.cumsum([0, *map(len, ids)]) * 4
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    def _add(self, runs: list[str]) -> None:
+        ids = [e.ids for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+        ends = list(accumulate(map(len, ids), initial=0))
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=ends[-1]).tobytes()
+        self.known.update(zip(runs, [flat[4 * i : 4 * j] for i, j in pairwise(ends)], strict=True))
 
     def _learn(self, runs: set[str]) -> None:
-        """Encode runs not seen before."""
-        plain, closed, rest = {}, [], []
-        for run in runs:
-            low = run.lower()
-            if max(low) >= _LATIN_END:
-                rest.append(run)
-            elif low.isalpha():
-                plain[run] = low
-            elif low[-1] in _CLOSING and low[:-1].isalpha():
-                closed.append((run, low[:-1], low[-1]))
-            else:
-                rest.append(run)
-        words = sorted({*plain.values(), *(w for _, w, _ in closed), *(c for _, _, c in closed)})
-        ids = dict(zip(words, self._bytes(self.plain.encode_batch_fast(words, add_special_tokens=False)), strict=True)) if words else {}
-        self.known.update((run, ids[low]) for run, low in plain.items())
-        self.known.update((run, ids[w] + ids[c]) for run, w, c in closed)
-        if rest:
-            self.known.update(zip(rest, self._bytes(self.full.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        """Encode runs not seen before, Latin ones in lower case."""
+        known = self.known
+        words = {r for r in runs if r.isalpha()}
+        rest = runs - words
+        closed = [r for r in rest if r[-1] in _CLOSING and r[:-1].isalpha()]
+        rest.difference_update(closed)
+        words.update([r[:-1] for r in closed], _CLOSING)
+        words.difference_update(known)
+        plain = [w for w in words if w.isascii() or _beyond_latin.search(w) is None]
+        plain = [w for w in plain if w == w.lower()]
+        self.library.normalizer = self.nothing
+        self._add(plain)
+        self.library.normalizer = self.normalizer
+        self._add([*rest, *words.difference(plain)])
+        known.update([(r, known[r[:-1]] + known[r[-1]]) for r in closed])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Looks ahead a few million characters at a time, so that new runs go to the library together."""
@@ -73,7 +73,7 @@ class Encoder:
         for text in texts:
             part.append(text)
             size += len(text)
-            if size >= 4_000_000:
+            if size >= TOGETHER:
                 yield from self._encode(part)
                 part, size = [], 0
         yield from self._encode(part)
@@ -81,20 +81,25 @@ class Encoder:
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        whole = [bool(self.special) and (not self.mark or self.mark in t) and any(s in t for s in self.special) for t in texts]
-        runs = [None if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole, strict=True)]
+        runs = []
         new: set[str] = set()
-        for r in runs:
-            if r:
-                new.update(r)
+        for text in texts:
+            if self.special is not None and self.special.search(text):
+                runs.append(None)
+                continue
+            if text.isascii() or _beyond_latin.search(text) is None:
+                text = text.lower()  # what the normalizer does to them, and all it does
+            own = text.replace("\n", " ").split(" ")
+            new.update(own)
+            runs.append(own)
         if new := new.difference(self.known):
             self._learn(new)
         known = self.known
-        for text, r in zip(texts, runs, strict=True):
-            if r is None:
-                yield self._bytes([self.full.encode(text, add_special_tokens=False)])[0]
+        for text, own in zip(texts, runs, strict=True):
+            if own is None:
+                yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
-                yield b"".join([known[x] for x in r])
+                yield b"".join(map(known.__getitem__, own))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -118,7 +123,7 @@ def tokenized(texts: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, before = TaskContext.get().partitionId(), 0, 0
         enc = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids: list[bytes] = []
             size, done = 0, 0
             doc_ids = batch.column(0)
