@@ -42,6 +42,8 @@ SMALL_MOST = 14
 LIST_ENTRIES = 250_000
 #: members of a block of a long list
 BLOCK = 512
+#: bits of the table that picks texts, as a power of two
+FILTER_BITS = 24
 
 
 def shared_least(k: int | np.ndarray, m: int | np.ndarray):
@@ -127,13 +129,13 @@ def _boundary(docs: DataFrame, common: np.ndarray) -> int:
     entry = 2.0 + float(common.mean())  # one list entry: written, and met by others as common as shingles are
     best, least = 0, None
     for x in range(SMALL_MOST + 1):
-        cost = sum(c * (sum(math.comb(k, shared_least(k, m)) for m in _near(k, x)) if k <= x else entry * (k - smallest_partner(k) + 1)) for k, c in sizes.items())
+        cost = sum(c * (sum(math.comb(k, shared_least(k, m)) for m in _partners(k, x)) if k <= x else entry * (k - smallest_partner(k) + 1)) for k, c in sizes.items())
         if least is None or cost < least:
             best, least = x, cost
     return best
 
 
-def _near(k: int, most: int) -> range:
+def _partners(k: int, most: int) -> range:
     return range(smallest_partner(k), min(most, k * DEN // NUM) + 1)
 
 
@@ -141,7 +143,7 @@ def small_links(docs: DataFrame, boundary: int) -> DataFrame:
     """(a, b) links between small sets, through the smallest set on each side of every subset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picks = {k: {c: np.array(list(itertools.combinations(range(k), c))) for c in {shared_least(k, m) for m in _near(k, boundary)}} for k in range(1, boundary + 1)}
+        picks = {k: {c: np.array(list(itertools.combinations(range(k), c))) for c in {shared_least(k, m) for m in _partners(k, boundary)}} for k in range(1, boundary + 1)}
         for batch in batches:
             sizes = batch.column("n").to_numpy()
             cids = batch.column("cid").to_numpy()
@@ -149,7 +151,7 @@ def small_links(docs: DataFrame, boundary: int) -> DataFrame:
             for k in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == k)
                 members = mix(np.frombuffer(b"".join(sets[i] for i in rows), dtype="<u8").reshape(-1, k))
-                for m in _near(k, boundary):
+                for m in _partners(k, boundary):
                     chosen = picks[k][shared_least(k, m)]
                     low, high = min(k, m), max(k, m)
                     for at in range(0, len(rows), 4096):
@@ -239,22 +241,72 @@ def _rarest(batch: pa.RecordBatch, common: np.ndarray, least: int) -> np.ndarray
     return out[np.argsort(out["token"], kind="stable")]
 
 
-def _sets_of(texts: DataFrame, facts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(cid, n, forms, sketch) of the classes in inverted lists, from one document of each."""
+def _kinds(facts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(cid, n, sketch, doc_id) of the classes in inverted lists; doc_id: one document of each."""
+    used = facts.join(entries.select("cid").distinct(), "cid", "left_semi")
+    return used.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+
+
+def _maybe_in(keys: DataFrame, column: str) -> np.ndarray:
+    """A table of 2^FILTER_BITS bits, whatever the corpus: the bits of all keys are set. What it lets through too much does no harm."""
+    places = keys.select(F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).alias("at"))
+    bits = places.select(F.floor(F.col("at") / 63).alias("word"), F.expr("shiftleft(1L, CAST(at % 63 AS INT))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros((1 << FILTER_BITS) // 63 + 1, dtype=np.int64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _sets_of(texts: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cid, forms) of the classes in pairs, from one document of each. Texts are picked where they are read, not shuffled."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    chosen = _maybe_in(kinds.join(wanted, "cid", "left_semi"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((chosen[at // 63] >> (at % 63)) & 1 == 1))
+            for part in slices(iter([batch])) if batch.num_rows else ():
+                forms, counts = shingle_sets(part.column("text"))
+                cid, _ = _fingerprints(forms, counts)
+                yield pa.record_batch({"cid": pa.array(cid), "forms": _binary(forms, counts * 8)})
+
+    placed = texts.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("at"))
+    sets = placed.mapInArrow(run, "cid long, forms binary").join(wanted, "cid", "left_semi")
+    return sets.groupBy("cid").agg(F.first("forms").alias("forms"))  # a key may be on several rows
+
+
+def _near(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(a, b, gap) of the pairs that the parity sketches don't rule out; gap: how far apart they seem, 1 at the bound.
+
+    Cells whose parity differs are at most as many as shingles that only one of the sets has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            forms, counts = shingle_sets(batch.column(1))
-            cid, _ = _fingerprints(forms, counts)
-            sketch, sizes = _sketches(forms, counts)
-            yield pa.record_batch({"cid": pa.array(cid), "n": pa.array(counts), "forms": _binary(forms, counts * 8), "sketch": _binary(sketch, sizes)})
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            most = n + m - 2 * shared_least(n, m)
+            apart = np.fromiter(map(_differing, batch.column("s").to_pylist(), batch.column("t").to_pylist()), dtype=np.int64, count=batch.num_rows)
+            keep = pa.array(apart <= most)
+            gap = pa.array(apart / np.maximum(most, 1))
+            yield pa.record_batch({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep), "gap": gap.filter(keep)})
 
-    one = facts.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).join(entries.select("cid").distinct(), "cid", "left_semi")
-    sets = texts.join(one.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "cid long, n long, forms binary, sketch binary")
-    return sets.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "forms", "sketch")))  # a key may be on several rows
+    left = pairs.join(kinds.select(F.col("cid").alias("a"), "n", F.col("sketch").alias("s")), "a")
+    both = left.join(kinds.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t")), "b")
+    return both.select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a long, b long, gap double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _differing(s: bytes, t: bytes) -> int:
+    if len(s) < len(t):
+        s, t = t, s
+    x, y, bits = int.from_bytes(s, "little"), int.from_bytes(t, "little"), 8 * len(s)
+    while bits > 8 * len(t):  # cells of the finer sketch fall together
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame) -> DataFrame:
     """The (a, b) whose sets are similar enough, by counting what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +318,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             order = np.lexsort((forms, row))
             forms, row = forms[order], row[order]
             twice = (forms[1:] == forms[:-1]) & (row[1:] == row[:-1])
-            shared = np.bincount(row[1:][twice], minlength=len(n))
-            linked = shared >= shared_least(n, m)
-            yield pa.record_batch({c: batch.column(c).filter(pa.array(linked)) for c in ("a", "b")})
+            linked = pa.array(np.bincount(row[1:][twice], minlength=len(n)) >= shared_least(n, m))
+            yield pa.record_batch({c: batch.column(c).filter(linked) for c in ("a", "b")})
 
+    sets = written(_sets_of(texts, kinds, pairs), "sets")
     with_left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("forms").alias("left")), "a")
     both = with_left.join(sets.select(F.col("cid").alias("b"), F.col("forms").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -287,16 +339,17 @@ def _first_pairs(entries: DataFrame) -> DataFrame:
     return counted.groupBy("cid").agg(F.max_by("lead", F.struct("times", "lead")).alias("b")).select(F.col("cid").alias("a"), "b")
 
 
-def _later_pairs(entries: DataFrame, labels: DataFrame, sets: DataFrame, groups: int, best: bool) -> DataFrame:
-    """Pairs of different components that share a list and pass the bounds: all of them, or the likeliest of each member."""
+def _later_pairs(entries: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
+    """Pairs of different components that share a list and pass the bounds on sizes and places."""
     placed = entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lists = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     lists = lists.filter("l0 <> l1").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    live = placed.join(lists, "token").join(sets.select("cid", "sketch"), "cid")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = live.withColumn("own", own).withColumn("other", other).select(
-        "token", "cid", "n", "pos", "label", "sketch", "own",
+    live = placed.join(lists, "token")
+    dealt = live.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    dealt = dealt.select(
+        "token", "cid", "n", "pos", "label", "own",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         # short lists share a group; a pair of blocks of a long one has a group of its own
@@ -304,55 +357,33 @@ def _later_pairs(entries: DataFrame, labels: DataFrame, sets: DataFrame, groups:
     )
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        a, b, gap = _passing(group, key[1].as_py() != key[2].as_py())
-        if best and len(a):
-            ends = np.concatenate([a, b])
-            order = np.lexsort((np.concatenate([gap, gap]), ends))
-            order = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
-            a, b, gap = ends[order], np.concatenate([b, a])[order], np.concatenate([gap, gap])[order]
-        return pa.table({"a": a, "b": b, "gap": gap})
-
-    found = dealt.groupBy("group", "i", "j").applyInArrow(run, "a long, b long, gap double")
-    if best:
-        return found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
-    return found.select("a", "b").distinct()
-
-
-def _passing(group: pa.Table, two_blocks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a group's lists that the bounds don't rule out, with how far the sketches say they are apart (0 to 1: at the bound)."""
+        a, b = _passing(group, key[1].as_py() != key[2].as_py())
+        return pa.table({"a": a, "b": b})
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _passing(group: pa.Table, two_blocks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's lists that the bounds don't rule out."""
     order = np.argsort(group.column("token").to_numpy(), kind="stable")
     token, cid, n, pos, label, own = (group.column(c).to_numpy()[order] for c in ("token", "cid", "n", "pos", "label", "own"))
-    sketches = group.column("sketch").to_pylist()
-    sketch = [int.from_bytes(sketches[i], "little") for i in order.tolist()]
-    bits = np.fromiter((8 * len(sketches[i]) for i in order.tolist()), dtype=np.int64, count=len(order))
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
-    stop = np.append(start[1:], len(token))
-    seen: dict[tuple[int, int], float] = {}
-    for x, y in zip(start.tolist(), stop.tolist(), strict=True):
-        for i in range(x, y - 1):
-            rest = np.arange(i + 1, y)
-            ok = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * DEN >= np.maximum(n[rest], n[i]) * NUM)
-            if two_blocks:
-                ok &= own[rest] != own[i]
-            rest = rest[ok]
-            if not len(rest):
-                continue
-            need = shared_least(n[rest], n[i])
-            rest = rest[np.minimum(n[rest] - pos[rest], n[i] - pos[i]) >= need]
-            for j in rest.tolist():
-                pair = (int(cid[i]), int(cid[j])) if cid[i] < cid[j] else (int(cid[j]), int(cid[i]))
-                if pair in seen:
-                    continue
-                most = int(n[i] + n[j] - 2 * shared_least(int(n[i]), int(n[j])))
-                s, t, p, q = (sketch[i], sketch[j], bits[i], bits[j]) if bits[i] >= bits[j] else (sketch[j], sketch[i], bits[j], bits[i])
-                while p > q:  # cells of the finer sketch fall together
-                    p //= 2
-                    s = (s >> int(p)) ^ (s & ((1 << int(p)) - 1))
-                seen[pair] = (s ^ t).bit_count() / max(1, most) if most else float((s ^ t) != 0) * 2
-    kept = [(a, b, g) for (a, b), g in seen.items() if g <= 1]
-    return (
-        np.array([k[0] for k in kept], dtype=np.int64), np.array([k[1] for k in kept], dtype=np.int64), np.array([k[2] for k in kept], dtype=np.float64)
-    )
+    stop = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+    last = np.repeat(stop, np.diff(np.concatenate([[0], stop])))  # where each entry's list ends
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    step = 1
+    while True:  # every entry with the one `step` places on in its list
+        i = np.flatnonzero(np.arange(len(token)) + step < last)
+        if not len(i):
+            break
+        j = i + step
+        ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM)
+        if two_blocks:
+            ok &= own[i] != own[j]
+        ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= shared_least(n[i], n[j])
+        found.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])], axis=1))
+        step += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,13 +402,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     links = written(small_links(known, boundary), "links")
     entries = written(list_entries(texts.filter("doc_id IS NOT NULL"), common, boundary, groups), "entries")
-    sets = written(_sets_of(texts, known, entries), "members")
-    links = links.unionByName(written(_verified(_first_pairs(entries), sets), "links"))
+    kinds = written(_kinds(known, entries), "kinds")
+    pairs = written(_near(_first_pairs(entries), kinds), "pairs")
+    links = links.unionByName(written(_verified(pairs, texts, kinds), "links"))
+    labels = written(components(links), "labels")
+    pairs = written(_near(_later_pairs(entries, labels, groups), kinds), "pairs")
+    # first the likeliest partner of each, then all that is left between components
+    best = pairs.select("a", "b", "gap").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    best = written(best.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")), "best")
+    links = links.unionByName(written(_verified(best, texts, kinds), "links"))
+    labels = written(components(links), "labels")
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
+    apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    apart = written(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "apart")
+    links = links.unionByName(written(_verified(apart, texts, kinds), "links"))
     labels = written(components(links), "labels")
-    for best in (True, False):
-        pairs = written(_later_pairs(entries, labels, sets, groups, best), "pairs")
-        links = links.unionByName(written(_verified(pairs, sets), "links"))
-        labels = written(components(links), "labels")
 
     placed = facts.select("doc_id", "n", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.withColumn("label", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("label", "cid")))
