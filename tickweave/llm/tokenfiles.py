@@ -9,6 +9,7 @@ with a new control byte. Data bytes are ranks, little-endian. The header is the
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,14 +90,17 @@ def write_token_files(
     """Encode, rank and write all documents in ascending key order (null keys first, equal keys in the order they are read).
 
     Returns the manifest, written itself: shard, path, n_docs, n_ids. Rows are dealt to files by ranges of the key and the place a
-    row was read at, so equal keys can be split too. Ranked bytes travel, not ids.
+    row was read at, so equal keys can be split too; a sample of places, some for each file, gives the borders. Ranked bytes travel,
+    not ids.
 
     Null text: the end id alone. Repeated rows: each is written. Empty table: an empty manifest.
     """
     spark = docs.sparkSession
     ids = written(tokenized(keyed_text(docs, key, text), vocabulary, end_id), "ids")
     book = code_book(ids)
-    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
+    rows, total = ids.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    shards = max(1, math.ceil(total / ids_per_file))
+    borders = _borders(ids, rows, shards)
     folder = shared_folder(spark, "tokens")
     rank_of = np.zeros(int(book.max()) + 1 if len(book) else 1, dtype="<u4")
     rank_of[book] = np.arange(len(book), dtype="<u4")
@@ -105,8 +109,10 @@ def write_token_files(
         for batch in slices(batches, 4 << 20):
             flat, counts = ids_of(batch.column("ids").to_pylist())
             control, data, controls, sizes = encode_ranks(rank_of[flat], counts)
+            places = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "row")), strict=True)
             yield pa.record_batch(
                 {
+                    "shard": pa.array([bisect_right(borders, _place(*p)) for p in places], type=pa.int32()),
                     **{c: batch.column(c) for c in ("doc_id", "part", "row", "n_tokens")},
                     "control": _split(control, controls),
                     "data": _split(data, sizes),
@@ -114,28 +120,41 @@ def write_token_files(
             )
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, n_docs, n_ids, shard = attempt_name(folder, ".tok"), 0, 0, None
+        path, n_docs, n_ids = attempt_name(folder, ".tok"), 0, 0
         first = next((f for f in frames if len(f)), None)
         if first is None:
             return
         with writer(path) as out:
             out.write(MAGIC + len(book).to_bytes(8, "little") + book.tobytes())
             for frame in _chain(first, frames):
-                shard = int(path.rpartition("part-")[2][:6]) if shard is None else shard
                 n_docs, n_ids = n_docs + len(frame), n_ids + int(frame["n_tokens"].sum())
                 size = frame["control"].map(len) + frame["data"].map(len)
                 for _, block in frame.groupby(size.cumsum() // BLOCK_BYTES, sort=False):
                     _write_block(out, block)
-        yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+        yield pd.DataFrame({"shard": [int(first["shard"].iloc[0])], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ranked = ids.select("doc_id", "part", "row", "n_tokens", "ids").mapInArrow(
-        rank, "doc_id long, part int, row long, n_tokens long, control binary, data binary"
+        rank, "shard int, doc_id long, part int, row long, n_tokens long, control binary, data binary"
     )
-    dealt = ranked.repartitionByRange(max(1, math.ceil(total / ids_per_file)), "doc_id", "part", "row")
+    dealt = ranked.repartitionById(shards, F.col("shard"))
     manifest = dealt.sortWithinPartitions("doc_id", "part", "row").mapInPandas(write, "shard int, path string, n_docs long, n_ids long")
     return written(manifest, "manifest")
 
 
+def _place(doc_id: int | None, part: int, row: int) -> tuple[bool, int, int, int]:
+    return (doc_id is not None, doc_id or 0, part, row)
+
+
+def _borders(ids: DataFrame, rows: int, shards: int) -> list[tuple[bool, int, int, int]]:
+    """Where files begin, from about 100 places for each file."""
+    if shards == 1:
+        return []
+    places = ids.select("doc_id", "part", "row")
+    places = places.sample(fraction=100.0 * shards / rows, seed=7) if 100 * shards < rows else places
+    some = sorted(_place(*r) for r in places.collect())
+    return [some[len(some) * k // shards] for k in range(1, shards)] if some else []
+
+
 def _split(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])

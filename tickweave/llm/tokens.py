@@ -1,8 +1,8 @@
 """Whole texts to ids with the `tokenizers` library, each distinct run of characters between blanks encoded once.
 
 The pre-tokenizer of the vocabularies used here never joins characters across a blank, so a text's ids are those of its runs,
-one after the other. A run goes through the library's whole pipeline, except for plain lower-cased words, which skip the
-normalizer that would leave them as they are. Texts that spell a special token go to the library as a whole.
+one after the other. A run goes through the library's whole pipeline, except for plain lower-cased words: the normalizer would
+leave them as they are, so they go to the library's model. Texts that spell a special token go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tickweave.llm.bpe import byte_letters
 from tickweave.llm.common import slices
 
-#: distinct runs that a worker remembers before it starts anew; bounds memory, not results
+#: distinct runs that a worker remembers before it forgets the rarer ones; bounds memory, not results
 REMEMBERED = 400_000
 #: rows written per Arrow batch hold about so many bytes of ids
 BATCH_BYTES = 8 << 20
@@ -34,37 +35,35 @@ class Encoder:
     """`encode(texts)`: the ids of each text as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.normalizer, self.nothing = self.library.normalizer, normalizers.Sequence([])
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {"": b""}
 
-    def _add(self, runs: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+    def _add(self, runs: list[str], ids: list[list[int]]) -> None:
         ends = list(accumulate(map(len, ids), initial=0))
         flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=ends[-1]).tobytes()
         self.known.update(zip(runs, [flat[4 * i : 4 * j] for i, j in pairwise(ends)], strict=True))
 
     def _learn(self, runs: set[str]) -> None:
-        """Encode runs not seen before, Latin ones in lower case."""
-        known = self.known
+        """Encode runs not seen before, Latin ones in lower case. A plain word goes to the library's model as it is."""
+        known, letters, tokenize = self.known, self.letters, self.library.model.tokenize
         words = {r for r in runs if r.isalpha()}
         rest = runs - words
         closed = [r for r in rest if r[-1] in _CLOSING and r[:-1].isalpha()]
         rest.difference_update(closed)
         words.update([r[:-1] for r in closed], _CLOSING)
         words.difference_update(known)
-        plain = [w for w in words if w.isascii() or _beyond_latin.search(w) is None]
-        plain = [w for w in plain if w == w.lower()]
-        self.library.normalizer = self.nothing
-        self._add(plain)
-        self.library.normalizer = self.normalizer
-        self._add([*rest, *words.difference(plain)])
+        plain = [w for w in words if (w.isascii() or _beyond_latin.search(w) is None) and w == w.lower()]
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in plain]
+        self._add(plain, [[t.id for t in tokenize(w)] for w in shown])
+        other = [*rest, *words.difference(plain)]
+        self._add(other, [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)])
         known.update([(r, known[r[:-1]] + known[r[-1]]) for r in closed])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -79,8 +78,6 @@ class Encoder:
         yield from self._encode(part)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
         runs = []
         new: set[str] = set()
         for text in texts:
@@ -92,6 +89,8 @@ class Encoder:
             own = text.replace("\n", " ").split(" ")
             new.update(own)
             runs.append(own)
+        if len(self.known) > REMEMBERED:  # what this part of the texts has is common enough to keep
+            self.known = {"": b"", **{r: self.known[r] for r in new if r in self.known}}
         if new := new.difference(self.known):
             self._learn(new)
         known = self.known
