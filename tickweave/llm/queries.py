@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm.bpe import bpe_decode, bpe_encode
-from tickweave.llm.common import table
+from tickweave.llm.common import keyed_text, table
 from tickweave.llm.jaccard import jaccard_components
 from tickweave.llm.packing import pack
+from tickweave.llm.quality import quality_rules, trusted_texts
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
 from tickweave.llm.toxicity import toxicity_scores
 
@@ -66,6 +67,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality_rules(docs, trusted_texts(keyed_text(docs, "doc_id", "text"), labels))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain rules and the hashed ratio for every document."""
+    rows = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their five-word shingles."""
