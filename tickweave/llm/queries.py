@@ -15,6 +15,7 @@ from tickweave.llm.packing import pack
 from tickweave.llm.quality import quality_rules, trusted_texts
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
 from tickweave.llm.toxicity import toxicity_scores
+from tickweave.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    rows = read_archives(write_archives(table(spark, sf_dir, "pages"))).filter("kind = 'record'")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex,
+        max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+    FROM pages)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5),
+        lambda k: (((strpos('0123456789abcdef', substr(hex, CAST((5 * i + k) // 4 + 1 AS BIGINT), 1)) - 1) >> CAST(3 - (5 * i + k) % 4 AS BIGINT)) & 1)
+            << CAST(4 - k AS BIGINT))) AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p"""
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to ranked variable-length files in key order and read back."""
