@@ -418,7 +418,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     links = links.unionByName(written(_verified(apart, texts, kinds), "links"))
     labels = written(components(links), "labels")
 
-    placed = facts.select("doc_id", "n", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    placed = placed.withColumn("label", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("label", "cid")))
-    least = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # copies meet their class only in the last join, which can be split where a class has many
+    classes = known.groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = classes.select("cid", "label").join(least, "label").select("cid", "component_id")
+    rows = facts.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid"))
+    return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
