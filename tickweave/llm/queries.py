@@ -17,6 +17,7 @@ from tickweave.llm.quality import quality_rules, trusted_texts
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
 from tickweave.llm.topk import largest_products
 from tickweave.llm.toxicity import toxicity_scores
+from tickweave.llm.urllists import filter_captures, host_of, segments_of
 from tickweave.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +113,46 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_rules(docs, trusted_texts(keyed_text(docs, "doc_id", "text"), labels))
 
 
+@query
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against dated list entries. The pages have no dates, so both are made of them: a page is fetched on day
+    (7919 * page_id) mod 1000, and puts its host, domain or first folder on the list, or takes it off, on day (104729 * page_id) mod 1000."""
+    pages = table(spark, sf_dir, "pages")
+    host, parts = host_of(F.col("url")), segments_of(F.col("url"))
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    named = [F.concat(F.lit("host:"), host), F.concat(F.lit("domain:"), domain), F.concat(F.lit("prefix:"), host, F.lit("/"), F.get(parts, F.lit(0)))]
+    entries = pages.select(
+        F.get(F.array(*named), (F.col("page_id") % 3).cast("int")).alias("key"),
+        (F.col("page_id") * 104729 % 1000).cast("int").alias("day"),
+        (F.floor(F.col("page_id") / 3) % 2 == 0).alias("listed"),
+    )
+    return filter_captures(pages.withColumn("day", (F.col("page_id") * 7919 % 1000).cast("int")), entries)
+
+
+ORACLES["op7_url_lists"] = r"""
+WITH p AS (
+    SELECT page_id, url, CAST(page_id * 7919 % 1000 AS INTEGER) AS day, CAST(page_id * 104729 % 1000 AS INTEGER) AS entry_day,
+        rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') AS host,
+        list_filter(string_split(regexp_extract(url, '^[^/?#]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS parts
+    FROM pages),
+e AS (
+    SELECT CASE page_id % 3 WHEN 0 THEN 'host:' || host WHEN 1 THEN 'domain:' || regexp_extract(host, '([^.]+\.[^.]+)$', 1)
+            ELSE 'prefix:' || host || '/' || parts[1] END AS key,
+        entry_day AS day, page_id // 3 % 2 = 0 AS listed
+    FROM p),
+d AS (SELECT key, day, bool_or(listed) AS listed FROM e WHERE key IS NOT NULL GROUP BY ALL),
+k AS (
+    SELECT DISTINCT page_id, day, unnest(list_concat(['host:' || host],
+        list_transform(range(1, len(string_split(host, '.'))), lambda i: 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, 999), '.')),
+        list_transform(range(1, len(parts) + 1), lambda i: 'prefix:' || host || '/' || array_to_string(list_slice(parts, 1, i), '/')))) AS key
+    FROM p WHERE host <> ''),
+a AS (
+    SELECT k.page_id, k.key FROM k JOIN d ON d.key = k.key AND d.day <= k.day
+    GROUP BY k.page_id, k.key HAVING arg_max(d.listed, d.day)),
+g AS (SELECT page_id, count(*) AS n, arg_min(key, (-length(key), key)) AS entry FROM a GROUP BY page_id)
+SELECT page_id, url, day, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_active, entry FROM p LEFT JOIN g USING (page_id)"""
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain rules and the hashed ratio for every document."""
