@@ -425,3 +425,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = classes.select("cid", "label").join(least, "label").select("cid", "component_id")
     rows = facts.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid"))
     return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose key is the smallest of its group in `jaccard_components`; rows with a null key stay.
+
+    Of rows that repeat such a key and its text one stays.
+    """
+    groups = written(jaccard_components(docs, key, text), "groups").filter("doc_id = component_id")
+    keys = groups.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("n"))
+    own = F.col(key).cast("long") == F.col("_kept")
+    single = docs.join(keys.filter("n = 1").select("_kept"), own, "left_semi")
+    repeated = docs.join(keys.filter("n > 1").select("_kept"), own, "left_semi").dropDuplicates([key, text])
+    return single.unionByName(repeated).unionByName(docs.filter(F.col(key).isNull()))

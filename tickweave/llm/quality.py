@@ -9,8 +9,9 @@ from tickweave.llm.common import WORD_BREAKS, bind, keyed_text, words_of, writte
 
 #: cells that words and pairs of words are hashed to
 CELLS = 1 << 16
-#: added to every cell's count
-PRIOR = 1.0
+#: added to every cell's trusted count, and to the count that trusted text would have if it were like all text: what the trusted
+#: rows happen not to hold says little, what they should hold often and don't says much
+PRIOR = 10.0
 #: trusted rows that the target model is fitted on, at most; the raw model counts every document
 TRUSTED_ROWS = 50_000
 #: documents below this mean log ratio go
@@ -107,7 +108,7 @@ def ratio_table(texts: DataFrame, trusted: DataFrame) -> DataFrame:
             "cells",
             lambda c: F.when(
                 F.col("all_good") > 0,
-                F.log((c["good"] + PRIOR) / (F.col("all_good") + PRIOR * CELLS)) - F.log((c["raw"] + PRIOR) / (F.col("all_raw") + PRIOR * CELLS)),
+                F.log(c["good"] + PRIOR) - F.log(c["raw"] * F.col("all_good") / F.col("all_raw") + PRIOR),
             ).otherwise(0.0),
         ).alias("ratios")
     )
@@ -132,15 +133,35 @@ def quality_rules(
     text every ratio is 0. Empty table: no rows. Nothing is shuffled but counts of cells.
     """
     texts = keyed_text(docs, key, text)
-    texts = texts.withColumn("ratios", written(ratio_table(texts, trusted), "ratios").scalar())
+    rows = texts.withColumn("ratios", _ratios(texts, trusted)).select("doc_id", _verdict(F.col("text"), F.col("ratios"), least_ratio).alias("verdict"))
+    return rows.select("doc_id", "verdict.*")
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_RATIO, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that `quality_rules` keeps."""
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # a name that no table has, for the one column that is added
+    rows = docs.withColumn("_quality_ratios", _ratios(texts, trusted))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return rows.filter(_verdict(whole, F.col("_quality_ratios"), least_ratio)["kept"]).drop("_quality_ratios")
+
+
+def _ratios(texts: DataFrame, trusted: DataFrame) -> Column:
+    return written(ratio_table(texts, trusted), "ratios").scalar()
+
+
+def _verdict(text: Column, ratios: Column, least_ratio: float) -> Column:
+    """Struct of the counts, base_failed, ratio and kept."""
     ratio = bind(
-        cells(F.col("text")),
-        lambda own: F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, c: a + F.col("ratios")[c]) / F.size(own)).otherwise(0.0),
+        cells(text), lambda own: F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, c: a + ratios[c]) / F.size(own)).otherwise(0.0)
     )
-    rows = texts.select("doc_id", base_counts(F.col("text")).alias("base"), ratio.alias("ratio")).select("doc_id", "base.*", "ratio")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio",
-        (~F.col("base_failed") & (F.col("ratio") >= least_ratio)).alias("kept"),
-    )
+
+    def verdict(base: Column) -> Column:
+        failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
+        counts = [base[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return bind(
+            ratio,
+            lambda r: F.struct(*counts, failed.alias("base_failed"), r.alias("ratio"), (~failed & (r >= least_ratio)).alias("kept")),
+        )
+
+    return bind(base_counts(text), verdict)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -282,3 +283,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     return keyed_text(docs, key, text).mapInArrow(run, "doc_id long, gain double, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", may_learn: Column | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, that `toxicity_scores` doesn't predict toxic."""
+    scorer = fit(docs, labels, key, text, label, may_learn)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches):
+            texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            yield batch.filter(pa.array(own.scores(texts)[0] < 0.5)) if own and batch.num_rows else batch
+
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    return docs.mapInArrow(run, docs.schema)
