@@ -224,10 +224,18 @@ def point_measures(points: DataFrame) -> DataFrame:
         value("rocof").alias("rocof"),
         *(value(f"{p}_mag").alias(p) for p in ("va", "vb", "vc", "ia", "ib", "ic")),
         *(value(f"{p}_deg").alias(f"{p}_angle") for p in ("va", "vb", "vc", "ia", "ib", "ic")),
-        F.map_from_arrays(names, analogs).alias("analogs"),
+        _last_named(names, analogs).alias("analogs"),
     )
 
 
+def _last_named(names: Column, values: Column) -> Column:
+    """Map of names to values: blank names are left out, of a repeated name the last value counts."""
+    pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda p: F.trim(p["name"]) != "")
+    later = lambda i: F.slice(F.transform(pairs, lambda p: p["name"]), i + 2, F.greatest(F.size(pairs), F.lit(1)))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["name"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p["value"])))
+
+
 def points_map(measures: DataFrame, ticks: DataFrame) -> DataFrame:
     """Per tick the map device -> measures, beside who is missing."""
     packed = measures.groupBy("tick_us").agg(

@@ -451,7 +451,10 @@ def decode_data(frames: DataFrame) -> DataFrame:
     slotted = phasor.with_standard_slots(decoded).withColumns(
         {"freq_dev": F.col("freq") - F.col("_nominal"), "fnom": F.floor(F.col("_nominal") + 0.5).cast("int")}
     )
-    return with_derived(slotted.drop("_nominal"))
+    # chart values: a classified channel goes before the slot's stand-in; IB and IC have no slot
+    mags, degs = phasor.trend_values("mag", "phasor_mag"), phasor.trend_values("deg", "phasor_deg")
+    six = {f"{p}_{kind}": each[p] for kind, each in (("mag", mags), ("deg", degs)) for p in ("ib", "ic")}
+    return with_derived(slotted.withColumns({n: F.when(F.col("error").isNull(), c) for n, c in six.items()}).drop("_nominal"))
 
 
 def with_derived(readings: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ OLD_SHARE, NEW_SHARE = 0.35, 0.65
 # --- fixed values: thinning ---
 TREND_GAP_US = 100_000
 EVENT_GAP_US, ERROR_GAP_US = 2_000_000, 500_000
-KEPT_TRENDS, EXPORTED_TRENDS = 180, 120
+EXPORTED_TRENDS = 120
 
 NEGLIGIBLE = 1e-30
 
@@ -280,7 +280,7 @@ def trend_downsample(readings: DataFrame, gap_us: int = TREND_GAP_US, mode: str
         points = readings.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
     else:
         points = thin(readings.withColumn("_gap_us", F.lit(gap_us)), ["pmu_id"], "received_us", "_gap_us", "arrival_seq").drop("_gap_us")
-    return newest(points, ["pmu_id"], ["received_us", "arrival_seq"], min(keep, KEPT_TRENDS))
+    return newest(points, ["pmu_id"], ["received_us", "arrival_seq"], keep)
 
 
 def rate_limit_events(events: DataFrame) -> DataFrame:

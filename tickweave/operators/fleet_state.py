@@ -23,7 +23,7 @@ NO_DEVICE = "—"
 PAIR_MARK = " ↔ "
 VOLTAGE_CLASSES = ["765 kV", "400 kV", "220 kV", "HVDC", "132 kV"]
 FALLBACK_HZ = 60
-MAX_RECOMMENDATIONS = 8
+MAX_RECOMMENDATIONS, RULE_RECOMMENDATIONS = 8, (4, 3, 3)
 MAX_ALERTS, ALERT_EVENTS, REC_EVENTS = 24, 18, 5
 
 
@@ -378,8 +378,8 @@ REC_TEXT = {
 }
 
 
-def connectivity_recs(rows: DataFrame) -> DataFrame:
-    """At most eight pieces of advice in rule order, or the all-clear."""
+def connectivity_recs(rows: DataFrame, most: int = MAX_RECOMMENDATIONS, per_rule: tuple[int, int, int] = RULE_RECOMMENDATIONS) -> DataFrame:
+    """The first ``most`` pieces of advice in rule order, of each rule (offline, loss, latency) at most ``per_rule``, or the all-clear."""
     c, t = F.col, F.lit
     # the order of the connectivity table: offline first, then by weight and loss
     table = rows.withColumn("_w", F.when(~c("connected"), 0).when(c("status_label") == "Degraded", 1).otherwise(2))
@@ -391,13 +391,13 @@ def connectivity_recs(rows: DataFrame) -> DataFrame:
 
     slow = c("connected") & ~F.isnan("latency") & (c("latency") > 50)
     found = (
-        rule(0, ~c("connected"), 4, "bad", "Offline — ", t(REC_TEXT["offline"]))
+        rule(0, ~c("connected"), per_rule[0], "bad", "Offline — ", t(REC_TEXT["offline"]))
         .unionByName(
-            rule(1, c("connected") & (c("loss") > 2), 3, "warn", "Packet loss — ",
+            rule(1, c("connected") & (c("loss") > 2), per_rule[1], "warn", "Packet loss — ",
                  F.concat(t("Quality rejects "), number_text("loss", 2), t("%. Inspect STAT / network path.")))
         )
         .unionByName(
-            rule(2, slow, 3, "warn", "High latency — ",
+            rule(2, slow, per_rule[2], "warn", "High latency — ",
                  F.concat(t("Receive→dashboard "), number_text("latency", 2), t(" ms (target under ~15 ms for local pipeline).")))
         )
     )
@@ -406,13 +406,15 @@ def connectivity_recs(rows: DataFrame) -> DataFrame:
         t("info").alias("sev"), t("Links nominal").alias("title"), t(REC_TEXT["nominal"]).alias("desc"),
     )
     none_found = found.agg(F.count(t(1)).alias("n")).filter("n = 0").select(F.explode(F.array(clear)).alias("r")).select("r.*")
-    return found.unionByName(none_found).orderBy("ord").limit(MAX_RECOMMENDATIONS)
+    return found.unionByName(none_found).orderBy("ord").limit(most)
 
 
-def analytics_recs(devices: DataFrame, pairs: DataFrame, events: DataFrame) -> DataFrame:
-    """At most eight advisories in rule order; a title shows once.
+def analytics_recs(
+    devices: DataFrame, pairs: DataFrame, events: DataFrame, most: int = MAX_RECOMMENDATIONS, newest_events: int = REC_EVENTS
+) -> DataFrame:
+    """The first ``most`` advisories in rule order; a title shows once.
 
-    ``events``: the feed newest last (``seq``); its newest five are looked at.
+    ``events``: the feed newest last (``seq``); its ``newest_events`` last are looked at.
     """
     c, t = F.col, F.lit
     null = lambda kind: F.lit(None).cast(kind)
@@ -459,7 +461,7 @@ def analytics_recs(devices: DataFrame, pairs: DataFrame, events: DataFrame) -> D
         weight, -c("loss"), c("pmu_id"),
     )
     text = F.lower(F.concat_ws(" ", "status", "message"))
-    feed = events.orderBy(F.desc("seq")).limit(REC_EVENTS).filter(
+    feed = events.orderBy(F.desc("seq")).limit(newest_events).filter(
         text.contains("error") | text.contains("reject") | text.contains("timeout")
     )
     noted = _advice(
@@ -468,7 +470,7 @@ def analytics_recs(devices: DataFrame, pairs: DataFrame, events: DataFrame) -> D
     )
     every = angle.unionByName(state).unionByName(links).unionByName(noted)
     first = every.groupBy("title").agg(F.min_by(F.struct("ord", "sev", "desc"), "ord").alias("f"))
-    return first.select("f.ord", "f.sev", "title", "f.desc").orderBy("ord").limit(MAX_RECOMMENDATIONS)
+    return first.select("f.ord", "f.sev", "title", "f.desc").orderBy("ord").limit(most)
 
 
 def analytics_kpis(devices: DataFrame, pairs: DataFrame, recs: DataFrame) -> DataFrame:
@@ -505,8 +507,8 @@ def analytics_kpis(devices: DataFrame, pairs: DataFrame, recs: DataFrame) -> Dat
     )
 
 
-def live_alerts(devices: DataFrame, events: DataFrame) -> DataFrame:
-    """State alerts, then the newest events; the first 24 of them."""
+def live_alerts(devices: DataFrame, events: DataFrame, most: int = MAX_ALERTS, newest_events: int = ALERT_EVENTS) -> DataFrame:
+    """State alerts, then the ``newest_events`` last events; the first ``most`` of them."""
     c, t = F.col, F.lit
     on = c("connected")
     state = _advice(
@@ -515,9 +517,9 @@ def live_alerts(devices: DataFrame, events: DataFrame) -> DataFrame:
         F.concat(c("pmu_id"), t(" - "), F.when(on, F.concat(number_text("loss", 2), t("% loss"))).otherwise("stream disconnected")),
         F.lit(0.0), c("pmu_id"),
     )
-    feed = events.orderBy(F.desc("seq")).limit(ALERT_EVENTS)
+    feed = events.orderBy(F.desc("seq")).limit(newest_events)
     noted = _advice(
         feed, 1, fleet.alert_severity("status", "message"), c("stage"), F.concat(c("pmu_id"), t(" - "), c("message")),
         -c("seq").cast("double"), t(""),
     )
-    return state.unionByName(noted).orderBy("ord").limit(MAX_ALERTS)
+    return state.unionByName(noted).orderBy("ord").limit(most)

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from tickweave.functions import fleet
 from tickweave.functions.registry import device_slug
-from tickweave.operators.chunked import ARRIVALS, HOUR_US, forward_fill, islands, newest, with_previous
+from tickweave.operators.chunked import ARRIVALS, HOUR_US, forward_fill, islands, newest, ordinal, with_previous
 
 # --- fixed values: limits of buffers, feeds and charts ---
 JUMP_FORWARD_MS = 100
 JUMP_BACKWARD_MS = -10
-DEFAULT_CAPACITY, MIN_CAPACITY, MAX_CAPACITY = 200, 1, 5000
+DEFAULT_CAPACITY, MIN_CAPACITY = 200, 1
 RECENT_EVENTS = 200
-KEPT_TICKS, EXPORTED_TICKS = 180, 120
+EXPORTED_TICKS = 120
+# arrivals that one task numbers
+NUMBERED_TOGETHER = 1_000_000
 CHART_POLLS = 60
 CHART_STREAMS = 25
 
@@ -108,13 +110,13 @@ def lifecycle_events(actions: DataFrame) -> DataFrame:
     return actions.select("*", F.posexplode(types).alias("step", "type"))
 
 
-def clamp_capacity(n: int) -> int:
-    return max(MIN_CAPACITY, min(MAX_CAPACITY, n))
+def at_least_one(n: int) -> int:
+    return max(MIN_CAPACITY, n)
 
 
 def last_n_per_device(deduped: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:
     """The newest ``capacity`` distinct stamps of each device."""
-    return newest(deduped, ["pmu_id"], ["meas_us"], clamp_capacity(capacity))
+    return newest(deduped, ["pmu_id"], ["meas_us"], at_least_one(capacity))
 
 
 def buffer_snapshot(frames: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:
@@ -122,7 +124,7 @@ def buffer_snapshot(frames: DataFrame, capacity: int = DEFAULT_CAPACITY) -> Data
 
     ``slots`` keeps the stamps in arrival order; at most ``capacity`` per device.
     """
-    held = newest(frames, ["pmu_id"], ["arrival_seq"], clamp_capacity(capacity))
+    held = newest(frames, ["pmu_id"], ["arrival_seq"], at_least_one(capacity))
     per = held.groupBy("pmu_id").agg(
         F.count(F.lit(1)).alias("held"),
         F.floor(F.min("meas_us") / 1000).alias("oldest_ms"),
@@ -135,8 +137,8 @@ def buffer_snapshot(frames: DataFrame, capacity: int = DEFAULT_CAPACITY) -> Data
 
 
 def last_n_ticks(ticks: DataFrame, n: int = EXPORTED_TICKS) -> DataFrame:
-    """The last ``n`` ticks, of which no more than the kept ring exist."""
-    return ticks.orderBy(F.desc("tick_us")).limit(min(n, KEPT_TICKS))
+    """The last ``n`` ticks."""
+    return ticks.orderBy(F.desc("tick_us")).limit(n)
 
 
 def with_newest_ticks(points: DataFrame, n: int) -> DataFrame:
@@ -160,14 +162,10 @@ def last_errors(events: DataFrame) -> DataFrame:
 
 
 def frame_filter_tail(frames: DataFrame, n: int, pmu: str | None = None) -> DataFrame:
-    """The last ``n`` arrivals, of one device if named, numbered 1..n with the newest last."""
+    """The last ``n`` arrivals, or all of them if ``n`` is not positive, of one device if named, numbered from 1 with the newest last."""
     src = frames.filter(F.col("pmu_id") == pmu.strip()) if pmu and pmu.strip() else frames
-    tail = src.orderBy(F.desc("arrival_seq"))
-    if n <= 0:
-        # the whole tape: numbering it would need one ordering task, so it stays unnumbered
-        return src.withColumn("index", F.lit(None).cast("int"))
-    tail = tail.limit(n)
-    return tail.withColumn("index", F.row_number().over(W.orderBy("arrival_seq")))
+    tail = src.orderBy(F.desc("arrival_seq")).limit(n) if n > 0 else src
+    return ordinal(tail, ["arrival_seq"], NUMBERED_TOGETHER, "index")
 
 
 def capture_status(frames: DataFrame, limit: int = 1500) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tickweave.functions.bits import be_uint
 from tickweave.operators import align, decode, exports, fleet_state, history, latency, windows
 from tickweave.plans import views as v
 from tickweave.plans.q_align import expected, hourly_ticks
@@ -174,22 +175,29 @@ def _(spark, sf):
     return spark.read.parquet(path).drop("day")
 
 
+def _six(*names: str) -> str:
+    return ", ".join(f"printf('%.6f', {e}) AS {n}" for n, e in (x.split("=") if "=" in x else (x, x) for x in names))
+
+
 @query(
     "export_parsed_csv",
-    """
-SELECT CAST(row_number() OVER (ORDER BY arrival_seq) AS INTEGER) AS index, pmu_id AS pmu_name,
-  strftime(make_timestamp(meas_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS time, meas_us // 1000000 AS soc, meas_us % 1000000 AS fracsec_count,
-  printf('%.3f', (received_us - meas_us) / 1000.0::DOUBLE) AS lag_ms, printf('%.6f', freq) AS freq, printf('%.6f', va_mag) AS va_mag,
-  printf('%.6f', va_deg) AS va_ang, printf('%.6f', ia_mag) AS ia_mag, printf('%.6f', analog1) AS mw, stat, digital, TRUE AS crc_valid
-FROM (SELECT * FROM frames ORDER BY arrival_seq DESC LIMIT 1500)
+    f"""
+SELECT CAST(row_number() OVER (ORDER BY arrival_seq) AS BIGINT) AS index, pmu_id AS pmu_name,
+  strftime(make_timestamp(meas_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS time, 0 AS idcode, meas_us // 1000000 AS soc, meas_us % 1000000 AS fracsec_count,
+  strftime(make_timestamp(received_us), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS captured_at,
+  printf('%.3f', (received_us - meas_us) / 1000.0::DOUBLE) AS lag_ms,
+  {_six('freq', 'freq_dev=(freq - fnom)', 'rocof', 'mw=analog1', 'mvar=analog2', 'mva=s', 'power_factor=(CASE WHEN s > 0.1 THEN least(analog1 / s, 1) ELSE 1 END)',
+        'va_mag', 'va_ang=va_deg', 'vb_mag', 'vb_ang=vb_deg', 'vc_mag', 'vc_ang=vc_deg', 'ia_mag', 'ia_ang=ia_deg')},
+  stat, digital, TRUE AS crc_valid, 0 AS time_quality
+FROM (SELECT *, sqrt(analog1 * analog1 + analog2 * analog2) AS s FROM frames)
 """,
 )
 def _(spark, sf):
     from tickweave.functions import phasor
 
-    tail = windows.frame_filter_tail(v.frames(spark, sf), 1500)
+    numbered = windows.frame_filter_tail(v.frames(spark, sf), 0)
     power = {n: c for n, c in phasor.power_summary("analogs").items() if n != "power_factor_direction"}
-    full = tail.select(
+    full = numbered.select(
         "*", *(c.alias(n) for n, c in power.items()), (F.col("freq") - F.col("fnom")).alias("freq_dev"),
         F.floor(F.col("meas_us") / 1_000_000).alias("soc"), (F.col("meas_us") % 1_000_000).alias("fracsec_count"),
         F.lit(0).alias("idcode"), F.lit(0).alias("time_quality"), F.lit(True).alias("crc_valid"), F.get("digitals", F.lit(0)).alias("digital"),
@@ -197,18 +205,18 @@ def _(spark, sf):
     path = scratch(spark, "parsed")
     rows = exports.parsed_capture_rows(full)
     rows.write.csv(path, header=True)
-    back = spark.read.schema(rows.schema).csv(path, header=True)
-    return back.select(
-        "index", "pmu_name", "time", "soc", "fracsec_count", "lag_ms", "freq", "va_mag", "va_ang", "ia_mag", "mw", "stat", "digital", "crc_valid"
-    )
+    return spark.read.schema(rows.schema).csv(path, header=True)
 
 
 @query("export_buffer_sheet")
 def _(spark, sf):
     joined = decode.join_layout_asof(raw_frames(spark, sf), decode.prepare_layouts(layouts(spark, sf)), decode.LAYOUT_OF_FRAME)
-    readings = decode.decode_data(joined).filter("error IS NULL")
+    # frames with a broken checksum are errors, so those left have a good one
+    readings = decode.decode_data(joined).filter("error IS NULL").withColumns(
+        {"checksum_valid": F.lit(True), "frame_size": be_uint("raw", 2, 2).cast("int")}
+    )
     held = windows.newest(readings, ["pmu_id"], ["arrival_seq"], windows.DEFAULT_CAPACITY)
-    return exports.buffer_sheet(held, ["VA", "VB", "VC", "IA"], ["Analog1", "Analog2"])
+    return exports.buffer_sheet(held)
 
 
 @query("snapshot_state")

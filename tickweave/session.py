@@ -45,7 +45,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_shipped: set[str] = set()
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -53,23 +53,21 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parent
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tickweave-')}/{package.name}", "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(app)
+        folder = tempfile.TemporaryDirectory(prefix="tickweave-")  # removed when the driver ends
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder.name}/{package.name}", "zip", package.parent, package.name))
+        _shipped[app] = folder
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for streaming checkpoints and cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (a test on one machine) gets a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Without that setting it lies in the warehouse, which driver and
+    executors share as well; no machine-local temporary folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    root = tempfile.mkdtemp(prefix="tickweave-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
