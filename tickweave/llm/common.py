@@ -38,9 +38,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root if ':/' in root else 'file://' + root}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def pieces_of(text):
+    """Column: what lies between the blanks of a text, empty pieces included."""
+    return F.split(F.translate(text, WORD_BREAKS[1:], " " * (len(WORD_BREAKS) - 1)), " ")
+
+
 def words_of(text):
     """Column: the words of a text, `[^\\x20\\x09-\\x0D]+`."""
-    return F.array_remove(F.split(F.translate(text, WORD_BREAKS[1:], " " * (len(WORD_BREAKS) - 1)), " "), "")
+    return F.array_remove(pieces_of(text), "")
 
 
 def bind(value, use):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import WORD_BREAKS, bind, keyed_text, words_of, written
+from tickweave.llm.common import WORD_BREAKS, bind, keyed_text, pieces_of, words_of, written
 
 #: cells that words and pairs of words are hashed to
-CELLS = 1 << 16
+CELLS = 1 << 16  # a power of two
 #: added to every cell's trusted count, and to the count that trusted text would have if it were like all text: what the trusted
 #: rows happen not to hold says little, what they should hold often and don't says much
 PRIOR = 10.0
@@ -25,50 +27,61 @@ def _shifted(x: Column, places: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, places)
 
 
+def _neighbours(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Array of `combine` for each element and the one after it."""
+    n = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), combine)
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of three words that the text has twice or more, the first included.
 
-    Each window becomes its hash with its place in the lowest bits. Sorted, equal windows are neighbours; they are told apart by
-    the hash bits left beside the place, 64 less the logarithm of the number of words. Every intermediate array is bound to a
-    lambda's variable, so that no rewriting of the plan can put its making inside a loop.
+    A window is a mix of its words' 64-bit hashes. Where two are equal, each becomes its hash with its place in the lowest bits; sorted,
+    equal windows are neighbours, told apart by the hash bits left beside the place, 64 less the logarithm of the number of words.
+    Every intermediate array is bound to a lambda's variable, so that no rewriting of the plan can put its making inside a loop.
     """
-    bits = F.ceil(F.log2(F.size(words) + F.lit(2))).cast("int")
-    windows = F.when(
-        F.size(words) > 3,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(words) - 3),
-                lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), bits).bitwiseOR(i.cast("long")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
 
-    def places(sorted_: Column) -> Column:
-        def twice(x: Column, j: Column) -> Column:
-            own = _shifted(x, bits)
-            return own.eqNullSafe(_shifted(F.get(sorted_, j - 1), bits)) | own.eqNullSafe(_shifted(F.get(sorted_, j + 1), bits))
-
-        return F.sort_array(F.transform(F.filter(sorted_, twice), lambda x: x - F.call_function("shiftleft", _shifted(x, bits), bits)))
+    def places(windows: Column) -> Column:
+        bits = F.ceil(F.log2(F.size(windows) + F.lit(2))).cast("int")
+        marked = F.sort_array(F.transform(windows, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        # the places of two equal neighbours, together in one number
+        both = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32))
+        met = lambda a, b: F.when(_shifted(a.bitwiseXOR(b), bits) == 0, a.bitwiseAND(mask) * both + b.bitwiseAND(mask))
+        pairs = bind(marked, lambda m: F.filter(_neighbours(m, met), lambda x: x.isNotNull()))
+        return bind(
+            pairs,
+            lambda p: F.sort_array(
+                F.array_distinct(F.concat(F.transform(p, lambda x: _shifted(x, F.lit(32))), F.transform(p, lambda x: x.bitwiseAND(both - 1))))
+            ),
+        )
 
     def covered(at: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
         step = lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["upto"])).alias("n"), (p + 3).alias("upto"))
         return F.aggregate(at, zero, step, lambda a: a["n"])
 
-    return bind(windows, lambda w: covered(places(w)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    mixed = lambda by: lambda a, b: _shifted(a, F.lit(by)).bitwiseXOR(b)  # noqa: E731  other shifts, so that no word falls out
+    windows = bind(hashes, lambda h: bind(_neighbours(h, mixed(7)), lambda two: _neighbours(two, mixed(11))))
+    none = F.lit(0).cast("long")
+    return bind(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), none).otherwise(covered(places(w))))
 
 
 def base_counts(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, WORD_BREAKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WORD_BREAKS)) != "")
     return bind(
-        words_of(text),
-        lambda words: F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(F.translate(text, WORD_BREAKS, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            bind(lines, lambda own: (F.size(own) - F.size(F.array_distinct(own))).cast("long")).alias("n_dup_lines"),
-            repeated_words(words).alias("n_repeat_words"),
+        pieces_of(text),  # one more than blanks
+        lambda pieces: bind(
+            F.array_remove(pieces, ""),
+            lambda words: F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                (F.length(text) - F.size(pieces) + 1).cast("long").alias("word_chars"),
+                (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                bind(lines, lambda own: (F.size(own) - F.size(F.array_distinct(own))).cast("long")).alias("n_dup_lines"),
+                repeated_words(words).alias("n_repeat_words"),
+            ),
         ),
     )
 
@@ -76,14 +89,12 @@ def base_counts(text: Column) -> Column:
 def cells(text: Column) -> Column:
     """Where the text's words and pairs of words fall. Runs of symbols are words of their own; case counts."""
     words = words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "))
-    cell = lambda h: F.pmod(h, F.lit(CELLS)).cast("int")
+    cell = lambda h: h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
     return bind(
         F.transform(words, lambda w: F.xxhash64(w)),
         lambda hashes: F.concat(
             F.transform(hashes, cell),
-            F.when(
-                F.size(hashes) > 1, F.transform(F.sequence(F.lit(0), F.size(hashes) - 2), lambda i: cell(F.xxhash64(hashes[i], hashes[i + 1])))
-            ).otherwise(F.array().cast("array<int>")),
+            _neighbours(hashes, lambda a, b: cell(_shifted(a, F.lit(7)).bitwiseXOR(b))),
         ),
     )
 
