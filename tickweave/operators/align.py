@@ -98,19 +98,13 @@ def _nearest_with_borders(rows: DataFrame, period_us: int) -> DataFrame:
     c, part = F.col, ["pmu_id", "_chunk"]
     span = period_us * TICKS_PER_CHUNK
     chunk = F.floor(c("tick_us") / span).cast("bigint")
+    # reduced where the rows are read: of each tick at most an inner and a border sample go on, however many rows there are
+    least = F.struct(F.abs(c("meas_us") - c("tick_us")), c("meas_us"), -c("arrival_seq"))
+    kept = rows.withColumn("_border", c("tick_us") - c("meas_us") == period_us // 2)
+    nearest = kept.groupBy("pmu_id", "tick_us", "_border").agg(F.min_by(F.struct(*rows.columns), least).alias("_r"))
     # the last tick of a stretch is also shown to the next one
     shown = F.when(c("tick_us") == (chunk + 1) * span - period_us, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = (
-        rows.select("*", F.explode(shown).alias("_guest"))
-        .withColumn("_chunk", chunk + c("_guest"))
-        .withColumn("_border", c("tick_us") - c("meas_us") == period_us // 2)
-        # one placement serves the ranking per tick and the look at the tick below
-        .repartition(*part)
-    )
-    ranks = W.partitionBy(*part, "tick_us", "_border").orderBy(
-        F.abs(c("meas_us") - c("tick_us")), "meas_us", F.desc("arrival_seq")
-    )
-    best = spread.withColumn("_rank", F.row_number().over(ranks)).filter("_rank = 1")
+    best = nearest.select("_border", "_r.*").select("*", F.explode(shown).alias("_guest")).withColumn("_chunk", chunk + c("_guest"))
     # a tick has at most an inner and a border row, so what a border row needs to know of its
     # own tick and the one below is among the three rows before it
     ticks = W.partitionBy(*part).orderBy("tick_us", "_border")
