@@ -33,9 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """URI of a new folder that driver and executors share."""
+    """URI of a new folder that driver and executors share. A folder without a scheme lies in the default file system."""
     root = checkpoint_root(spark)
-    return f"{root if ':/' in root else 'file://' + root}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    if ":/" not in root:
+        root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + root
+    if root.startswith("file:"):
+        root = "file:///" + root.removeprefix("file:").lstrip("/")
+    return f"{root}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def pieces_of(text):
