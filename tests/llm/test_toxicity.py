@@ -113,3 +113,26 @@ def test_odd_rows(spark):
     assert toxicity_scores(docs.limit(0), labels(spark, toxic)).count() == 0
     none = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert {r.score for r in toxicity_scores(docs, none).collect()} == {0.0}
+
+
+def test_all_labelled_rows_are_counted(spark, monkeypatch):
+    texts, toxic = corpus(400)
+    chosen, stands_for = toxicity._chosen(labels(spark, toxic), "doc_id", "toxic", None)
+    rows = chosen.collect()
+    assert {(r.doc_id, r.toxic) for r in rows} == set(enumerate(toxic)) and len(rows) == 400
+    # a quarter of the toxic rows, and as many ordinary ones, tune
+    assert sorted((r.toxic for r in rows if r.tuning)) == [0] * 25 + [1] * 25 and stands_for == 3
+    monkeypatch.setattr(toxicity, "TUNING_ROWS", 10)
+    chosen, _ = toxicity._chosen(labels(spark, toxic), "doc_id", "toxic", None)
+    assert sum(not r.tuning for r in chosen.collect()) == 380
+
+
+def test_model_in_files(spark, monkeypatch):
+    texts, toxic = corpus(400)
+    docs = documents(spark, [*texts, "", "unseen words", None])
+    held = {r.doc_id: r for r in toxicity_scores(docs, labels(spark, toxic)).collect()}
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    monkeypatch.setattr(toxicity, "FILED", 50)
+    model = fit(docs, labels(spark, toxic)).model
+    assert len(model.words.files) > 1
+    assert {r.doc_id: r for r in toxicity_scores(docs, labels(spark, toxic)).collect()} == held

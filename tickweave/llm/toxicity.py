@@ -12,17 +12,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import keyed_text, slices, written
+from tickweave.llm.common import keyed_text, shared_folder, slices, written
+from tickweave.llm.files import attempt_name, reader, writer
 from tickweave.llm.shingles import mix, word_numbers
 
-#: labelled rows that the models are fitted on, at most: toxic ones, and as many times ordinary ones
-TOXIC_ROWS, ORDINARY_PER_TOXIC = 20_000, 1
+#: labelled rows of each class that tune the score's curve: one in so many toxic ones, and so many rows at most. All others are counted
+TUNING_PART, TUNING_ROWS = 4, 5_000
+#: entries of the model up to which each task holds it, and entries of a file of a larger one
+HELD, FILED = 2_000_000, 1_000_000
 #: discounts of the numbers of contexts of a word and of a pair of words: what isn't above them is left to the shared counts
 DISCOUNT, PAIR_DISCOUNT = 4.0, 32.0
 #: tokens of a window: expressions of one or a few words
@@ -83,22 +85,52 @@ class Table:
         return out
 
 
+@dataclass
+class Held:
+    """Keys and gains in memory."""
+
+    keys: Table
+    values: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gain of each key, and whether it is there."""
+        row = self.keys.find(keys)
+        return (np.where(row >= 0, self.values[row], 0.0) if len(self.values) else np.zeros(len(keys))), row >= 0
+
+
+@dataclass
+class Filed:
+    """Keys and gains in files, each sorted by key: a batch's different keys meet one file after the other."""
+
+    files: list[str]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, back = np.unique(keys, return_inverse=True)
+        gain, there = np.zeros(len(own)), np.zeros(len(own), dtype=bool)
+        for uri in self.files:
+            with reader(uri) as source:
+                data = source.read()
+            n = len(data) // 16
+            known, values = np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f8", n, 8 * n)
+            at = np.minimum(np.searchsorted(known, own), n - 1)
+            hit = known[at] == own
+            gain[hit], there[hit] = values[at[hit]], True
+        return gain[back], there[back]
+
+
 @dataclass
 class Model:
     """Log-likelihood differences, toxic less ordinary, of words alone and of words after a certain word."""
 
-    words: Table
-    word_gain: np.ndarray
-    pairs: Table
-    pair_gain: np.ndarray
+    words: Held | Filed
+    pairs: Held | Filed
 
     def gains(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Of each token. One that neither model knows falls back on the shared counts, which say the same for both: 0."""
-        row = self.words.find(words)
-        gain = np.where(row >= 0, self.word_gain[row], 0.0) if len(self.word_gain) else np.zeros(len(words))
-        known = np.flatnonzero(row >= 0)
-        at = self.pairs.find(pair_numbers(before[known], words[known]))
-        gain[known[at >= 0]] = self.pair_gain[at[at >= 0]]
+        gain, there = self.words.find(words)
+        known = np.flatnonzero(there)
+        own, there = self.pairs.find(pair_numbers(before[known], words[known]))
+        gain[known[there]] = own[there]
         return gain
 
 
@@ -106,35 +138,37 @@ def _log_ratio(t: np.ndarray, o: np.ndarray) -> np.ndarray:
     return np.log((t + 1e-300) / (o + 1e-300))
 
 
-def kneser_ney(words: dict[str, np.ndarray], sums: dict[str, float], pairs: dict[str, np.ndarray], discount: float = DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> Model:
-    """The model of both classes from numbers of contexts.
+def _alone(count: np.ndarray, n: np.ndarray, c: str, sums: dict[str, float], discount: float) -> np.ndarray:
+    share = max(sums[f"cut_{c}"] / max(1.0, sums[c]) for c in "to")
+    shared, above = n / max(1.0, sums["n"]), sums[c] - sums[f"cut_{c}"]
+    return (1 - share) * np.maximum(count - discount, 0.0) / above + share * shared if above > 0 else shared
+
+
+def word_gains(words: dict[str, np.ndarray], sums: dict[str, float], discount: float = DISCOUNT) -> np.ndarray:
+    """Gains of words alone, from numbers of contexts.
 
-    words: `word`, `t` and `o` (different words before it in toxic and in ordinary text), `n` (in all), where t or o is over the
-    discount. sums: `t`, `o`, `n` over all words, `cut_t`, `cut_o` (of the smaller of count and discount). pairs: `before`, `word`,
-    `t`, `o` (different words ahead of the pair), `word_t`, `word_o`, `word_n` as for words, and over all pairs of `before`: `total`,
-    `cut` (both classes), `above_t`, `above_o`.
+    words: `t` and `o` (different words before it in toxic and in ordinary text), `n` (in all), where t or o is over the discount.
+    sums: `t`, `o`, `n` over all words, `cut_t`, `cut_o` (of the smaller of count and discount).
 
     Numbers of contexts, not of occurrences, count at every order: a passage that many documents copy counts once. Both classes
     give the same share to the lower order, and the lowest is the number of contexts in both together.
     """
-    share = max(sums[f"cut_{c}"] / max(1.0, sums[c]) for c in "to")
+    return _log_ratio(*(_alone(words[c], words["n"], c, sums, discount) for c in "to"))
 
-    def alone(count: np.ndarray, n: np.ndarray, c: str) -> np.ndarray:
-        shared, above = n / max(1.0, sums["n"]), sums[c] - sums[f"cut_{c}"]
-        return (1 - share) * np.maximum(count - discount, 0.0) / above + share * shared if above > 0 else shared
 
+def pair_gains(pairs: dict[str, np.ndarray], sums: dict[str, float], discount: float = DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> np.ndarray:
+    """Gains of words after a certain word.
+
+    pairs: `t`, `o` (different words ahead of the pair), `word_t`, `word_o`, `word_n` as for words, and over all pairs of `before`:
+    `total`, `cut` (both classes), `above_t`, `above_o`. sums: as for words.
+    """
     after = {}
     for c in "to":
-        lower = alone(pairs[f"word_{c}"], pairs["word_n"], c)
+        lower = _alone(pairs[f"word_{c}"], pairs["word_n"], c, sums, discount)
         weight = pairs["cut"] / np.maximum(pairs["total"], 1e-9)
         own = np.maximum(pairs[c] - pair_discount, 0.0) / np.maximum(pairs[f"above_{c}"], 1e-9)
         after[c] = np.where(pairs[f"above_{c}"] > 0, weight * lower + (1 - weight) * own, lower)
-    return Model(
-        Table(words["word"]),
-        _log_ratio(alone(words["t"], words["n"], "t"), alone(words["o"], words["n"], "o")),
-        Table(pair_numbers(pairs["before"], pairs["word"])),
-        _log_ratio(after["t"], after["o"]),
-    )
+    return _log_ratio(after["t"], after["o"])
 
 
 def features(gains: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -186,82 +220,153 @@ def text_features(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def _chosen(labels: DataFrame, key: str, label: str, may_learn: Column | None) -> tuple[DataFrame, float] | None:
-    """(doc_id, toxic, tuning) of the labelled rows to learn from, and how many ordinary rows each of the chosen stands for.
+    """(doc_id, toxic, tuning) of all labelled rows to learn from, and how many ordinary rows each of those that tune stands for.
 
-    The rows of smallest hash of each class: at most TOXIC_ROWS, and ORDINARY_PER_TOXIC times as many. A quarter tunes the score.
+    The rows of smallest hash of each class tune the score; all others are counted.
     """
     spark = labels.sparkSession
     rows = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if may_learn is not None:
         rows = rows.filter(may_learn)
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = dict(rows.groupBy(F.col("toxic") > 0).agg(F.count("*")).collect())
-    if not sizes.get(True) or not sizes.get(False):
+    rows = rows.groupBy("doc_id").agg(F.when(F.max("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    sizes = dict(rows.groupBy("toxic").agg(F.count("*")).collect())
+    if not sizes.get(1) or not sizes.get(0):
         return None
-    wanted = min(TOXIC_ROWS, sizes[True])
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
+    wanted = {c: min(TUNING_ROWS, -(-min(sizes[1], sizes[c]) // TUNING_PART)) for c in (1, 0)}
     ids = []
-    for toxic, n in ((1, wanted), (0, wanted * ORDINARY_PER_TOXIC)):
-        top = rows.filter(F.col("toxic") > 0 if toxic else F.col("toxic") <= 0).select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(n)
-        ids += [(int(d), toxic, k % 4 == 0) for k, d in enumerate(top.toPandas()["doc_id"])]
-    kept = sum(1 for _, toxic, _ in ids if not toxic)
+    for toxic, n in wanted.items():
+        top = rows.filter(F.col("toxic") == toxic).select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(n)
+        ids += [(int(d), True) for d in top.toPandas()["doc_id"]]
     # bounded by the parameters above, so every executor may hold it
-    return F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int, tuning boolean")), sizes[False] / kept * wanted / sizes[True]
+    tuning = F.broadcast(spark.createDataFrame(ids, "doc_id long, tuning boolean"))
+    rows = rows.join(tuning, "doc_id", "left").select("doc_id", "toxic", F.coalesce("tuning", F.lit(False)).alias("tuning"))
+    return written(rows, "chosen"), sizes[0] / wanted[0] * wanted[1] / sizes[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", may_learn: Column | None = None) -> Scorer | None:
-    """Models and score curve from labelled rows (`may_learn`: a condition on doc_id). None without rows of both classes."""
+    """Models and score curve from all labelled rows (`may_learn`: a condition on doc_id). None without rows of both classes."""
     found = _chosen(labels, key, label, may_learn)
     if found is None:
         return None
     chosen, stands_for = found
-    learned = written(keyed_text(docs, key, text).join(chosen, "doc_id").select("text", "toxic", "tuning"), "learned")
+    texts = keyed_text(docs, key, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 8 << 20):
             words, before, counts = tokens(batch.column("text"))
             ahead = np.where(before == 0, np.uint64(0), np.concatenate([[np.uint64(0)], before[:-1]])) if len(words) else words
             toxic = np.repeat(batch.column("toxic").to_numpy(), counts).astype(np.int32)
             once = np.unique(mix(ahead + pair_numbers(before, words)) + toxic.astype(np.uint64), return_index=True)[1]
-            yield pa.record_batch(
+            # equal words side by side: they shrink when they travel
+            once = once[np.argsort(words[once])]
+            once = once[np.argsort(before[once], kind="stable")]
+            found = pa.record_batch(
                 {
                     "before": pa.array(before[once].view(np.int64)), "word": pa.array(words[once].view(np.int64)),
-                    "ahead": pa.array(ahead[once].view(np.int64)), "toxic": pa.array(toxic[once]),
+                    "ahead": pa.array(ahead[once].view(np.int64)), "class": pa.array(2 - toxic[once]),
                 }
             )
+            del words, before, ahead, toxic, once
+            yield from slices(iter([found]), 2 << 20)
+
+    triples = texts.join(chosen.filter("NOT tuning"), "doc_id").select("text", "toxic").mapInArrow(count, "before long, word long, ahead long, class int")
+    # dealt by pair, in sixteen parts of a word before, so that pairs are counted where their contexts are
+    dealt = triples.withColumn("deal", F.col("word").bitwiseAND(15)).repartition("before", "deal")
+    contexts = dealt.groupBy("before", "deal", "word", "ahead").agg(F.bit_or("class").alias("class"))
+    seen = F.col("class").bitwiseAND(1), F.shiftright("class", 1)
+    pairs = contexts.groupBy("before", "deal", "word").agg(*(F.sum(x).cast("double").alias(c) for c, x in zip("to", seen, strict=True)))
+    both = F.col("t") + F.col("o")
+    one = [F.when(F.col(c) > 0, 1.0).otherwise(0.0) for c in "to"]
+    above = [F.greatest(F.col(c) - PAIR_DISCOUNT, F.lit(0.0)) for c in "to"]
+
+    def entry(kind: int, key: str, other: Column, *values: Column) -> Column:
+        values = [*values, *[F.lit(0.0)] * (4 - len(values))]
+        return F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), other.alias("other"), *(v.alias(f"v{k}") for k, v in enumerate(values)))
+
+    # of words, of the words before, and the pairs of the model: counted in one go over the pairs
+    each = F.array(
+        entry(0, "word", F.lit(0).cast("long"), *one, F.lit(1.0)),
+        entry(1, "before", F.lit(0).cast("long"), both, F.least(both, F.lit(PAIR_DISCOUNT)), *above),
+        F.when(both > PAIR_DISCOUNT, entry(2, "before", F.col("word"), F.col("t"), F.col("o"))),
+    )
+    counted = pairs.select(F.explode(each).alias("e")).filter("e IS NOT NULL").select("e.*")
+    counts = written(counted.groupBy("kind", "key", "other").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(4))), "counts")
 
-    triples = learned.filter("NOT tuning").select("text", "toxic").mapInArrow(count, "before long, word long, ahead long, toxic int")
-    contexts = triples.groupBy("before", "word", "ahead").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o"))
-    pairs = written(contexts.groupBy("before", "word").agg(F.sum("t").cast("double").alias("t"), F.sum("o").cast("double").alias("o")), "pairs")
-    one = F.when(F.col("t") > 0, 1.0).otherwise(0.0), F.when(F.col("o") > 0, 1.0).otherwise(0.0)
-    words = written(pairs.groupBy("word").agg(F.sum(one[0]).alias("t"), F.sum(one[1]).alias("o"), F.count("*").cast("double").alias("n")), "words")
+    def of_kind(kind: int, *names: str) -> DataFrame:
+        return counts.filter(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip(("key", "other", "v0", "v1", "v2", "v3"), names, strict=False) if n))
+
+    words = of_kind(0, "word", "", "t", "o", "n")
     sums = words.agg(
         *(F.sum(c).alias(c) for c in ("t", "o", "n")), *(F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"cut_{c}") for c in ("t", "o"))
     ).first().asDict()
-    known = words.filter(F.greatest("t", "o") > DISCOUNT).toPandas()
-    both = F.col("t") + F.col("o")
-    lines = pairs.groupBy("before").agg(
-        F.sum(both).alias("total"), F.sum(F.least(both, F.lit(PAIR_DISCOUNT))).alias("cut"),
-        *(F.sum(F.greatest(F.col(c) - PAIR_DISCOUNT, F.lit(0.0))).alias(f"above_{c}") for c in ("t", "o")),
-    )
-    named = words.select("word", *(F.col(c).alias(f"word_{c}") for c in ("t", "o", "n")))
-    kept = pairs.filter(both > PAIR_DISCOUNT).join(lines, "before").join(named, "word").toPandas()
-    model = kneser_ney(_arrays(known), {k: v or 0.0 for k, v in sums.items()}, _arrays(kept))
+    sums = {k: v or 0.0 for k, v in sums.items()}
+    known = words.filter(F.greatest("t", "o") > DISCOUNT)
+    lines = of_kind(1, "before", "", "total", "cut", "above_t", "above_o")
+    named = of_kind(0, "word", "", "word_t", "word_o", "word_n")
+    kept = of_kind(2, "before", "word", "t", "o").join(lines, "before").join(named, "word")
+
+    def word_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _arrays(batch)
+            yield _entries(0, at["word"], word_gains(at, sums))
+
+    def pair_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _arrays(batch)
+            yield _entries(1, pair_numbers(at["before"], at["word"]), pair_gains(at, sums))
+
+    form = "kind int, key long, gain double"
+    model = _model(written(known.mapInArrow(word_entries, form).unionByName(kept.mapInArrow(pair_entries, form)), "model"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             f = text_features(model, batch.column("text"))
             yield pa.record_batch({"f": pa.array(f.tolist(), type=pa.list_(pa.float64())), "toxic": batch.column("toxic")})
 
-    tuning = learned.filter("tuning").select("text", "toxic").mapInArrow(measure, "f array<double>, toxic int").toPandas()
+    tuned = texts.join(F.broadcast(chosen.filter("tuning")), "doc_id").select("text", "toxic")
+    tuning = tuned.mapInArrow(measure, "f array<double>, toxic int").toPandas()
     y = tuning["toxic"].to_numpy(dtype=float)
     if not 0 < y.sum() < len(y):
         return None
     return Scorer(model, logistic(np.stack(tuning["f"].to_list()), y, np.where(y > 0, 1.0, stands_for)))
 
 
-def _arrays(frame: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {c: frame[c].to_numpy(dtype=np.int64).view(np.uint64) if c in ("word", "before") else frame[c].to_numpy(dtype=float) for c in frame}
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+    return {c: x.view(np.uint64) if c in ("word", "before") else x for c, x in columns.items()}
+
+
+def _entries(kind: int, keys: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"kind": pa.array(np.full(len(keys), kind, dtype=np.int32)), "key": pa.array(keys.view(np.int64)), "gain": pa.array(gains)})
+
+
+def _model(entries: DataFrame) -> Model:
+    """From kind (0: word, 1: pair), key and gain of each entry: in memory, or in files of the shared folder if there are many."""
+    n = entries.count()
+    if n <= HELD:
+        rows = entries.toPandas()
+        kinds, keys, gains = rows["kind"].to_numpy(), rows["key"].to_numpy(dtype=np.int64).view(np.uint64), rows["gain"].to_numpy(dtype=float)
+        return Model(*(Held(Table(keys[kinds == k]), gains[kinds == k]) for k in (0, 1)))
+    folder = shared_folder(entries.sparkSession, "model")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(c).to_numpy() for c in ("kind", "key", "gain")] for b in batches if b.num_rows]
+        if not got:
+            return
+        kinds, keys, gains = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.argsort(keys.view(np.uint64))
+        files = {}
+        for kind in np.unique(kinds).tolist():
+            own = order[kinds[order] == kind]
+            files[kind] = attempt_name(folder, f"-{kind}.bin")
+            with writer(files[kind]) as out:
+                out.write(keys[own].astype("<i8").tobytes())
+                out.write(gains[own].astype("<f8").tobytes())
+        yield pa.record_batch({"kind": pa.array(list(files), type=pa.int32()), "path": pa.array(list(files.values()))})
+
+    files = entries.repartition(-(-n // FILED), "key").mapInArrow(write, "kind int, path string").collect()
+    return Model(*(Filed(sorted(f.path for f in files if f.kind == k)) for k in (0, 1)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", may_learn: Column | None = None) -> DataFrame:
@@ -269,13 +374,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
     Null, empty and wordless texts: the score of a text without evidence. Null and repeated keys: each row is scored. Rows of
     `labels` with null key or label don't count; a key with several labels counts as toxic if one says so. Without labelled rows
-    of both classes every score is 0. Empty table: no rows. The model goes to the tasks: its size is bounded by the sample's.
+    of both classes every score is 0. Empty table: no rows. All labelled rows but the bounded tuning sample are counted. A model of
+    up to HELD entries goes to the tasks; a larger one stays in the shared folder, and each batch of texts meets its files in turn.
     """
     scorer = fit(docs, labels, key, text, label, may_learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             score, gain = own.scores(batch.column("text")) if own else (np.zeros(batch.num_rows), np.zeros(batch.num_rows))
             yield pa.record_batch(
                 {"doc_id": batch.column("doc_id"), "gain": pa.array(gain), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
@@ -292,7 +398,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
             yield batch.filter(pa.array(own.scores(texts)[0] < 0.5)) if own and batch.num_rows else batch
 
