@@ -45,6 +45,15 @@ def test_operator_odd_rows(spark, monkeypatch):
     assert got == want
 
 
+def test_repeated_rows_take_one_place(spark, monkeypatch):
+    for size in (16_384, 7):
+        monkeypatch.setattr(topk, "TREE_ROWS", size)
+        rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0])] + [(1, [9.0, 0.0])] * 20 + [(2, [8.0, float(y)]) for y in range(8)] + [(i, [10.0 - i, 0.0]) for i in range(3, 9)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = [tuple(r) for r in largest_products(df, F.col("vec_id") == 10, k=5).orderBy("rank").collect()]
+        assert got == [(10, r, r, 256 * 256 * (10 - r)) for r in range(1, 6)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert largest_products(df, F.col("vec_id") % 10 == 0).count() == 0

@@ -76,7 +76,7 @@ class MTree:
         return Node(centres_, self._distances(centres_, centre), radius, [self._build(g, c) for g, c in zip(groups, centres, strict=True)])
 
     def search(self, query: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, int]]:
-        """(score, id) of the k largest inner products, ties to the smaller id; `skip` takes no part."""
+        """Different (score, id) of the k largest inner products, ties to the smaller id; `skip` takes no part."""
         if not len(self.ids) or k < 1:
             return []
         length = float((query * query).sum())
@@ -113,9 +113,11 @@ class MTree:
                 if own == skip:
                     continue
                 item = (float(scores[i]), -own)
+                # a key on several rows takes one place
                 if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
+                    if item not in best:
+                        heapq.heappush(best, item)
+                elif item > best[0] and item not in best:
                     heapq.heapreplace(best, item)
             if len(best) == k:
                 far = math.sqrt(max(0.0, length + self.most - 2 * best[0][0]))
@@ -135,16 +137,17 @@ def largest_products(vectors: DataFrame, queries: Column, k: int = 5, key: str =
 
     Rows with a null key or an unusable vector take no part. Vectors of another dimension than the query's aren't compared. A key on
     several rows: each row is a candidate, and each query row asks for itself; a row is never a candidate for its own key.
-    Repeated answers of one query key are given once. Empty table: no rows. Queries meet trees block by block.
+    Repeated answers of one query key are given once and take one of the k places, so that equal rows count as one. Empty table: no rows. Queries meet trees block by block.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), whole_numbers(vector, scale).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    rows = written(rows.withColumn("asks", F.coalesce(queries, F.lit(False))).withColumn("dim", F.size("v")), "vectors")
+    # equal rows give equal answers; one of them is dealt, so that copies neither take an answer's place nor make a hot group
+    rows = written(rows.distinct().withColumn("asks", F.coalesce(queries, F.lit(False))).withColumn("dim", F.size("v")), "vectors")
     squares = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     sums = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max(squares).alias("most")).first()
     n, q, most = sums.n, sums.q or 0, float(sums.most or 0)
     trees, parts = max(1, math.ceil(n / TREE_ROWS)), max(1, math.ceil(q / QUERY_ROWS))
 
-    asked = rows.filter("asks").select("vec_id", "v", "dim").distinct()
+    asked = rows.filter("asks").select("vec_id", "v", "dim")
     # each query block goes to every tree, each tree to every query block
     number = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
