@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm.bpe import bpe_decode, bpe_encode
+from tickweave.llm.centroids import lloyd
+from tickweave.llm.collocations import collocations
 from tickweave.llm.common import keyed_text, table
 from tickweave.llm.extract import extract_text
 from tickweave.llm.jaccard import jaccard_components
+from tickweave.llm.langid import languages_of
 from tickweave.llm.packing import pack
 from tickweave.llm.quality import quality_rules, trusted_texts
 from tickweave.llm.tokenfiles import read_token_files, write_token_files
@@ -170,3 +173,86 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their five-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of dimension-sharded Lloyd over all vectors of 64 components."""
+    return lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Round after round as tables: the centroids, the assignment to them, the means."""
+    floor_of_mean = "CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END"
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v
+    QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) <= {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (SELECT i, any_value(v) AS v, any_value(vec_id) AS vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.i, v.vec_id, v.v, c.c, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r} c) GROUP BY i)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT c, list({floor_of_mean} ORDER BY p) AS v FROM (
+        SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(range(64)) AS p, unnest(v) AS x FROM a{r}) GROUP BY c, p) GROUP BY c) m USING (c))"""
+            )
+    last = f"c{rounds}"
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN {last} c ON a.c = c.c"""
+    )
+
+
+ORACLES["op11_centroids"] = _lloyd_sql()
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, most=2000)
+
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?
+-
+]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM pieces),
+spans AS (SELECT lang, w, unnest([1, 2, 3]) AS m FROM words),
+f AS MATERIALIZED (
+    SELECT lang, m, phrase, count(*) AS f FROM (
+        SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM spans)
+    GROUP BY lang, m, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+cuts AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM cand),
+cut AS (
+    SELECT c.*, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score FROM cuts c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM cand WHERE m = 3) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+def third() -> Column:
+    """Remainder that holds rows out of learning their language, if it is 1."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3
+
+
+@query
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from documents that aren't held out."""
+    found = languages_of(table(spark, sf_dir, "documents"), may_learn=third() != 1)
+    return found.select("doc_id", (third() == 1).alias("held_out"), "lang_pred", "score")
