@@ -23,7 +23,9 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: stands after the last word of a piece: no word holds it
 PAD = "."
 #: bytes of text that are counted together, and bytes of text whose windows one task adds up, about
-TOGETHER, PART_BYTES = 8 << 20, 6 << 20
+TOGETHER, PART_BYTES = 4 << 20, 3 << 20
+#: of the text a sixteenth is looked at to find beginnings that make up more than this part of all windows
+SAMPLED, COMMON = 16, 256
 #: parts of a language that are ranked on their own before their first rows meet
 RANKED = 64
 
@@ -33,19 +35,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Runs of whole pieces of about TOGETHER bytes: no phrase goes over the end of one. A longer piece comes alone."""
+def _pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Runs of whole pieces of about `size` bytes: no phrase goes over the end of one. A longer piece comes alone."""
     at = 0
     while at < len(data):
-        stop = at + TOGETHER
+        stop = at + size
         if stop < len(data):
             ends = np.flatnonzero(_CLASS[data[at:stop]] == 2)
             if len(ends):
                 stop = at + int(ends[-1]) + 1
             else:
                 while stop < len(data):
-                    ends = np.flatnonzero(_CLASS[data[stop : stop + TOGETHER]] == 2)
-                    stop = stop + int(ends[0]) + 1 if len(ends) else stop + TOGETHER
+                    ends = np.flatnonzero(_CLASS[data[stop : stop + size]] == 2)
+                    stop = stop + int(ends[0]) + 1 if len(ends) else stop + size
                     if len(ends):
                         break
         yield data[at:stop]
@@ -92,76 +94,120 @@ def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndar
     return [c[first] for c in columns], n
 
 
-def _blocks(langs: list[str], texts: pa.Array, longest: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Counted windows of some texts as packed blocks, each of one part and language."""
+def _segments(langs: list[str], texts: pa.Array, longest: int, step: int = 1) -> Iterator[tuple[list[str], list[str], list[np.ndarray], np.ndarray]]:
+    """Of each segment of some texts its languages, its words in order with the pad at the end, and its different windows: columns of
+    language and words as their numbers, and how often each occurs. With a `step`, of smaller segments only every so manieth."""
     import pyarrow.compute as pc
 
     lang_names = sorted(set(langs))
     number = {x: k for k, x in enumerate(lang_names)}
     lang_of = np.array([number[x] for x in langs], dtype=np.int64)
-    lang_hash = np.array([zlib.crc32(x.encode()) for x in lang_names], dtype=np.uint64)
     joined = pc.binary_join_element_wise(texts.cast(pa.large_string()), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
     data = _LOWER[np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]
     begins, at = offsets[:-1] - offsets[0], 0
-    for piece in _pieces(data):
+    for k, piece in enumerate(_pieces(data, TOGETHER // step)):
+        start, at = at, at + len(piece)
+        if k % step:
+            continue
         words, starts, ended = _words(piece)
-        row = np.searchsorted(begins, starts + at, side="right") - 1
-        at += len(piece)
         if not len(words):
             continue
+        row = np.searchsorted(begins, starts + start, side="right") - 1
         coded = words.dictionary_encode()
-        # in the order of the words, so that equal beginnings lie side by side and shrink; the last code is the pad
+        # in the order of the words, so that equal beginnings lie side by side and shrink
         order = pc.sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         names = coded.dictionary.take(pa.array(order)).to_pylist() + [PAD]
         codes = rank[coded.indices.to_numpy()]
-        columns, n = _distinct([lang_of[row], *lead_windows(codes, ended, longest, len(names) - 1)], [len(lang_names), *[len(names)] * longest])
-        lang, columns = columns[0], columns[1:]
-        hashes = mix(np.array([zlib.crc32(x.encode()) for x in names], dtype=np.uint64))
-        part = lang_hash[lang]
-        for column in columns:
-            part = mix(part * np.uint64(0x9E3779B97F4A7C15) + hashes[column])
-        part = (part % np.uint64(parts)).astype(np.int64)
-        group = part * len(lang_names) + lang
-        order = np.argsort(group, kind="stable")
-        group, n, columns = group[order], n[order].astype("<u4"), [c[order] for c in columns]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        last = np.append(first[1:], len(group))
+        del words, coded, starts
+        columns = [lang_of[row].astype(np.int32), *lead_windows(codes, ended, longest, len(names) - 1)]
+        yield lang_names, names, *_distinct(columns, [len(lang_names), *[len(names)] * longest])
+
+
+def _hashes(names: list[str]) -> np.ndarray:
+    return mix(np.array([zlib.crc32(x.encode()) for x in names], dtype=np.uint64))
+
+
+def _prefix_hash(lang: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    out = lang
+    for column in columns:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def _common(langs: list[str], texts: pa.Array, longest: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of beginnings that make up more than a 64th of a sample of the windows, and, as hash 0, how many were looked at."""
+    for lang_names, names, columns, n in _segments(langs, texts, longest, SAMPLED):
+        lang, hashes = _hashes(lang_names), _hashes(names)
+        key = _prefix_hash(lang[columns[0]], [hashes[c] for c in columns[1:-1]])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums = np.add.reduceat(n, first)
+        many = np.flatnonzero(sums * 64 > n.sum())
+        yield pa.record_batch({"key": pa.array(np.append(key[first[many]], np.uint64(0)).view(np.int64)), "n": pa.array(np.append(sums[many], n.sum()))})
+
+
+def _blocks(langs: list[str], texts: pa.Array, longest: int, parts: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted windows of some texts as packed blocks, each of one part. Windows lie where their beginning does, common beginnings
+    in further parts by the whole window."""
+    for lang_names, names, columns, n in _segments(langs, texts, longest):
+        lang, hashes = _hashes(lang_names), _hashes(names)
+        key = _prefix_hash(lang[columns[0]], [hashes[c] for c in columns[1:-1]])
+        part = (key % np.uint64(parts)).astype(np.int64)
+        spread = np.flatnonzero(np.isin(key, common))
+        part[spread] = parts + (mix(key[spread] + hashes[columns[-1][spread]]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, n, columns = part[order], n[order].astype("<u4"), [c[order] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        last = np.append(first[1:], len(part))
         lines = pa.array([x + "\n" for x in names], type=pa.large_string())
-        taken = [lines.take(pa.array(c)) for c in columns]
+        lang, taken = columns[0].astype("<u4"), [lines.take(pa.array(c)) for c in columns[1:]]
         ends = [np.frombuffer(t.buffers()[1], dtype=np.int64) for t in taken]
         values = [memoryview(t.buffers()[2]) for t in taken]
         codec = pa.Codec("zstd")
         packed, sizes = [], []
         for i, j in zip(first.tolist(), last.tolist(), strict=True):
-            raw = b"".join([n[i:j].tobytes(), *(v[e[i] : e[j]] for v, e in zip(values, ends, strict=True))])
+            raw = b"".join([n[i:j].tobytes(), lang[i:j].tobytes(), *(v[e[i] : e[j]] for v, e in zip(values, ends, strict=True))])
             sizes.append(len(raw))
             packed.append(codec.compress(raw, asbytes=True))
         yield pa.record_batch(
             {
-                "part": pa.array(group[first] // len(lang_names)), "lang": pa.array([lang_names[k] for k in (group[first] % len(lang_names)).tolist()]),
+                "part": pa.array(part[first]), "langs": pa.array([lang_names] * len(first), type=pa.list_(pa.string())),
                 "n": pa.array(last - first), "size": pa.array(sizes, type=pa.int64()), "block": pa.array(packed, type=pa.binary()),
             }
         )
 
 
-def _unpacked(n: int, size: int, block: bytes, longest: int) -> tuple[np.ndarray, list[pa.Array]]:
+def _unpacked(langs: list[str], n: int, size: int, block: bytes, names: list[str]) -> pa.Table:
     raw = np.frombuffer(pa.Codec("zstd").decompress(block, size), dtype=np.uint8)
-    counts, text = raw[: 4 * n].view("<u4").astype(np.int64), raw[4 * n :]
+    counts, lang, text = raw[: 4 * n].view("<u4"), raw[4 * n : 8 * n].view("<u4"), raw[8 * n :]
     ends = np.flatnonzero(text == 10)
-    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(n * longest, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text[text != 10])))
-    return counts, [words.slice(k * n, n) for k in range(longest)]
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    words = pa.StringArray.from_buffers(n * len(names), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text[text != 10])))
+    columns = {c: words.slice(k * n, n) for k, c in enumerate(names)}
+    return pa.table({"lang": pa.array(langs, type=pa.string()).take(pa.array(lang)), **columns, "n": pa.array(counts.astype(np.int64))})
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    names = rows.column_names[:-1]
+    return rows.group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"]).select([*names, "n"])
+
+
+def _padded(rows: pa.Table, name: str) -> pa.Table:
+    """Counted with a pad for the word of some column."""
+    order = rows.column_names
+    rows = _added(rows.drop([name]))
+    return rows.append_column(name, pa.array([PAD]).take(pa.array(np.zeros(len(rows), dtype=np.int64)))).select(order)
 
 
 def window_counts(docs: DataFrame, longest: int, least: int, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, w0, w1, ... and n: how often each padded window of `longest` words occurs.
 
-    A window that occurs less than `least` times is counted as a shorter one: its last word is a pad, so the sums over its beginnings are as they were.
-    Windows are counted where texts are read; what travels are packed blocks of sorted windows, dealt by the whole
-    window, so a common word or pair spreads over all parts.
+    A window that occurs less than `least` times is counted with a pad for its last word, and one whose beginning does, if
+    all of that lies in one part, with two: the sums over beginnings that occur `least` times are as they were, and so is the sum of all.
+    Windows are counted where texts are read; what travels are packed blocks of sorted windows, dealt by their beginning. A
+    sample finds beginnings that many windows share; those are dealt by the whole window (which moves work, not results).
     """
     import pyarrow.compute as pc
 
@@ -170,23 +216,34 @@ def window_counts(docs: DataFrame, longest: int, least: int, lang: str = "lang",
     parts = max(1, -(-size // PART_BYTES))
     names = [f"w{k}" for k in range(longest)]
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TOGETHER):
+            yield from _common(batch.column("lang").to_pylist(), batch.column("text"), longest)
+
+    # at most COMMON rows, by the condition
+    looked = texts.mapInArrow(look, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    of_all = looked.filter("key = 0").agg(F.sum("n")).scalar()
+    common = np.array([r.key for r in looked.filter((F.col("key") != 0) & (F.col("n") * COMMON > of_all)).collect()], dtype=np.int64).view(np.uint64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, TOGETHER):
-            yield from _blocks(batch.column("lang").to_pylist(), batch.column("text"), longest, parts)
+            yield from _blocks(batch.column("lang").to_pylist(), batch.column("text"), longest, parts, common)
 
     def add(group: pa.Table) -> pa.Table:
-        rows = []
-        for own, n, size_, block in zip(*(group.column(c).to_pylist() for c in ("lang", "n", "size", "block")), strict=True):
-            counts, columns = _unpacked(n, size_, block, longest)
-            rows.append(pa.table({"lang": pa.array([own]).take(pa.array(np.zeros(n, dtype=np.int64))), **dict(zip(names, columns, strict=True)), "n": pa.array(counts)}))
-        table = pa.concat_tables(rows).group_by(["lang", *names], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", *names, "n"])
+        columns = zip(*(group.column(c).to_pylist() for c in ("langs", "n", "size", "block")), strict=True)
+        table = _added(pa.concat_tables([_unpacked(*x, names) for x in columns]))
         rare = pc.less(table.column("n"), least)
-        few = table.filter(rare).drop([names[-1]]).group_by(["lang", *names[:-1]], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", *names[:-1], "n"])
-        few = few.append_column(names[-1], pa.array([PAD], type=pa.large_string()).take(pa.array(np.zeros(len(few), dtype=np.int64))))
-        table = pa.concat_tables([table.filter(pc.invert(rare)), few.select(["lang", *names, "n"])])
-        return table.cast(pa.schema([("lang", pa.string()), *((c, pa.string()) for c in names), ("n", pa.int64())]))
-
-    blocks = texts.mapInArrow(count, "part long, lang string, n long, size long, block binary")
+        frequent, table = table.filter(pc.invert(rare)), _padded(table.filter(rare), names[-1])
+        if longest > 2 and group.column("part")[0].as_py() < parts:
+            # all windows with one of these beginnings are here
+            rare = pc.less(table.column("n"), least)
+            keys = ["lang", *names[:-1]]
+            rest = table.filter(rare).join(frequent.select(keys), keys=keys, join_type="left anti", use_threads=False).select(table.column_names)
+            some = table.filter(rare).join(frequent.select(keys), keys=keys, join_type="left semi", use_threads=False).select(table.column_names)
+            table = pa.concat_tables([table.filter(pc.invert(rare)), some, _padded(rest, names[-2])])
+        return pa.concat_tables([frequent, table])
+
+    blocks = texts.mapInArrow(count, "part long, langs array<string>, n long, size long, block binary")
     return blocks.groupBy("part").applyInArrow(add, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
 
 
