@@ -1,5 +1,7 @@
 """M-tree search against all inner products."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,13 +22,51 @@ def test_tree(seed):
     centres = rng.integers(-60, 60, (7, 12))
     vectors = (centres[rng.integers(0, 7, n)] + rng.integers(-9, 9, (n, 12)) * (seed != 5)).astype(float)
     ids = rng.permutation(n * 2)[:n]
-    tree = MTree(ids, vectors, float((vectors * vectors).sum(axis=1).max()) if n else 0.0, page=16)
-    for q in range(30):
-        query = vectors[q % n] if n else np.zeros(12)
-        skip = int(ids[q % n]) if n and q % 2 else None
-        assert tree.search(query, 5, skip) == brute(ids, vectors, query, 5, skip)
+    tree = pickle.loads(pickle.dumps(MTree(ids, vectors, float((vectors * vectors).sum(axis=1).max()) if n else 0.0, page=16)))
+    queries = np.stack([vectors[q % n] if n else np.zeros(12) for q in range(30)])
+    own = np.array([int(ids[q % n]) if n and q % 2 else -1 for q in range(30)])
+    scores, found = tree.search(queries, own, 5)
+    want = [brute(ids, vectors, query, 5, skip) for query, skip in zip(queries, own, strict=True)]
+    assert [[(int(a), int(b)) for a, b in zip(s, i, strict=True) if np.isfinite(a)] for s, i in zip(scores, found, strict=True)] == want
+    computed = tree.computed
     if n == 3000:
-        assert tree.computed < 30 * n * 0.7  # the bounds spare distances
+        assert computed < 30 * n * 0.7  # the bounds spare distances
+    if n > 5:  # all that scores as much as the fifth is found, with fewer distances
+        least = np.array([w[-1][0] for w in want], dtype=float)
+        assert (tree.search(queries, own, 5, least)[1] == found).all() and tree.computed - computed <= computed
+
+
+def clustered(spark, n):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.1).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>"), [(i, np.floor(256 * np.array(v))) for i, v in rows]
+
+
+def test_far_regions_are_spared(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TREE_ROWS", 60)
+    df, rows = clustered(spark, 1200)
+    sent = []
+    keep = topk.written
+    monkeypatch.setattr(topk, "written", lambda frame, name: sent.append(out := keep(frame, name)) or out if name == "sent" else keep(frame, name))
+    got = [tuple(r) for r in largest_products(df, F.col("vec_id") % 10 == 0, k=5).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, a in rows[::10]:
+        best = sorted((-int(a @ b), j) for j, b in rows if j != q)[:5]
+        want += [(q, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == want
+    first, second = (s.groupBy("vec_id").count().agg(F.avg("count")).first()[0] for s in sent)
+    assert first == 1 and second < 10  # of twenty trees and more
+
+
+def test_a_region_of_many_equal_vectors_has_several_trees(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TREE_ROWS", 20)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    df = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = largest_products(df, F.col("vec_id") % 50 == 1, k=4).orderBy("query_id", "rank").collect()
+    values = {i: np.floor(256 * np.array([1.0, 2.0] if i % 3 else [float(i), 1.0])) for i in range(300)}
+    want = [(q, r, j, -s) for q in range(1, 300, 50) for r, (s, j) in enumerate(sorted((-int(values[q] @ b), j) for j, b in values.items() if j != q)[:4], 1)]
+    assert [tuple(r) for r in got] == want
 
 
 def test_operator_odd_rows(spark, monkeypatch):
