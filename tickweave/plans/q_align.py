@@ -32,17 +32,20 @@ SELECT *, NOT first_value(inner_low) OVER (PARTITION BY pmu_id, run ORDER BY mea
     FROM {prefix}_one b WHERE b.meas_us % {p} = {h}))
 """,
     )
+    # before the slowest device holds anything back
     sql_view(
-        f"{prefix}_points",
+        f"{prefix}_samples",
         f"""
-SELECT * FROM (
-  SELECT {cols}, tick_us FROM (SELECT *, row_number() OVER (PARTITION BY pmu_id, tick_us ORDER BY abs(meas_us - tick_us), meas_us) AS near
-    FROM {prefix}_inner) WHERE near = 1
-  UNION ALL SELECT {cols}, CASE WHEN goes_down THEN meas_us - {h} ELSE meas_us + {h} END FROM {prefix}_edge
-    WHERE goes_down OR NOT inner_up)
-WHERE tick_us <= (SELECT min(m) FROM (SELECT max(meas_us) AS m FROM {prefix}_one GROUP BY pmu_id))
+SELECT {cols}, tick_us FROM (SELECT *, row_number() OVER (PARTITION BY pmu_id, tick_us ORDER BY abs(meas_us - tick_us), meas_us) AS near
+  FROM {prefix}_inner) WHERE near = 1
+UNION ALL SELECT {cols}, CASE WHEN goes_down THEN meas_us - {h} ELSE meas_us + {h} END FROM {prefix}_edge
+  WHERE goes_down OR NOT inner_up
 """,
     )
+    sql_view(
+        f"{prefix}_points",
+        f"SELECT * FROM {prefix}_samples WHERE tick_us <= (SELECT min(m) FROM (SELECT max(meas_us) AS m FROM {prefix}_one GROUP BY pmu_id))",
+    )
     sql_view(
         f"{prefix}_ticks",
         f"""

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.operators import align
 from tickweave.plans import views as v
+from tickweave.plans.q_align import HALF_HOUR_US
 from tickweave.plans.q_decode import layouts, raw_cfg2, raw_frames
 from tickweave.plans.registry import query, r6
 from tickweave.session import checkpoint_root
@@ -16,7 +16,7 @@ from tickweave.sources import tables
 from tickweave.streaming import jobs
 
 d6 = v.d6
-LANDINGS = 4
+LANDINGS, FILES = 4, 4
 
 
 class Run:
@@ -27,13 +27,13 @@ class Run:
         self.landing, self.out = f"{self.root}/landing", f"{self.root}/out"
 
     def land(self, rows: DataFrame) -> DataFrame:
-        """Write rows in arrival order, a few files, and stream them back one file at a time."""
+        """Write rows in arrival order, landing by landing, each with some files, and stream back one landing at a time."""
         bounds = rows.agg(F.min("arrival_seq").alias("lo"), F.max("arrival_seq").alias("hi")).first()
         step = (bounds.hi - bounds.lo) // LANDINGS + 1
         for i in range(LANDINGS):
             part = rows.filter(F.floor((F.col("arrival_seq") - bounds.lo) / step) == i)
-            part.coalesce(1).write.mode("append").parquet(self.landing)
-        reader = self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+            part.repartition(FILES).write.mode("append").parquet(self.landing)
+        reader = self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES)
         return reader.parquet(self.landing)
 
     def take(self, stream: DataFrame, tables: dict, mode: str = "append") -> None:
@@ -50,7 +50,7 @@ AS_IS = {"rows": lambda batch: batch}
 def _(spark, sf):
     run = Run(spark, "raw")
     run.land(raw_frames(spark, sf))
-    stream = tables.stream_raw_frames(spark, run.landing, max_files=1)
+    stream = tables.stream_raw_frames(spark, run.landing, max_files=FILES)
     run.take(stream, AS_IS)
     return run.table("rows").select("arrival_seq", "pmu_id", "received_us")
 
@@ -82,31 +82,39 @@ def _(spark, sf):
 DELAY_US = 3 * v.HOUR_US
 
 
+def _watermark_ms(stamp: str, source: str) -> str:
+    return f"((SELECT max({stamp}) FROM {source}) // 1000 - {DELAY_US // 1000})"
+
+
 @query(
     "align_stream",
     f"""
-SELECT tick_us, pmu_id, arg_min(arrival_seq, abs(meas_us - tick_us)) AS arrival_seq FROM (
-  SELECT *, ((meas_us + {v.HOUR_US // 2}) // {v.HOUR_US}) * {v.HOUR_US} AS tick_us FROM accepted)
-WHERE tick_us + {v.HOUR_US} <= (SELECT max(meas_us) FROM accepted) + {v.HOUR_US // 2} - {DELAY_US}
-GROUP BY tick_us, pmu_id
+SELECT tick_us, pmu_id, arrival_seq FROM half_hourly_samples
+WHERE tick_us + {HALF_HOUR_US // 2} < {_watermark_ms("meas_us", "frames_edge")} * 1000
 """,
 )
 def _(spark, sf):
     run = Run(spark, "align")
-    rows = v.accepted(spark, sf).select("arrival_seq", "pmu_id", "meas_us", "freq")
-    points = jobs.align_stream(run.land(rows), v.HOUR_US, f"{DELAY_US} microseconds")
-    run.take(points, jobs.aligned_tables(rows.select("pmu_id").distinct()))
+    rows = v.frames_edge(spark, sf).select("arrival_seq", "pmu_id", "meas_us", "freq")
+    points = jobs.align_stream(run.land(rows), HALF_HOUR_US, f"{DELAY_US} microseconds")
+    run.take(points, {"points": lambda batch: batch})
     return run.table("points").select("tick_us", "pmu_id", "arrival_seq")
 
 
+# event times before this have all been seen: whole seconds before the watermark
+_SEEN = f"{_watermark_ms('received_us', 'frames')} // 1000 * 1000000"
+
+
 @query(
     "stream_sessions",
     f"""
-SELECT pmu_id, min(received_us) AS became_live_us, max(received_us) + 1000000 AS left_live_us, count(*) AS frames FROM (
-  SELECT *, sum(fresh) OVER (PARTITION BY pmu_id ORDER BY received_us ROWS UNBOUNDED PRECEDING) AS run FROM (
-    SELECT pmu_id, received_us, CASE WHEN received_us - lag(received_us) OVER (PARTITION BY pmu_id ORDER BY received_us) <= 1000000
-      THEN 0 ELSE 1 END AS fresh FROM frames)) GROUP BY pmu_id, run
-HAVING max(received_us) + 1000000 <= (SELECT max(received_us) FROM frames) - {DELAY_US}
+WITH s AS (
+  SELECT pmu_id, min(received_us) AS became_live_us, max(received_us) + 1000000 AS left_live_us, count(*) AS frames FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY pmu_id ORDER BY received_us ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT pmu_id, received_us, CASE WHEN received_us - lag(received_us) OVER (PARTITION BY pmu_id ORDER BY received_us) <= 1000000
+        THEN 0 ELSE 1 END AS fresh FROM frames)) GROUP BY pmu_id, run)
+SELECT pmu_id, 'became_live' AS type, became_live_us AS time_us, became_live_us, CAST(0 AS BIGINT) AS frames FROM s WHERE became_live_us < {_SEEN}
+UNION ALL SELECT pmu_id, 'left_live', left_live_us, became_live_us, frames FROM s WHERE left_live_us < {_SEEN}
 """,
 )
 def _(spark, sf):
@@ -124,27 +132,44 @@ def _(spark, sf):
     return run.table("rows").drop("batch")
 
 
+_EDGES = """
+SELECT pmu_id, arrival_seq, received_us, CASE WHEN quality_ok THEN 'quality_recovered' ELSE 'quality_degraded' END AS type, reject_reason AS reason
+FROM (SELECT *, lag(quality_ok) OVER (PARTITION BY pmu_id ORDER BY arrival_seq) AS prev FROM gated)
+WHERE (quality_ok AND NOT prev) OR (NOT quality_ok AND coalesce(prev, TRUE))"""
+
+
 @query(
     "stream_history",
-    """
-SELECT 'frames' AS tab, count(*) AS n FROM frames UNION ALL SELECT 'events', count(*) FROM gated WHERE NOT quality_ok
-UNION ALL SELECT 'layouts', count(*) FROM cfg_profile
+    f"""
+SELECT 'frame' AS kind, pmu_id, received_us AS time_us, CASE WHEN quality_ok THEN 'ok' ELSE reject_reason END AS what FROM gated
+UNION ALL SELECT 'event', pmu_id, received_us, type || coalesce(':' || reason, '') FROM ({_EDGES})
+UNION ALL SELECT 'layouts', NULL, count(*), NULL FROM cfg_profile
 """,
 )
 def _(spark, sf):
-    run = Run(spark, "history")
-    run.take(jobs.stream_quality(run.land(v.frames(spark, sf))), jobs.history_tables())
+    run, edges = Run(spark, "history"), Run(spark, "events")
+    landed = run.land(v.frames(spark, sf))
+    run.take(jobs.stream_quality(landed), jobs.history_tables())
+    edges.take(jobs.stream_edges(jobs.stream_quality(landed)), jobs.event_tables())
     lay = Run(spark, "layouts")
     sent = raw_cfg2(spark, sf).withColumn("arrival_seq", F.col("received_us"))
     lay.take(lay.land(sent), jobs.layout_tables())
-    count = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("tab"), "n")
+    frames, events, none = run.table("frames"), edges.table("events"), F.lit(None).cast("string")
+    reason = F.get_json_object("detail", "$.reason")
     return (
-        count(run.table("frames"), "frames")
-        .unionByName(count(run.table("events"), "events"))
-        .unionByName(count(lay.table("layouts"), "layouts"))
+        frames.select(F.lit("frame").alias("kind"), "pmu_id", F.col("received_us").alias("time_us"), F.when(F.col("quality_ok"), "ok").otherwise(F.col("reject_reason")).alias("what"))
+        .unionByName(events.select(F.lit("event").alias("kind"), "pmu_id", "time_us", F.concat("type", F.when(reason.isNotNull(), F.concat(F.lit(":"), reason)).otherwise("")).alias("what")))
+        .unionByName(lay.table("layouts").agg(F.count(F.lit(1)).alias("time_us")).select(F.lit("layouts").alias("kind"), none.alias("pmu_id"), "time_us", none.alias("what")))
     )
 
 
+@query("stream_quality_edges", _EDGES)
+def _(spark, sf):
+    run = Run(spark, "edges")
+    run.take(jobs.stream_edges(jobs.stream_quality(run.land(v.frames(spark, sf)))), AS_IS)
+    return run.table("rows").drop("batch")
+
+
 @query(
     "sink_history_stream",
     f"""
@@ -166,6 +191,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     run = Run(spark, "latest")
-    delivered = jobs.stream_quality(run.land(v.frames(spark, sf))).filter("quality_ok")
-    run.take(jobs.stream_latest_state(delivered), AS_IS, mode="complete")
-    return jobs.newest_batch(run.table("rows")).select("pmu_id", "total_frames", "arrival_seq", d6("freq").alias("freq"))
+    latest = jobs.stream_latest_state(jobs.stream_quality(run.land(v.frames(spark, sf))).filter("quality_ok"))
+    jobs.run_now(jobs.upsert_batches(latest, run.out, f"{run.root}/state", "pmu_id", buckets=4))
+    rows = jobs.read_upserts(spark, run.out, latest.schema)
+    return rows.select("pmu_id", "total_frames", "arrival_seq", d6("freq").alias("freq"))

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.parquet.compression.codec": "zstd",
     # list hourly partition folders with a bounded number of tasks
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    # keyed state outside the heap, with timers and map state
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # settings a running session cannot change any more

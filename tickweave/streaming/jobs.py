@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickweave.functions import fleet
-from tickweave.operators import align, decode, estimators, quality
+from tickweave.operators import align, decode, quality
 from tickweave.operators.history import frame_history
+from tickweave.streaming import stateful
 
 BatchFn = Callable[[DataFrame], DataFrame]
 
@@ -40,103 +39,34 @@ def stream_quality(readings: DataFrame, max_skew_us: int = quality.MAX_SKEW_US)
     return quality.quality_gate(readings, max_skew_us)
 
 
-def align_stream(readings: DataFrame, period_us: int, delay: str) -> DataFrame:
-    """Aligned samples (device at tick) as soon as the watermark has passed the tick's window.
+def align_stream(readings: DataFrame, period_us: int, delay: str, capacity: int | None = None) -> DataFrame:
+    """Aligned samples (device at tick) as soon as the watermark has passed the tick's window, by the rules of a table.
 
-    Windows are half open, so with an even period a sample exactly between two ticks
-    goes to the upper one. A late sample never re-opens a tick. All devices of a tick come
-    out in the same micro-batch, so :func:`tickweave.operators.align.align_ticks` can be
+    All devices of a tick come out in the same micro-batch, so :func:`tickweave.operators.align.align_ticks` can be
     applied to each batch.
     """
-    half = period_us // 2
-    shifted = readings.withColumn("_at", F.timestamp_micros(F.col("meas_us") + half)).withWatermark("_at", delay)
-    window = F.window("_at", f"{period_us} microseconds")
-    distance = F.abs(F.col("meas_us") - (F.col("meas_us") + half - F.pmod(F.col("meas_us") + half, F.lit(period_us))))
-    best = F.min_by(
-        F.struct(*[c for c in readings.columns if c != "pmu_id"]),
-        F.struct(distance, F.col("meas_us"), -F.col("arrival_seq")),
-    )
-    picked = shifted.groupBy(window.alias("_w"), "pmu_id").agg(best.alias("_s"))
-    return picked.select(F.unix_micros("_w.start").alias("tick_us"), "pmu_id", "_s.*")
+    return stateful.aligned_samples(readings, period_us, delay, capacity)
 
 
-def stream_sessions(frames: DataFrame, delay: str) -> DataFrame:
-    """Live sessions once the watermark has passed their end; ``data_rate`` sets the patience."""
+def stream_sessions(frames: DataFrame, delay: str, width_us: int = 1_000_000) -> DataFrame:
+    """`became_live` and `left_live` events of a stream of frames; ``data_rate`` sets the patience."""
     rate = F.col("data_rate") if "data_rate" in frames.columns else F.lit(0)
-    timed = (
-        frames.withColumn("_at", F.timestamp_micros("received_us"))
-        .withColumn("_gap", F.concat(fleet.liveness_timeout_us(rate).cast("string"), F.lit(" microseconds")))
-        .withWatermark("_at", delay)
-    )
-    found = timed.groupBy(F.session_window("_at", F.col("_gap")).alias("w"), "pmu_id").agg(F.count(F.lit(1)).alias("frames"))
-    return found.select(
-        "pmu_id", F.unix_micros("w.start").alias("became_live_us"), F.unix_micros("w.end").alias("left_live_us"), "frames"
-    )
+    return stateful.session_events(frames, fleet.liveness_timeout_us(rate), delay, width_us)
 
 
-# ------------------------------------------------------------------ keyed state
-
-ESTIMATES = T.StructType(
-    [
-        T.StructField("pmu_id", T.StringType()),
-        T.StructField("arrival_seq", T.LongType()),
-        T.StructField("received_us", T.LongType()),
-        T.StructField("offset_us", T.DoubleType()),
-        T.StructField("approx_fps", T.DoubleType()),
-        T.StructField("edge", T.StringType()),
-        T.StructField("trend_point", T.BooleanType()),
-    ]
-)
-# -1 and NaN stand for "nothing yet": clock offset, window start, stamps, rate, last arrival,
-# last stamp, last verdict, last trend point
-STATE = T.StructType(
-    [
-        T.StructField("offset", T.DoubleType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("count", T.LongType()),
-        T.StructField("rate", T.DoubleType()),
-        T.StructField("received", T.LongType()),
-        T.StructField("meas", T.LongType()),
-        T.StructField("ok", T.LongType()),
-        T.StructField("trend", T.LongType()),
-    ]
-)
-START = (float("nan"), -1, 0, 0.0, -1, -1, -1, -1)
-
-
-def _estimate(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, updates: int = estimators.UPDATES_PER_FRAME
-) -> Iterator[pd.DataFrame]:
-    decay = (1 - estimators.SMOOTHING) ** updates
-    offset, start, count, rate, received, meas, ok, trend = state.get if state.exists else START
-    some = lambda v: None if v < 0 else v
-    rows = pd.concat(list(batches)).sort_values("arrival_seq")
-    out = []
-    for seq, at, stamp, good, cfg in rows[["arrival_seq", "received_us", "meas_us", "quality_ok", "cfg"]].itertuples(index=False):
-        known = estimators.clock_step(None if offset != offset else offset, float(at - stamp), decay)
-        offset = float("nan") if known is None else known
-        gap = at - received if received >= 0 else 0
-        first, count, rate = estimators.rate_step([some(start), count, rate], stamp, gap, stamp != meas, cfg)
-        start = -1 if first is None else first
-        edge = None if ok == int(good) else ("quality_degraded" if not good else ("quality_recovered" if ok == 0 else None))
-        last, keep = estimators.thin_step(some(trend), at, estimators.TREND_GAP_US)
-        received, meas, ok, trend = at, stamp, int(good), last
-        out.append((key[0], seq, at, known, rate, edge, keep))
-    state.update((float(offset), int(start), int(count), float(rate), int(received), int(meas), int(ok), int(trend)))
-    yield pd.DataFrame(out, columns=ESTIMATES.names)
-
-
-def stream_estimators(gated: DataFrame) -> DataFrame:
+def stream_estimators(gated: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Clock offset, frame rate, quality edges and trend points as state of each device.
 
-    The row-by-row definitions are the ones the batch forms are built from. A device is
-    one state key; a micro-batch holds only what arrived since the last one.
+    The row-by-row definitions are the ones the batch forms are built from. A device is one state key; its rows of a
+    micro-batch are put in order in pages of state.
     """
-    cfg = fleet.cfg_rate_fps("data_rate") if "data_rate" in gated.columns else F.lit(0.0)
-    rows = gated.select("pmu_id", "arrival_seq", "received_us", "meas_us", "quality_ok", cfg.alias("cfg"))
-    return rows.groupBy("pmu_id").applyInPandasWithState(
-        _estimate, ESTIMATES, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return stateful.estimates(gated, ["clock", "rate", "edge", "trend"], ttl_ms)
+
+
+def stream_edges(gated: DataFrame) -> DataFrame:
+    """Quality edges of a gated stream: a row where a device's verdict turns, or begins with a reject."""
+    found = stateful.estimates(gated, ["edge"], changes=True)
+    return found.select("pmu_id", "arrival_seq", "received_us", F.col("edge").alias("type"), "reason")
 
 
 def stream_latest_state(delivered: DataFrame) -> DataFrame:
@@ -178,21 +108,71 @@ def read_batches(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
 
 
-def newest_batch(batches: DataFrame) -> DataFrame:
-    """The last full picture of a table written in complete mode."""
-    return batches.filter(F.col("batch") == batches.agg(F.max("batch")).scalar()).drop("batch")
+# ------------------------------------------------------------------ upserts
+
+
+def upsert_batches(
+    stream: DataFrame, path: str, checkpoint: str, key: str, buckets: int = 64, interval: str | None = None
+) -> StreamingQuery:
+    """Start a query in update mode whose changed rows replace those of their key in ``path``.
+
+    Keys are dealt to buckets, and a bucket is a chain of versions. A batch writes a new version of the buckets with a changed
+    key and of no other; run again after a failure it overwrites its own versions.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+        if touched:
+            known = _versions(batch.sparkSession, path, changed.drop("bucket").schema, batch_id)
+            rows = changed
+            if known is not None:
+                old = newest_rows(known.filter(F.col("bucket").isin(touched)))
+                rows = old.join(changed.select(key), key, "left_anti").unionByName(changed)
+            rows.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
+        changed.unpersist()
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
+def _versions(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame | None:
+    """All versions of all buckets, None if nothing has been written yet. Those of a batch that is run again don't count."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+    rows = spark.read.schema(full).parquet(path)
+    return rows if before is None else rows.filter(F.col("version") < before)
+
+
+def newest_rows(versions: DataFrame) -> DataFrame:
+    """The rows of each bucket's newest version."""
+    newest = versions.groupBy("bucket").agg(F.max("version").alias("version"))
+    return versions.join(newest, ["bucket", "version"], "left_semi").drop("version")
+
+
+def read_upserts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table as it stands."""
+    found = _versions(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else newest_rows(found).drop("bucket")
 
 
 def history_tables() -> dict[str, BatchFn]:
-    """Frames and reject events of a gated stream; both idempotent by batch."""
+    """Frames of a gated stream, idempotent by batch."""
+    return {"frames": frame_history}
+
+
+def event_tables() -> dict[str, BatchFn]:
+    """History events of the edges of a gated stream (:func:`stream_edges`), idempotent by batch."""
 
     def events(batch: DataFrame) -> DataFrame:
-        return batch.filter(~F.col("quality_ok")).select(
-            F.col("received_us").alias("time_us"), "pmu_id", F.lit("quality_rejected").alias("type"),
-            F.to_json(F.struct(F.col("reject_reason").alias("reason"))).alias("detail"),
-        )
+        detail = F.when(F.col("reason").isNotNull(), F.to_json(F.struct("reason")))
+        return batch.select(F.col("received_us").alias("time_us"), "pmu_id", "type", "arrival_seq", detail.alias("detail"))
 
-    return {"frames": frame_history, "events": events}
+    return {"events": events}
 
 
 def layout_tables() -> dict[str, BatchFn]:
