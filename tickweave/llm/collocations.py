@@ -82,7 +82,7 @@ def lead_windows(codes: np.ndarray, ended: np.ndarray, longest: int, pad: int) -
     return columns
 
 
-def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+def distinct_rows(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
     """Different rows of some columns of codes, each below its size, in order, and how often each occurs."""
     key, most = columns[0].astype(np.int64), sizes[0]
     for column, size in zip(columns[1:], sizes[1:], strict=True):
@@ -123,7 +123,7 @@ def _segments(langs: list[str], texts: pa.Array, longest: int, step: int = 1) ->
         codes = rank[coded.indices.to_numpy()]
         del words, coded, starts
         columns = [lang_of[row].astype(np.int32), *lead_windows(codes, ended, longest, len(names) - 1)]
-        yield lang_names, names, *_distinct(columns, [len(lang_names), *[len(names)] * longest])
+        yield lang_names, names, *distinct_rows(columns, [len(lang_names), *[len(names)] * longest])
 
 
 def _hashes(names: list[str]) -> np.ndarray:
@@ -244,7 +244,8 @@ def window_counts(docs: DataFrame, longest: int, least: int, lang: str = "lang",
         return pa.concat_tables([frequent, table])
 
     blocks = texts.mapInArrow(count, "part long, langs array<string>, n long, size long, block binary")
-    return blocks.groupBy("part").applyInArrow(add, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
+    # a few parts for each task, however many tasks a shuffle has by default
+    return blocks.repartition(-(-parts // 4), "part").groupBy("part").applyInArrow(add, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
 
 
 def phrase_counts(docs: DataFrame, longest: int, least: int, lang: str = "lang", text: str = "text") -> DataFrame:
