@@ -23,8 +23,8 @@ from tickweave.llm.files import attempt_name, reader, writer
 from tickweave.llm.tokens import ids_of, prefix_sums, tokenized
 
 MAGIC = b"TWTOK1\0\0"
-#: ids in one file, about; the number of files grows with the corpus
-IDS_PER_FILE = 8_000_000
+#: ids in one file, about, and files at most: of a large corpus they grow instead. Places that are looked at for each border of files
+IDS_PER_FILE, FILES, PLACES = 8_000_000, 8_192, 64
 BLOCK_BYTES = 4 << 20
 
 #: for each control byte: byte lengths of its four ids
@@ -73,7 +73,7 @@ def code_book(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
-            seen = np.bincount(ids_of(batch.column(0).to_pylist())[0])
+            seen = np.bincount(ids_of(batch.column(0))[0])
             if len(seen) > len(total):
                 total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
             total[: len(seen)] += seen
@@ -99,7 +99,7 @@ def write_token_files(
     ids = written(tokenized(keyed_text(docs, key, text), vocabulary, end_id), "ids")
     book = code_book(ids)
     rows, total = ids.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    shards = max(1, math.ceil(total / ids_per_file))
+    shards = min(FILES, max(1, math.ceil(total / ids_per_file)))
     borders = _borders(ids, rows, shards)
     folder = shared_folder(spark, "tokens")
     rank_of = np.zeros(int(book.max()) + 1 if len(book) else 1, dtype="<u4")
@@ -107,7 +107,7 @@ def write_token_files(
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            flat, counts = ids_of(batch.column("ids").to_pylist())
+            flat, counts = ids_of(batch.column("ids"))
             control, data, controls, sizes = encode_ranks(rank_of[flat], counts)
             places = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "row")), strict=True)
             yield pa.record_batch(
@@ -146,11 +146,11 @@ def _place(doc_id: int | None, part: int, row: int) -> tuple[bool, int, int, int
 
 
 def _borders(ids: DataFrame, rows: int, shards: int) -> list[tuple[bool, int, int, int]]:
-    """Where files begin, from about 100 places for each file."""
+    """Where files begin, from PLACES for each of at most FILES files: no more than that comes to the driver, however many rows there are."""
     if shards == 1:
         return []
     places = ids.select("doc_id", "part", "row")
-    places = places.sample(fraction=100.0 * shards / rows, seed=7) if 100 * shards < rows else places
+    places = places.sample(fraction=PLACES * shards / rows, seed=7) if PLACES * shards < rows else places
     some = sorted(_place(*r) for r in places.collect())
     return [some[len(some) * k // shards] for k in range(1, shards)] if some else []
 

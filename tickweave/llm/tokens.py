@@ -7,6 +7,7 @@ leave them as they are, so they go to the library's model. Texts that spell a sp
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
@@ -73,9 +74,19 @@ class Encoder:
             part.append(text)
             size += len(text)
             if size >= TOGETHER:
-                yield from self._encode(part)
+                yield from self._together(part)
                 part, size = [], 0
-        yield from self._encode(part)
+        yield from self._together(part)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Many small objects come and go, none in a cycle: the collector would look at them in vain."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return list(self._encode(texts))
+        finally:
+            if collects:
+                gc.enable()
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         runs = []
@@ -101,6 +112,15 @@ class Encoder:
                 yield b"".join(map(known.__getitem__, own))
 
 
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column side by side, and where each row ends, 0 first."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return data, ends - ends[0]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -156,7 +176,7 @@ def prefix_sums(totals: DataFrame, order: str, count: str) -> DataFrame:
     return totals.select(order, F.coalesce(F.sum(count).over(before), F.lit(0)).alias("base"))
 
 
-def ids_of(column: pd.Series | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of several rows, and how many each row has."""
-    n = np.fromiter((len(x) // 4 for x in column), dtype=np.int64, count=len(column))
-    return np.frombuffer(b"".join(column), dtype="<u4"), n
+    data, ends = bytes_of(column)
+    return np.ascontiguousarray(data).view("<u4"), np.diff(ends) // 4
