@@ -27,7 +27,7 @@ from tickweave.llm.shingles import mix, word_numbers
 #: labelled rows of each class that tune the score's curve: one in so many toxic ones, and so many rows at most. All others are counted
 TUNING_PART, TUNING_ROWS = 4, 5_000
 #: entries of the model up to which they are sent to each task, entries of a file of a larger one, and bytes of files that a worker keeps
-HELD, FILED, KEPT = 1_000_000, 1_000_000, 256 << 20
+HELD, FILED, KEPT = 1_000_000, 1_000_000, 128 << 20
 #: contexts whose weight equals that of no evidence, to choose from: for words, and for a pair against its last word
 SHRINK_WORDS, SHRINK_PAIRS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0), (16.0, 64.0, 256.0)
 #: a pair that could weigh less than this against its last word is left to the word
@@ -284,13 +284,17 @@ _COUNTS = ["kind int", "key long", "other long", *(f"v{k} double" for k in range
 def _triples(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words of some texts in order, and the different rows of (word before, word, word ahead of both, class) as their numbers."""
     words, before, counts = tokens(texts)
+    first = before == 0
+    del before
     known, codes = np.unique(np.append(words, np.uint64(0)), return_inverse=True)  # 0 comes first
-    codes = codes[:-1]
-    behind = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
-    behind[before == 0] = 0
-    ahead = np.concatenate([[0], behind[:-1]]) if len(codes) else codes
-    ahead[before == 0] = 0
-    columns, _ = distinct_rows([behind, codes, ahead, np.repeat(toxic, counts)], [*[len(known)] * 3, 2])
+    del words
+    codes = codes[:-1].astype(np.int32)
+    none = np.zeros(1, dtype=np.int32)
+    behind = np.concatenate([none, codes[:-1]]) if len(codes) else codes
+    behind[first] = 0
+    ahead = np.concatenate([none, behind[:-1]]) if len(codes) else codes
+    ahead[first] = 0
+    columns, _ = distinct_rows([behind, codes, ahead, np.repeat(toxic.astype(np.int8), counts)], [*[len(known)] * 3, 2])
     return known, columns
 
 
@@ -314,6 +318,7 @@ def _blocks(texts: pa.Array, toxic: np.ndarray, parts: int, common: np.ndarray)
     part = (place % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
+    del behind, word, place, spread, order
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
     codec, packed, sizes = pa.Codec("zstd"), [], []
     last = np.append(first[1:], len(part))[: len(first)]
@@ -381,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     learned = texts.join(chosen.filter("NOT tuning"), "doc_id").select("text", "toxic")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 4 << 20):
             yield _look(batch.column("text"))
 
     # what decides about work alone, not about results: how many parts there are, and which words are common (at most COMMON)
@@ -394,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     common = np.append(common, np.uint64(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 6 << 20):
             yield _blocks(batch.column("text"), batch.column("toxic").to_numpy(), parts, common)
 
     blocks = learned.mapInArrow(count, _BLOCKS).repartition(-(-parts // 4), "part")
@@ -508,7 +513,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             score, gain = own.scores(batch.column("text")) if own else (np.zeros(batch.num_rows), np.zeros(batch.num_rows))
             yield pa.record_batch(
                 {"doc_id": batch.column("doc_id"), "gain": pa.array(gain), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
@@ -525,7 +530,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
             yield batch.filter(pa.array(own.scores(texts)[0] < 0.5)) if own and batch.num_rows else batch
 
