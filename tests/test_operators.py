@@ -77,10 +77,38 @@ def test_history_table_prunes_hours(spark, tmp_path):
 
     path = str(tmp_path / "h")
     rows = history.frame_history(v.gated(spark, "/root/testdata/sf0.001"))
-    tables.write_frame_history(rows, path, files_per_hour=1)
+    tables.write_frame_history(rows, path)
     lo, hi = v.V1_US + 30 * v.HOUR_US, v.V1_US + 200 * v.HOUR_US
     found = tables.read_history(spark, path, pmu="10.0.0.3:4712", from_us=lo, to_us=hi)
     want = rows.filter((F.col("time_us") >= lo) & (F.col("time_us") < hi) & (F.col("pmu_id") == "10.0.0.3:4712"))
     assert found.count() == want.count() > 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(hour" in plan and "PushedFilters: [IsNotNull(time_us)" in plan
+
+
+def scanned(df):
+    """Rows that the Parquet reader hands on: those of row groups it hasn't skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    while leaves.apply(0).nodeName().startswith(("AdaptiveSparkPlan", "ShuffleQueryStage", "ResultQueryStage")):
+        leaves = (leaves.apply(0).executedPlan() if leaves.apply(0).nodeName().startswith("Adaptive") else leaves.apply(0).plan()).collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_history_of_a_device_skips_row_groups_of_others(spark, tmp_path):
+    path, hour = str(tmp_path / "h"), 3_600_000_000
+    # half of all rows are one device's
+    rows = spark.range(20_000).selectExpr("id AS n", "IF(id % 2 = 0, 'd00', format_string('d%02d', id % 40)) AS pmu_id", f"{500 * hour} + id * 100000 AS time_us", "true AS quality_ok")
+    tables.write_frame_history(rows, path)
+    files = list((tmp_path / "h").glob("hour=*/*.parquet"))
+    assert 3 <= len(files) <= 8
+    assert tables.read_history(spark, path, pmu="d00").count() == 10_000 and tables.read_history(spark, path, pmu="d07").count() == 500
+    # without the order of a read, which looks at its rows twice
+    read = lambda pmu: spark.read.parquet(path).filter(F.col("pmu_id") == pmu)
+    assert max(scanned(read(f"d{k:02d}")) for k in (0, 7, 11, 23)) < 15_000
+    assert sum(scanned(read(f"d{k:02d}")) for k in range(1, 40, 2)) < 0.6 * 20 * 20_000
+    # a name between others': the range can't tell, the Bloom filter does
+    assert scanned(read("d07x")) == 0
+    busiest = max(spark.read.parquet(str(f)).count() for f in files)
+    assert busiest <= 0.35 * 20_000

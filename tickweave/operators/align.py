@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickweave.functions import fleet
 
@@ -93,18 +94,33 @@ def nearest_tick(readings: DataFrame, period_us: int) -> DataFrame:
     return _nearest_inside(rows) if period_us % 2 else _nearest_with_borders(rows, period_us)
 
 
+# one number for what makes a sample the nearest of its tick: twice the distance, one more after the tick; then the last arrival
+_NEARER = (
+    "CAST(abs(meas_us - tick_us) * 2 + IF(meas_us > tick_us, 1, 0) AS DECIMAL(19,0)) * 9223372036854775808BD"
+    " + CAST(9223372036854775807 - arrival_seq AS DECIMAL(19,0))"
+)
+
+
 def _nearest_with_borders(rows: DataFrame, period_us: int) -> DataFrame:
-    """The even period; every row carries its upper tick as ``tick_us``."""
+    """The even period; every row carries its upper tick as ``tick_us``.
+
+    Rows are reduced where they are read: of each tick at most an inner and a border sample go on, however many rows there are.
+    Every column is picked by an aggregate of its own over one fixed-width number, so columns that nobody asks for aren't
+    carried, and fixed-width ones are reduced by hash.
+    """
     c, part = F.col, ["pmu_id", "_chunk"]
     span = period_us * TICKS_PER_CHUNK
     chunk = F.floor(c("tick_us") / span).cast("bigint")
-    # reduced where the rows are read: of each tick at most an inner and a border sample go on, however many rows there are
-    least = F.struct(F.abs(c("meas_us") - c("tick_us")), c("meas_us"), -c("arrival_seq"))
-    kept = rows.withColumn("_border", c("tick_us") - c("meas_us") == period_us // 2)
-    nearest = kept.groupBy("pmu_id", "tick_us", "_border").agg(F.min_by(F.struct(*rows.columns), least).alias("_r"))
+    kept = rows.withColumn("_border", c("tick_us") - c("meas_us") == period_us // 2).withColumn("_n", F.expr(_NEARER))
+    own = [f for f in rows.schema.fields if f.name not in ("pmu_id", "tick_us")]
+    fixed = [f.name for f in own if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.TimestampType, T.DateType))]
+    wide = [f.name for f in own if f.name not in fixed]
+    picked = [F.min_by(n, "_n").alias(n) for n in fixed] + ([F.min_by(F.struct(*wide), "_n").alias("_wide")] if wide else [])
+    nearest = kept.groupBy("pmu_id", "tick_us", "_border").agg(*picked)
+    nearest = nearest.select("pmu_id", "tick_us", "_border", *fixed, *(F.col("_wide").getField(n).alias(n) for n in wide))
     # the last tick of a stretch is also shown to the next one
     shown = F.when(c("tick_us") == (chunk + 1) * span - period_us, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    best = nearest.select("_border", "_r.*").select("*", F.explode(shown).alias("_guest")).withColumn("_chunk", chunk + c("_guest"))
+    best = nearest.select("*", F.explode(shown).alias("_guest")).withColumn("_chunk", chunk + c("_guest"))
     # a tick has at most an inner and a border row, so what a border row needs to know of its
     # own tick and the one below is among the three rows before it
     ticks = W.partitionBy(*part).orderBy("tick_us", "_border")

@@ -27,6 +27,14 @@ def slug(name: str) -> str:
     return "".join(out)
 
 
+def devices_of(points: DataFrame, most: int) -> list[str]:
+    """The devices a wide chart has columns for, in order; more than ``most`` are an error, none is left out."""
+    found = [r.pmu_id for r in points.select("pmu_id").distinct().orderBy("pmu_id").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} devices: choose those a wide chart shall have")
+    return found
+
+
 def _wide(points: DataFrame, devices: list[str], values: dict[str, Column]) -> DataFrame:
     """One row per tick, a column per (device, value); absent devices stay NULL."""
     mine = points.filter(F.col("pmu_id").isin(devices))

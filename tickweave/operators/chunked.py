@@ -95,19 +95,23 @@ def newest(df: DataFrame, keys: list[str], order: list[str], n: int, rank: str |
     return out if rank else out.drop(name)
 
 
+# chunks that make one of the next level: hours to days to months; then all that is left of a key
+LEVELS = (24, 30)
+
+
 def islands(
-    df: DataFrame, keys: list[str], time: str, patience: str, width: int = HOUR_US
+    df: DataFrame, keys: list[str], time: str, patience: str, width: int = HOUR_US, levels: tuple[int, ...] = LEVELS
 ) -> DataFrame:
-    """Runs of rows whose silence stays within the ``patience`` of the row before.
+    """Runs of rows whose silence stays within the ``patience`` of the row before, numbered from 1 per key.
 
-    Rows are folded into local runs per (key, chunk) first; only those runs are ordered
-    per key, so the second step sees a few rows per key and chunk.
+    Rows are folded into runs per (key, chunk) first. Of a chunk only the first and the last run can go on outside it, so
+    level by level these alone meet in wider chunks; no window ever holds all runs of a key.
     """
     part = [*keys, "_chunk"]
     w = W.partitionBy(*part).orderBy(time)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = F.col(time) - F.lag(time).over(w) > F.lag(patience).over(w)
-    local = (
+    runs = (
         df.select(*keys, time, patience)
         .withColumn("_chunk", chunk_of(time, width))
         .withColumn("_new", F.coalesce(starts.cast("int"), F.lit(1)))
@@ -119,18 +123,56 @@ def islands(
             F.max_by(patience, time).alias("_patience"),
             F.count(F.lit(1)).alias("_n"),
         )
+        .withColumn("_open", F.lit(True))
     )
-    k = W.partitionBy(*keys).orderBy("_first")
+    for factor in (*levels, None):
+        # runs that have neighbours on both sides are finished, and each a group of its own from here on
+        at = W.partitionBy(*part, "_open")
+        outer = (F.col("_first") == F.min("_first").over(at)) | (F.col("_first") == F.max("_first").over(at))
+        runs = runs.withColumn("_open", F.col("_open") & outer)
+        width = width * factor if factor else None
+        alone = F.when(F.col("_open"), F.lit(None).cast("bigint")).otherwise(F.col("_first"))
+        runs = runs.withColumn("_chunk", chunk_of("_first", width) if width else F.lit(0).cast("bigint")).withColumn("_alone", alone)
+        runs = _glued(runs, [*part, "_alone"])
+    return _numbered(runs, keys, 24 * 30 * HOUR_US)
+
+
+def _glued(runs: DataFrame, part: list[str]) -> DataFrame:
+    """Joins runs of a part that follow on one another."""
+    k = W.partitionBy(*part).orderBy("_first")
     fresh = F.col("_first") - F.lag("_last").over(k) > F.lag("_patience").over(k)
     return (
-        local.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(1)))
+        runs.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(1)))
         .withColumn("_run", F.sum("_new").over(k.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .groupBy(*keys, F.col("_run").alias("run"))
+        .groupBy(*part, "_run")
         .agg(
-            F.min("_first").alias("first_us"),
-            F.max("_last").alias("last_us"),
-            F.max_by("_patience", "_last").alias("patience_us"),
-            F.sum("_n").alias("n"),
+            F.min("_first").alias("_first"),
+            F.max("_last").alias("_last"),
+            F.max_by("_patience", "_last").alias("_patience"),
+            F.sum("_n").alias("_n"),
+            F.first("_open").alias("_open"),
+        )
+    )
+
+
+def _numbered(runs: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Numbers the runs of a key chunk by chunk; one row per chunk, its size, is ordered per key."""
+    part = [*keys, "_chunk"]
+    rows = runs.withColumn("_chunk", chunk_of("_first", width))
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*part, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(W.partitionBy(*part).orderBy("_first"))
+    return (
+        rows.withColumn("_rank", rank)
+        .join(offsets, part)
+        .select(
+            *keys,
+            (F.col("_offset") + F.col("_rank")).cast("bigint").alias("run"),
+            F.col("_first").alias("first_us"),
+            F.col("_last").alias("last_us"),
+            F.col("_patience").alias("patience_us"),
+            F.col("_n").alias("n"),
         )
     )
 

@@ -13,7 +13,10 @@ from tickweave.plans.registry import query, r6, sql_view
 from tickweave.session import materialize
 
 d6 = v.d6
-DEVICES = [f"10.0.0.{k}:4712" for k in range(8)]
+# the device of single-device charts, and how many devices a wide chart has columns for at most
+ONE_DEVICE, MOST_DEVICES = "10.0.0.3:4712", 200
+# SQL has to name its columns: the devices that the views' formula makes
+SQL_DEVICES = [f"10.0.0.{k}:4712" for k in range(8)]
 
 
 def measures(spark, sf):
@@ -177,7 +180,7 @@ sql_view("chart_ticks", "SELECT DISTINCT tick_us FROM measures ORDER BY tick_us
 
 def _cells(values: dict[str, str]) -> str:
     return ", ".join(
-        f"{r6(f'''max({expr}) FILTER (pmu_id = '{d}')''')} AS \"{charts.slug(d)}__{name}\"" for d in DEVICES for name, expr in values.items()
+        f"{r6(f'''max({expr}) FILTER (pmu_id = '{d}')''')} AS \"{charts.slug(d)}__{name}\"" for d in SQL_DEVICES for name, expr in values.items()
     )
 
 
@@ -190,7 +193,8 @@ def _rounded(wide):
     "SELECT tick_us, " + _cells({m: m for m in charts.MEASURES}) + " FROM measures JOIN chart_ticks USING (tick_us) GROUP BY tick_us",
 )
 def _(spark, sf):
-    return _rounded(charts.aligned_pivot(kept_measures(spark, sf), DEVICES))
+    kept = kept_measures(spark, sf)
+    return _rounded(charts.aligned_pivot(kept, charts.devices_of(kept, MOST_DEVICES)))
 
 
 @query(
@@ -198,7 +202,8 @@ def _(spark, sf):
     "SELECT tick_us, " + _cells({f"{p}Angle": f"{p}_angle" for p in ("va", "vb", "vc")}) + " FROM measures JOIN chart_ticks USING (tick_us) GROUP BY tick_us",
 )
 def _(spark, sf):
-    return _rounded(charts.channel_pivot(kept_measures(spark, sf), DEVICES, "angle", "voltage", charts.CHART_TICKS))
+    kept = kept_measures(spark, sf)
+    return _rounded(charts.channel_pivot(kept, charts.devices_of(kept, MOST_DEVICES), "angle", "voltage", charts.CHART_TICKS))
 
 
 @query(
@@ -206,7 +211,8 @@ def _(spark, sf):
     "SELECT tick_us, " + _cells({"analog1": "analog1", "analog2": "analog2"}) + " FROM measures JOIN chart_ticks USING (tick_us) GROUP BY tick_us",
 )
 def _(spark, sf):
-    return _rounded(charts.channel_pivot(kept_measures(spark, sf), DEVICES, "analogs", "voltage", charts.CHART_TICKS, ["Analog1", "Analog2"]))
+    kept = kept_measures(spark, sf)
+    return _rounded(charts.channel_pivot(kept, charts.devices_of(kept, MOST_DEVICES), "analogs", "voltage", charts.CHART_TICKS, ["Analog1", "Analog2"]))
 
 
 _TREND = ["frequency", "frequency_dev", "rocof", "va", "vb", "vc", "ia", "ib", "ic"]
@@ -215,10 +221,10 @@ _TREND = ["frequency", "frequency_dev", "rocof", "va", "vb", "vc", "ia", "ib", "
 @query(
     "device_trend",
     "SELECT tick_us, " + ", ".join(f"{r6(f)} AS {f}" for f in _TREND)
-    + f", {r6('analog1')} AS mw, {r6('analog2')} AS mvar FROM measures JOIN chart_ticks USING (tick_us) WHERE pmu_id = '{DEVICES[3]}'",
+    + f", {r6('analog1')} AS mw, {r6('analog2')} AS mvar FROM measures JOIN chart_ticks USING (tick_us) WHERE pmu_id = '{ONE_DEVICE}'",
 )
 def _(spark, sf):
-    t = charts.device_trend(kept_measures(spark, sf), DEVICES[3])
+    t = charts.device_trend(kept_measures(spark, sf), ONE_DEVICE)
     return t.select("tick_us", *(d6(f).alias(f) for f in [*_TREND, "mw", "mvar"]))
 
 
@@ -295,8 +301,8 @@ def polls(spark, sf):
     f = v.frames(spark, sf).select("pmu_id", "arrival_seq", "received_us").join(e2e, ["pmu_id", "arrival_seq"])
     hour = F.floor(F.col("received_us") / v.HOUR_US) * v.HOUR_US
     last = f.groupBy(hour.alias("poll_us"), "pmu_id").agg(F.max_by("ms", "arrival_seq").alias("latency_ms"))
-    span = f.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")).select(F.explode(F.sequence("lo", "hi", F.lit(v.HOUR_US))).alias("poll_us"))
-    every = span.withColumn("pmu_id", F.explode(F.array(*map(F.lit, DEVICES))))
+    hours = F.sequence(f.agg(F.min(hour)).scalar(), f.agg(F.max(hour)).scalar(), F.lit(v.HOUR_US))
+    every = f.select("pmu_id").distinct().withColumn("poll_us", F.explode(hours))
     return every.join(last, ["poll_us", "pmu_id"], "left").select(
         "poll_us", "pmu_id", F.col("latency_ms").isNotNull().alias("connected"), F.coalesce("latency_ms", F.lit(999.0)).alias("latency_ms")
     )

@@ -132,7 +132,7 @@ SELECT strftime(make_timestamp(time_us), '%Y-%m-%d-%H') AS hour, count(*) AS n,
 )
 def _(spark, sf):
     path = scratch(spark, "history")
-    tables.write_frame_history(history_rows(spark, sf), path, files_per_hour=1)
+    tables.write_frame_history(history_rows(spark, sf), path, files_per_hour=2)
     return spark.read.parquet(path).groupBy(F.col("hour").cast("string").alias("hour")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("pmu_id").alias("devices"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us")
     )
@@ -150,7 +150,7 @@ WHERE pmu_id = '10.0.0.5:4712' AND time_us >= {FROM_US} AND time_us < {TO_US} AN
 )
 def _(spark, sf):
     path = scratch(spark, "history")
-    tables.write_frame_history(history_rows(spark, sf), path, files_per_hour=1)
+    tables.write_frame_history(history_rows(spark, sf), path, files_per_hour=2)
     found = tables.read_history(spark, path, pmu="10.0.0.5:4712", from_us=FROM_US, to_us=TO_US, quality_ok=True)
     return found.select("time_us", "pmu_id", "quality_ok", d6("freq").alias("freq"))
 

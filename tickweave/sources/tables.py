@@ -116,24 +116,33 @@ def hour_of(us) -> Column:
     return F.date_format(F.timestamp_micros(c), "yyyy-MM-dd-HH")
 
 
-def write_frame_history(rows: DataFrame, path: str, mode: str = "append", files_per_hour: int = 8) -> None:
-    """History rows in hourly partitions, sorted by device and time inside each file.
+# bytes of a row group: small, so that a device's rows lie in few of them
+ROW_GROUP_BYTES = 8 << 20
 
-    Rows of an hour are spread over ``files_per_hour`` tasks by their second, so neither a
-    busy hour nor a busy device ends up in one task; files stay few per hour.
+
+def write_frame_history(rows: DataFrame, path: str, mode: str = "append", files_per_hour: int = 8, files_per_device: int = 2) -> None:
+    """History rows in hourly partitions, clustered by device and sorted by device and time inside each file.
+
+    A device's rows of an hour go to ``files_per_device`` of its ``files_per_hour`` files, by their second, so neither a
+    busy hour nor a busy device ends up in one task. Row groups hold a Bloom filter of their devices, so a read of one device
+    skips those of others by range and by filter.
     """
-    spread = F.pmod(F.xxhash64(F.floor(F.col("time_us") / 1_000_000)), F.lit(files_per_hour))
+    turn = F.pmod(F.xxhash64(F.floor(F.col("time_us") / 1_000_000)), F.lit(files_per_device))
+    spread = F.pmod(F.pmod(F.xxhash64("pmu_id"), F.lit(files_per_hour)) + turn, F.lit(files_per_hour))
     # a fixed number of tasks: merging small ones would write the hours one after another
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.withColumn("hour", hour_of("time_us"))
         .withColumn("_spread", spread)
         .repartition(tasks, "hour", "_spread")
-        .drop("_spread")
         .sortWithinPartitions("hour", "pmu_id", "time_us")
+        .drop("_spread")
         .write.mode(mode)
         .partitionBy("hour")
         .option("compression", "zstd")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
+        .option("parquet.bloom.filter.enabled#pmu_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#pmu_id", "10000")
         .parquet(path)
     )
 
