@@ -26,6 +26,19 @@ LONG = "The quick brown fox jumps over the lazy dog, again and again, until the
          f"<div><a>u</a><a>v</a></div></body>", f"Head\n{LONG}\nYes.\n{LONG}"),
         (f"<article><p>{LONG}</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", f"{LONG}\none\ntwo\na\nb"),
         ("<article><p>&#233;&eacute;&nbsp;&am &lt;b&gt;</p></article", "éé &am <b>"),
+        # a teaser in an article element isn't the article
+        (f"<div id=story><h1>Head</h1>" + f"<p>{LONG}</p>" * 6 + f"</div><article class=teaser><h2>Teaser</h2><p>{LONG}</p></article>", "\n".join(["Head", *[LONG] * 6])),
+        # names of parts of the article say nothing about it
+        (f"<article><h2 id='related-work'>Related</h2><p>{LONG}</p><h2 id='search-algorithms'>Search</h2><section id='discussion'><p>{LONG}</p></section>"
+         f"<p class='share-price'>Up 3 %.</p><section class='legal-framework'><p>Law.</p></section></article>",
+         f"Related\n{LONG}\nSearch\n{LONG}\nUp 3 %.\nLaw."),
+        # whole names do
+        (f"<article><p>{LONG}</p><div class='social-share'>Share this</div><div class='related-posts'>More</div><div id='comments'><p>{LONG}</p></div>"
+         f"<ul class='tags links'><li>a</ul></article>", LONG),
+        (f"<article><p>{LONG}</p></article><ol class=commentlist><li><article><p>First!</p></article></ol>", LONG),
+        # no article or main: the part with the text, without what stands around it
+        (f"<div><ul><li><a>Home</a><li><a>News</a></ul></div><table><tr><td><a>x</a><td><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></table>"
+         f"<div class=footer>Imprint {LONG}</div>", f"Head\n{LONG}\n{LONG}\nEnd."),
         (f"<div class='cookie-notice'>{LONG}</div><article><p>ok</p><div class='reader comments'>{LONG}</div></article>", "ok"),
     ],
 )

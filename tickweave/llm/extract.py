@@ -46,28 +46,50 @@ FRAME_WORDS = frozenset(
     "menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup privacy recommended related search share "
     "sharing sidebar signup skip social subscribe tags toolbar topbar widget widgets".split()
 )
-READER_WORDS = frozenset("comment comments disqus discussion reply replies respond".split())
+READER_WORDS = frozenset("comment commentlist comments disqus discussion reply replies respond".split())
+#: parts of names that say nothing by themselves, beside one that does
+NEUTRAL_WORDS = frozenset("area bar block box btn button buttons container group icons inner item items line link links list main module outer post posts row section thread unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _says(names: list[str], words: frozenset[str]) -> bool:
+    """Whether a whole name says it: all its parts are such words or neutral, and one is such a word."""
+    parts = [set(re.findall(r"[a-z0-9]+", n)) for n in names]
+    return any(p & words and p <= words | NEUTRAL_WORDS for p in parts)
 
 
 def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> str:
-    """Why an element isn't part of the article: its kind, or nothing. `inside`: it lies in an article."""
+    """Why an element isn't part of the article: its kind, or nothing. `inside`: it lies in an article.
+
+    Outside, any part of a class, id or role counts. Inside, where a section may be about searches or shares, only whole names
+    do; headings are never judged by their names, nor sections and paragraphs by their ids.
+    """
     if tag in ("html", "body", "main"):
         return ""
     named = {k: v or "" for k, v in attrs}
-    words = set(re.findall(r"[a-z0-9]+", " ".join(named.get(k, "") for k in ("class", "id", "role")).lower()))
-    if words & READER_WORDS:
+    if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
+        return "frame"
+    if inside:
+        if tag in HEADINGS:
+            return ""
+        names = f"{named.get('class', '')} {named.get('role', '')}".lower().split()
+        own = named.get("id", "").lower().split()
+        if tag in ("section", "p"):  # a section's id may be its topic, unless that is what readers say
+            own = [x for x in own if _says([x], READER_WORDS - {"discussion"})]
+        names += own
+        says = lambda words: _says(names, words)
+    else:
+        found = set(re.findall(r"[a-z0-9]+", " ".join(named.get(k, "") for k in ("class", "id", "role")).lower()))
+        says = lambda words: bool(found & words)
+    if says(READER_WORDS):
         return "reader"
-    if tag == "article":
-        return "advert" if words & ADVERT_WORDS else ""
-    if words & ADVERT_WORDS:
+    if says(ADVERT_WORDS):
         return "advert"
+    if tag == "article":
+        return ""
     if tag in FRAME or tag == "header" and not inside:
         return "frame"
-    if words & (FRAME_WORDS - {"header"} if inside else FRAME_WORDS):
-        return "frame"
-    if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
-        return "frame"
-    return ""
+    return "frame" if says(FRAME_WORDS - {"header"} if inside else FRAME_WORDS) else ""
 
 
 class Lines(HTMLParser):
@@ -181,9 +203,12 @@ def main_text(html: str) -> str:
     if not content.any():
         content = may & (level >= level[may].max())
     roots = np.array(parser.content_root)[element]
-    if (content & (roots >= 0)).any():
-        chosen = may & np.isin(roots, np.unique(roots[content & (roots >= 0)]))
+    inside = content & (roots >= 0)
+    # an article element is the article if it holds most of the content, not if it is one teaser of many
+    if inside.any() and 2 * ratios[inside].sum() >= ratios[content].sum():
+        chosen = may & np.isin(roots, np.unique(roots[inside]))
     else:
+        may, content = may & (roots < 0), content & ~inside
         chosen = may & _within(element, _narrowest(parser.parents, element[content], ratios[content]), parser.parents)
     return "\n".join(lines[i][0] for i in np.flatnonzero(chosen).tolist())
 
@@ -215,8 +240,8 @@ def _within(elements: np.ndarray, root: int, parents: list[int]) -> np.ndarray:
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text of every page; nothing is shuffled.
 
-    The article is what lies in `article` or `main` elements that hold content lines, or, on pages without, in the narrowest part
-    that holds nearly all of them; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers'
+    Content lines are chosen by their smoothed text-to-tag ratio. The article is what lies in the `article` or `main` elements that
+    hold most of their weight, or, on pages without, in the narrowest part that holds nearly all of it; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers'
     comments are left out wherever they are. Null and empty html, and pages without text: empty text. Null and repeated keys:
     each row on its own. Broken markup: what the parser makes of it. Empty table: no rows.
     """
