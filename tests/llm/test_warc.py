@@ -44,6 +44,14 @@ def test_least_payload(spark):
     assert {r.page_id: r.record_type for r in rows if r.payload_bytes == 0} == {2: "response", 3: "response"}
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_very_long_url(spark, compress):
+    url = "http://a/" + "é" * 100_000
+    rows = read_archives(write_archives(pages(spark, [(1, url, "x"), (2, "http://b", "y")]), compress=compress)).collect()
+    assert {r.page_id: (r.kind, bytes(r.payload)) for r in rows} == {1: ("record", b"x"), 2: ("record", b"y")}
+    assert max(len(r.url) for r in rows) >= len(url)
+
+
 def test_empty(spark):
     assert read_archives(write_archives(pages(spark, []))).count() == 0
 

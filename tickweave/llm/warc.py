@@ -22,7 +22,7 @@ ARCHIVE_BYTES = 64 << 20
 #: bytes read at a time
 CHUNK = 1 << 20
 #: where a header must have ended, and a record's length must fit; beyond, bytes are taken for damage
-HEADER_MOST, RECORD_MOST = 64 << 10, 1 << 31
+HEADER_MOST, RECORD_MOST = 4 << 20, 1 << 31
 _DATE = "2020-01-01T00:00:00Z"  # pages have no fetch time
 
 
@@ -170,7 +170,8 @@ class Salvage:
                 if not self._fill(used + 1):
                     return None, "member is cut off"
                 piece = bytes(self.held[used : used + CHUNK])
-                raw += inflate.decompress(piece)
+                # no more than tells that it is too much, whatever a few bytes unpack to
+                raw += inflate.decompress(piece, RECORD_MOST + 1 - len(raw))
                 used += len(piece)
                 if len(raw) > RECORD_MOST:
                     return None, "member is too long"
@@ -209,7 +210,7 @@ def _length(header: dict[str, str]) -> int | None:
 
 def _parse(raw: bytes):
     end = raw.find(b"\r\n\r\n")
-    if end < 0 or end > HEADER_MOST:
+    if end < 0:
         return None, "header doesn't end"
     header = _fields(raw[:end])
     length = _length(header)
