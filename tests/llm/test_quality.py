@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD_TEXTS, SF, documents
-from tickweave.llm import queries
+from tickweave.llm import quality, queries
 from tickweave.llm.quality import PRIOR, cells, keep_good, quality_rules
 
 REPEATS = [
@@ -53,6 +53,16 @@ def test_rules_and_ratio(spark):
     assert quality_rules(docs, trusted).filter("kept AND n_words > 60").count() == sum(r.kept and r.n_words > 60 for r in got)
 
 
+def test_long_texts_compare_whole_hashes(spark, monkeypatch):
+    # one repeated window among many words; and every text by the way of long ones
+    text = " ".join(f"w{i}" for i in range(30_000)) + " w5 w6 w7"
+    assert [r.n_repeat_words for r in quality_rules(documents(spark, [text]), documents(spark, [])).collect()] == [6]
+    monkeypatch.setattr(quality, "PACKED", 0)
+    texts = [*ODD_TEXTS, *REPEATS]
+    got = quality_rules(documents(spark, texts), documents(spark, [])).collect()
+    assert Counter(tuple(r)[1:7] for r in got) == Counter(base(t) for t in texts)
+
+
 def test_empty(spark):
     assert quality_rules(documents(spark, []), documents(spark, [])).count() == 0
     got = quality_rules(documents(spark, ["a b"]), documents(spark, [])).collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import WORD_BREAKS, bind, keyed_text, pieces_of, words_of, written
+from tickweave.llm.common import WORD_BREAKS, bind, free_name, keyed_text, pieces_of, words_of, written
 
 #: cells that words and pairs of words are hashed to
 CELLS = 1 << 16  # a power of two
@@ -20,6 +20,8 @@ TRUSTED_ROWS = 50_000
 LEAST_RATIO = -0.1
 #: fixed values of the base rules
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: windows of a text below which a window's hash and place are packed into one number
+PACKED = 4096
 SYMBOLS = "#*$%&|<>"
 
 
@@ -36,21 +38,30 @@ def _neighbours(values: Column, combine: Callable[[Column, Column], Column]) ->
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of three words that the text has twice or more, the first included.
 
-    A window is a mix of its words' 64-bit hashes. Where two are equal, each becomes its hash with its place in the lowest bits; sorted,
-    equal windows are neighbours, told apart by the hash bits left beside the place, 64 less the logarithm of the number of words.
+    A window is a mix of its words' 64-bit hashes. Sorted with their places, equal windows are neighbours. In a text of less than PACKED
+    windows each becomes its hash with its place in the lowest bits, told apart by the 52 or more bits left; in longer ones whole hashes
+    are compared.
     Every intermediate array is bound to a lambda's variable, so that no rewriting of the plan can put its making inside a loop.
     """
 
-    def places(windows: Column) -> Column:
+    # two words' places, together in one number
+    both = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32))
+
+    def exact(windows: Column) -> Column:
+        marked = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p"))))
+        met = lambda a, b: F.when(a["h"] == b["h"], a["p"] * both + b["p"])
+        return bind(marked, lambda m: F.filter(_neighbours(m, met), lambda x: x.isNotNull()))
+
+    def packed(windows: Column) -> Column:
         bits = F.ceil(F.log2(F.size(windows) + F.lit(2))).cast("int")
         marked = F.sort_array(F.transform(windows, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        # the places of two equal neighbours, together in one number
-        both = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32))
         met = lambda a, b: F.when(_shifted(a.bitwiseXOR(b), bits) == 0, a.bitwiseAND(mask) * both + b.bitwiseAND(mask))
-        pairs = bind(marked, lambda m: F.filter(_neighbours(m, met), lambda x: x.isNotNull()))
+        return bind(marked, lambda m: F.filter(_neighbours(m, met), lambda x: x.isNotNull()))
+
+    def places(windows: Column) -> Column:
         return bind(
-            pairs,
+            F.when(F.size(windows) < PACKED, packed(windows)).otherwise(exact(windows)),
             lambda p: F.sort_array(
                 F.array_distinct(F.concat(F.transform(p, lambda x: _shifted(x, F.lit(32))), F.transform(p, lambda x: x.bitwiseAND(both - 1))))
             ),
@@ -149,12 +160,13 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_RATIO, text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that `quality_rules` keeps."""
+    """The rows of `docs`, all columns, that `quality_rules` keeps. Null, empty and wordless texts go; each of repeated rows and of
+    rows with a null key is judged by its text. Empty table: no rows. Columns may have any name."""
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # a name that no table has, for the one column that is added
-    rows = docs.withColumn("_quality_ratios", _ratios(texts, trusted))
+    ratios = free_name(docs, "ratios")
+    rows = docs.withColumn(ratios, _ratios(texts, trusted))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return rows.filter(_verdict(whole, F.col("_quality_ratios"), least_ratio)["kept"]).drop("_quality_ratios")
+    return rows.filter(_verdict(whole, F.col(ratios), least_ratio)["kept"]).drop(ratios)
 
 
 def _ratios(texts: DataFrame, trusted: DataFrame) -> Column:
