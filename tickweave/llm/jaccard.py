@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import keyed_text, slices, written
+from tickweave.llm.common import free_name, keyed_text, slices, written
 from tickweave.llm.components import components
 from tickweave.llm.shingles import mix, shingle_sets
 
@@ -85,7 +85,7 @@ def _sketches(forms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def classes_of(texts: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n, cid and check (fingerprints), sketch, small (the set itself, if it may be called small); and, now
+    """One row per document: doc_id, h (a hash of the text), n, cid and check (fingerprints), sketch, small (the set itself, if it may be called small); and, now
     and then, lists of shingle cells with the number of texts that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def classes_of(texts: DataFrame) -> DataFrame:
             noted = [cells.tolist()] + [None] * (rows - 1)
             yield pa.record_batch(
                 {
-                    "doc_id": batch.column(0), "n": pa.array(counts), "cid": pa.array(cid), "check": pa.array(check),
+                    "doc_id": batch.column(0), "h": batch.column(2), "n": pa.array(counts), "cid": pa.array(cid), "check": pa.array(check),
                     "sketch": _binary(sketch, sizes),
                     "small": _binary(forms[tiny], np.where(counts <= SMALL_MOST, counts, 0) * 8),
                     "cells": pa.array(noted, type=pa.list_(pa.int32())),
@@ -109,8 +109,8 @@ def classes_of(texts: DataFrame) -> DataFrame:
                 }
             )
 
-    return texts.mapInArrow(
-        run, "doc_id long, n long, cid long, check long, sketch binary, small binary, cells array<int>, times array<long>"
+    return texts.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
+        run, "doc_id long, h long, n long, cid long, check long, sketch binary, small binary, cells array<int>, times array<long>"
     )
 
 
@@ -243,8 +243,9 @@ def _rarest(batch: pa.RecordBatch, common: np.ndarray, least: int) -> np.ndarray
 
 def _kinds(facts: DataFrame, entries: DataFrame) -> DataFrame:
     """(cid, n, sketch, doc_id) of the classes in inverted lists; doc_id: one document of each."""
-    used = facts.join(entries.select("cid").distinct(), "cid", "left_semi")
-    return used.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    # copies shrink to their class where they are read, before anything is joined
+    classes = facts.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    return classes.join(entries.select("cid").distinct(), "cid", "left_semi")
 
 
 def _maybe_in(keys: DataFrame, column: str) -> np.ndarray:
@@ -392,6 +393,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Null and empty texts, and texts without words: no shingles, linked with nothing. Rows of one key are documents of their own.
     Null key: shingles are counted, component_id is null, and the row links nothing. Empty table: no rows.
     """
+    return _grouped(docs, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """`jaccard_components` with h (a hash of the text) and group (what a component is called; null for a document without links)."""
     texts = keyed_text(docs, key, text)
     facts = written(classes_of(texts), "sets")
     known = facts.filter("doc_id IS NOT NULL AND n > 0")
@@ -422,19 +428,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classes = known.groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = classes.select("cid", "label").join(least, "label").select("cid", "component_id")
-    rows = facts.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid"))
-    return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.select("cid", "label").join(least, "label")
+    rows = facts.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid"))
+    named = rows.join(named, "cid", "left")
+    return named.select("doc_id", "h", F.col("label").alias("group"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose key is the smallest of its group in `jaccard_components`; rows with a null key stay.
+    """The rows of `docs`, all columns, less all but one of each group of `jaccard_components`: the one with the smallest key.
 
-    Of rows that repeat such a key and its text one stays.
+    Where a key is on rows of different texts, its text with the smallest hash stands for the group; each row belongs to the group of
+    its own text. Of rows that repeat a kept key and its text one stays. Rows with a null key stay, and so does one row for every key and
+    text without words (null counts as empty). Empty table: no rows. Columns may have any name.
     """
-    groups = written(jaccard_components(docs, key, text), "groups").filter("doc_id = component_id")
-    keys = groups.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("n"))
-    own = F.col(key).cast("long") == F.col("_kept")
-    single = docs.join(keys.filter("n = 1").select("_kept"), own, "left_semi")
-    repeated = docs.join(keys.filter("n > 1").select("_kept"), own, "left_semi").dropDuplicates([key, text])
+    groups = written(_grouped(docs, key, text), "groups").filter("doc_id IS NOT NULL")
+    chosen = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("c")).select("c.*")
+    alone = groups.filter("group IS NULL").select("doc_id", "h").distinct()
+    counts = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    kept, hashed = free_name(docs, "kept"), free_name(docs, "hashed")
+    keys = counts.join(chosen.unionByName(alone), ["doc_id", "h"], "left_semi").select(F.col("doc_id").alias(kept), F.col("h").alias(hashed), "n")
+    text_hash = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    own = (F.col(key).cast("long") == F.col(kept)) & (text_hash == F.col(hashed))
+    single = docs.join(keys.filter("n = 1").select(kept, hashed), own, "left_semi")
+    repeated = docs.join(keys.filter("n > 1").select(kept, hashed), own, "left_semi")
+    repeated = repeated.withColumn(hashed, text_hash).dropDuplicates([key, hashed]).drop(hashed)
     return single.unionByName(repeated).unionByName(docs.filter(F.col(key).isNull()))

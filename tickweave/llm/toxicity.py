@@ -524,7 +524,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", may_learn: Column | None = None) -> DataFrame:
-    """The rows of `docs`, all columns, that `toxicity_scores` doesn't predict toxic."""
+    """The rows of `docs`, all columns, that `toxicity_scores` doesn't predict toxic. Null, empty and wordless texts have the score of a
+    text without evidence; each of repeated rows and of rows with a null key is judged. Empty table: no rows. Columns may have any name."""
     scorer = fit(docs, labels, key, text, label, may_learn)
     at = docs.columns.index(text)
 
