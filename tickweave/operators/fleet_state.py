@@ -7,6 +7,7 @@ plain joins: the optimizer broadcasts a side when its measured size allows it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweave.functions import fleet
@@ -339,6 +340,45 @@ def angle_pairs_topk(pairs: DataFrame, k: int = 10) -> DataFrame:
     return pairs.orderBy(F.desc("value"), "pair").limit(k)
 
 
+def widest_pairs(online: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` widest of :func:`device_pairs`, without forming all of them.
+
+    Devices are numbered round the circle by angle. A device's widest partners stand nearest to the point opposite to it, so it
+    meets the ``2 k`` before and after that point alone: the pairs formed are ``4 k`` for each device. Of devices with one angle
+    the first ``k + 1`` are enough, as all of them make the same angles. Angles that differ by less than the second decimal
+    of a pair's value may change places with their equals.
+    """
+    at = F.pmod(F.col("va_deg").cast("double"), F.lit(360.0))
+    same = W.partitionBy("_at").orderBy("pmu_id")
+    one = online.select("pmu_id", device_slug("pmu_id").alias("slug"), "label", "region", "va_deg", at.alias("_at")).filter("_at IS NOT NULL")
+    one = one.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k + 1).drop("_r")
+    # marks of devices and of the points opposite to them, counted degree by degree: how many devices stand before each
+    marks = one.select(F.col("_at").alias("_mark"), F.lit(1).alias("_is"), "pmu_id").unionByName(
+        one.select(F.pmod(F.col("_at") + 180, F.lit(360.0)).alias("_mark"), F.lit(0).alias("_is"), "pmu_id")
+    )
+    marks = marks.withColumn("_chunk", F.floor("_mark"))
+    sizes = marks.groupBy("_chunk").agg(F.sum("_is").alias("_n"))
+    offsets = sizes.select("_chunk", F.coalesce(F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_chunk").orderBy("_mark", "_is", "pmu_id").rowsBetween(W.unboundedPreceding, -1)
+    placed = marks.withColumn("_own", F.coalesce(F.sum("_is").over(inside), F.lit(0))).join(offsets, "_chunk")
+    placed = placed.select("pmu_id", "_is", (F.col("_before") + F.col("_own")).alias("_pos"))
+    n = one.agg(F.count(F.lit(1))).scalar()
+    near = F.explode(F.sequence(F.lit(-2 * k), F.lit(2 * k - 1)))
+    meets = placed.filter("_is = 0").select("pmu_id", "_pos", near.alias("_step")).select("pmu_id", F.pmod(F.col("_pos") + F.col("_step"), n).alias("_pos"))
+    others = placed.filter("_is = 1").select("_pos", F.col("pmu_id").alias("_other"))
+    met = meets.join(others, "_pos").filter("pmu_id <> _other")
+    met = met.select(F.least("pmu_id", "_other").alias("pmu_id"), F.greatest("pmu_id", "_other").alias("_other")).distinct()
+    b = one.select(*(F.col(c).alias(f"o_{c}") for c in ("pmu_id", "slug", "label", "region", "va_deg")))
+    pairs = met.join(one, "pmu_id").join(b, F.col("_other") == F.col("o_pmu_id")).select(
+        F.concat_ws("__", "slug", "o_slug").alias("pair"),
+        F.concat("label", F.lit(PAIR_MARK), "o_label").alias("name"),
+        F.round(angle_delta("va_deg", F.col("o_va_deg")), 2).alias("value"),
+        F.col("region").alias("region_a"),
+        F.col("o_region").alias("region_b"),
+    )
+    return angle_pairs_topk(pairs, k)
+
+
 # ------------------------------------------------------------------ advice
 
 

@@ -313,7 +313,7 @@ def _(spark, sf):
 
 @query("angle_pairs_topk", "SELECT pair, name, value FROM pairs ORDER BY value DESC, pair LIMIT 10")
 def _(spark, sf):
-    return fs.angle_pairs_topk(fs.device_pairs(kept_fleet(spark, sf).filter("connected"))).select("pair", "name", "value")
+    return fs.widest_pairs(kept_fleet(spark, sf).filter("connected")).select("pair", "name", "value")
 
 
 @query(
