@@ -94,6 +94,25 @@ def chunked_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: lis
     return chunked.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(apply, out_schema).drop("_chunk")
 
 
+def fold_end(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], width: int, fold: Fold, field: T.StructField, value: Callable[[object], object]) -> DataFrame:
+    """One row per key: what the fold's state says after all its rows. Chunks are summarised, but not gone through again."""
+    part = [*keys, "_chunk"]
+    chunked = rows.withColumn("_chunk", chunk_of(order[0], width)).select(*dict.fromkeys([*part, *order, *inputs]))
+    text_schema = T.StructType([*(chunked.schema[c] for c in part), T.StructField("_text", T.StringType())])
+
+    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[part].head(1).assign(_text=json.dumps(fold.summarize(pdf.sort_values(order))))
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for text in pdf.sort_values("_chunk")["_text"]:
+            state = fold.advance(state, json.loads(text))
+        return pdf[keys].head(1).assign(**{field.name: value(state)})
+
+    summaries = chunked.groupBy(*part).applyInPandas(summarize, text_schema)
+    return summaries.groupBy(*keys).applyInPandas(last, T.StructType([*(chunked.schema[c] for c in keys), field]))
+
+
 # ------------------------------------------------------------------ clock offset
 
 
@@ -493,13 +512,25 @@ def fps_estimate(readings: DataFrame, width: int = ARRIVALS) -> DataFrame:
     A window starts anew after a silence or when stamps run backwards. ``data_rate``, where
     present, is the configured rate estimates snap to.
     """
+    return chunked_fold(_paced(readings, width), ["pmu_id"], ["arrival_seq"], _PACE, width, RATE).drop("_gap", "_new", "_cfg")
+
+
+def measured_fps(readings: DataFrame, width: int = ARRIVALS) -> DataFrame:
+    """pmu_id, measured_fps: the rate that :func:`fps_estimate` has come to at a device's last frame."""
+    field = T.StructField("measured_fps", T.DoubleType())
+    narrow = [c for c in ("pmu_id", "arrival_seq", "received_us", "meas_us", "data_rate") if c in readings.columns]
+    return fold_end(_paced(readings.select(*narrow), width), ["pmu_id"], ["arrival_seq"], _PACE, width, RATE, field, lambda state: (state or [None, 0, 0.0])[2])
+
+
+_PACE = ["meas_us", "_gap", "_new", "_cfg"]
+
+
+def _paced(readings: DataFrame, width: int) -> DataFrame:
     cfg = fleet.cfg_rate_fps("data_rate") if "data_rate" in readings.columns else F.lit(0.0)
     seen = with_previous(readings, ["pmu_id"], ["arrival_seq"], ["received_us", "meas_us"], width)
-    rows = (
+    return (
         seen.withColumn("_gap", F.coalesce(F.col("received_us") - F.col("prev_received_us"), F.lit(0)).cast("double"))
         .withColumn("_new", F.coalesce(F.col("meas_us") != F.col("prev_meas_us"), F.lit(True)))
         .withColumn("_cfg", cfg)
         .drop("prev_received_us", "prev_meas_us", "prev_seen")
     )
-    inputs = ["meas_us", "_gap", "_new", "_cfg"]
-    return chunked_fold(rows, ["pmu_id"], ["arrival_seq"], inputs, width, RATE).drop("_gap", "_new", "_cfg")

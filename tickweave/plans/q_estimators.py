@@ -58,6 +58,7 @@ _RATES = """WITH RECURSIVE {views}, walk AS (
       p.gap > 750000 OR p.meas_us < w.start AS restart
     FROM walk w JOIN paced p ON p.pmu_id = w.pmu_id AND p.n = w.n + 1)))
 """
+sql_view("measured_rates", _recursive("SELECT pmu_id, arg_max(rate, arrival_seq)::DOUBLE AS rate FROM walk GROUP BY pmu_id", _RATES, "paced"))
 # jump from kept row to the first one a gap later
 _KEPT = """WITH RECURSIVE {views}, walk AS (
   SELECT k, gap, min(t) AS t FROM timed GROUP BY k, gap

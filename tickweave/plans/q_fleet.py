@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickweave.operators import estimators, latency
 from tickweave.operators import fleet_state as fs
-from tickweave.operators import latency
+from tickweave.plans import q_estimators  # noqa: F401  (its view of measured rates)
 from tickweave.plans import views as v
 from tickweave.plans.registry import query, r6, sql_view
 from tickweave.session import materialize
@@ -23,8 +24,8 @@ def states(spark, sf):
 
 def fleet_rows(spark, sf):
     devices = fs.registry_state_join(v.registry(spark, sf), states(spark, sf))
-    # a stand-in for the rate estimate: derived from each device's frame count
-    rated = devices.withColumn("approx_fps", (F.col("total_frames") % 60).cast("double"))
+    # the rate that the estimate has come to over the device's dense frames
+    rated = devices.join(estimators.measured_fps(v.frames_dense(spark, sf)), "pmu_id", "left").withColumn("approx_fps", F.coalesce("measured_fps", F.lit(0.0))).drop("measured_fps")
     return fs.fleet_table(rated, latency.last_hops(v.hop_samples(spark, sf)), fs.jitter(v.accepted(spark, sf)))
 
 
@@ -81,12 +82,12 @@ SELECT r.name AS pmu_id, r.active, r.station, r.region, r.vendor, r.voltage, r.i
   CASE WHEN s.pmu_id IS NULL THEN 0 ELSE 50 END AS fnom, coalesce(s.freq, 0) AS freq, coalesce(s.freq - 50, 0) AS freq_dev,
   coalesce(s.rocof, 0) AS rocof, CASE WHEN s.connected THEN s.va_mag ELSE 0 END AS va_mag, CASE WHEN s.connected THEN s.va_deg ELSE 0 END AS va_deg,
   coalesce((s.stat >> 14) & 3 <> 0, FALSE) AS stat_data_error, h.* EXCLUDE (pmu_id),
-  CASE WHEN s.total_frames % 60 > 0 THEN (s.total_frames % 60)::DOUBLE WHEN r.data_rate > 0 THEN r.data_rate ELSE 1.0::DOUBLE / -r.data_rate END AS approx_fps,
+  CASE WHEN m.rate > 0 THEN m.rate WHEN r.data_rate > 0 THEN r.data_rate ELSE 1.0::DOUBLE / -r.data_rate END AS approx_fps,
   CASE WHEN r.data_rate > 0 THEN r.data_rate ELSE 1.0::DOUBLE / -r.data_rate END AS cfg_fps,
   CASE WHEN s.connected THEN coalesce(t.jitter, 2) ELSE 99 END AS jitter,
   r.station || ' (:4712)' AS label
 FROM registry r LEFT JOIN live_state s ON s.pmu_id = r.name LEFT JOIN rejects j ON j.pmu_id = r.name
-  LEFT JOIN hops_now h ON h.pmu_id = r.name LEFT JOIN jitters t ON t.pmu_id = r.name
+  LEFT JOIN hops_now h ON h.pmu_id = r.name LEFT JOIN jitters t ON t.pmu_id = r.name LEFT JOIN measured_rates m ON m.pmu_id = r.name
 """,
 )
 sql_view(
