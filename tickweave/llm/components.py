@@ -15,8 +15,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy("a").agg(F.min("b").alias("m"))
-    # written, so that both sides of the join are plain exchanges, which can be split where a node has many links
-    low = written(low.select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "smallest")
+    low = low.select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
     if large:
         linked = both.filter("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -29,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long nodes to (node, label): the smallest node that each can reach. Nodes without a link are left out.
 
     Every round writes its links to the shared folder; rounds grow with the logarithm of the largest component. A node with many
-    links meets one row (its smallest neighbour) in each join; that row comes from a written table, so a skewed join can be split.
+    links meets one row (its smallest neighbour) in each join; as that side of the join is an aggregate, the links of one node
+    meet it in one task. Writing that side each time would let the join be split, but doubles the jobs of a round.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
