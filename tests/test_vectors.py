@@ -169,3 +169,16 @@ def test_quality_edges(spark):
     df = spark.createDataFrame(rows, "pmu_id string, arrival_seq long, received_us long, quality_ok boolean, reject_reason string")
     got = [(r.pmu_id, r.type) for r in quality.quality_edges(df).orderBy("arrival_seq").collect()]
     assert got == [("a", "quality_degraded"), ("a", "quality_recovered")]
+
+
+def test_display_labels_computed_once(spark):
+    names = [["IA", "bus.av", None, "Y", "x:V2", "VB", "q:", ""], [], None]
+    rows = spark.createDataFrame([(x,) for x in names], "names array<string>").withColumn("known", layout.display_labels("names"))
+    want = (["VA", "VB", "VB", "IA", None, "Y", "q:", ""], "IA, VA (bus.av), Y, VB (x:V2), VB, q:, ")
+    for known in (None, "known"):
+        got = rows.select(F.col("names"), F.transform(layout.display_order("names", known), lambda t: t["label"]), layout.cfg_list_text("names", known))
+        assert [tuple(r)[1:] for r in got.collect()] == [want, ([], ""), (None, None)]
+    # a name is stripped once for either form, however often its label is mentioned
+    for form in (layout.display_order("names"), layout.cfg_list_text("names")):
+        plan = rows.select(form.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.split("Project")[1].count("regexp_replace(") == 1

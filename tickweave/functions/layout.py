@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.bits import FRACTION_MASK, bits_at
-from tickweave.functions.phasor import STANDARD_LABELS, display_label
+from tickweave.functions.phasor import STANDARD_LABELS, display_label, once
 
 # --- fixed values: FORMAT word bits and the unit scale ---
 POLAR_BIT, PHASOR_FLOAT_BIT, ANALOG_FLOAT_BIT, FREQ_FLOAT_BIT = 0, 1, 2, 3
@@ -100,34 +100,31 @@ def channels_json() -> Column:
     )
 
 
-def display_order(names) -> Column:
-    """ARRAY<STRUCT<label, name, position>> in chart order: VA..IC, then the rest as given."""
+def display_labels(names) -> Column:
+    """The label of each name, NULL where unknown; for those who want both forms below, so that names are looked at once."""
+    return F.transform(_col(names), display_label)
+
+
+def display_order(names, labels=None) -> Column:
+    """ARRAY<STRUCT<label, name, position>> in chart order: VA..IC, then the rest as given. labels: ``display_labels(names)``."""
     standard = F.array(*map(F.lit, STANDARD_LABELS))
-    tagged = F.transform(
-        _col(names),
-        lambda n, i: F.struct(
-            F.when(
-                F.array_contains(standard, F.coalesce(display_label(n), n)),
-                F.array_position(standard, F.coalesce(display_label(n), n)).cast("int") - 1,
-            )
-            .otherwise(100 + i)
-            .alias("rank"),
-            i.alias("position"),
-            F.coalesce(display_label(n), n).alias("label"),
-            n.alias("name"),
-        ),
-    )
-    return F.transform(F.array_sort(tagged), lambda t: F.struct(t["label"].alias("label"), t["name"].alias("name"), t["position"].alias("position")))
-
-
-def cfg_list_text(names) -> Column:
-    """``VA (BUS.AV), Other`` in layout order, as device panels print it."""
-    return F.array_join(
-        F.transform(
-            _col(names),
-            lambda n: F.when(
-                display_label(n).isNotNull() & (display_label(n) != n), F.concat(display_label(n), F.lit(" ("), n, F.lit(")"))
-            ).otherwise(n),
-        ),
-        ", ",
-    )
+
+    def tagged(label: Column, n: Column, i: Column) -> Column:
+        place = F.array_position(standard, label).cast("int")
+        return F.struct(
+            F.when(place > 0, place - 1).otherwise(100 + i).alias("rank"), i.alias("position"), label.alias("label"), n.alias("name")
+        )
+
+    label_of = lambda n, i: display_label(n) if labels is None else F.get(_col(labels), i)
+    ordered = F.transform(_col(names), lambda n, i: once(F.coalesce(label_of(n, i), n), lambda label: tagged(label, n, i)))
+    return F.transform(F.array_sort(ordered), lambda t: F.struct(t["label"].alias("label"), t["name"].alias("name"), t["position"].alias("position")))
+
+
+def cfg_list_text(names, labels=None) -> Column:
+    """``VA (BUS.AV), Other`` in layout order, as device panels print it. labels: ``display_labels(names)``."""
+
+    def shown(label: Column, n: Column) -> Column:
+        return F.when(label.isNotNull() & (label != n), F.concat(label, F.lit(" ("), n, F.lit(")"))).otherwise(n)
+
+    label_of = lambda n, i: display_label(n) if labels is None else F.get(_col(labels), i)
+    return F.array_join(F.transform(_col(names), lambda n, i: once(label_of(n, i), lambda label: shown(label, n))), ", ")

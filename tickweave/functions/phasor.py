@@ -98,20 +98,32 @@ def power_summary(analogs) -> dict[str, Column]:
     }
 
 
+def once(value, use) -> Column:
+    """``use(value)`` with the value computed once per row: inside a lambda each mention of an expression is computed anew."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _bare_name(name, strip_pattern: str) -> Column:
+    """Upper-cased and stripped; of names with colons what follows the last one, unless that is nothing."""
     n = F.upper(F.trim(_col(name)))
-    tail = F.substring_index(n, ":", -1)
-    n = F.when(F.length(tail) > 0, tail).otherwise(n)
+    n = F.when(n.endswith(":"), n).otherwise(F.substring_index(n, ":", -1))
     return F.regexp_replace(n, strip_pattern, "")
 
 
 def _first_class(bare: Column, rules: list[tuple[str, str]]) -> Column:
     """The class of the first pattern found; exact aliases come before ``rules``."""
     aliases = [(cls, f"^({'|'.join(names)})$") for cls, names in CHANNEL_ALIASES.items()]
-    out = F.when(bare == "", F.lit(""))
-    for cls, pattern in [*aliases, *rules]:
-        out = out.when(bare.rlike(pattern), cls)
-    return out.otherwise(F.lit(""))
+
+    def first(bare: Column) -> Column:
+        out = F.when(bare == "", F.lit(""))
+        for cls, pattern in aliases:
+            out = out.when(bare.rlike(pattern), cls)
+        out = out.when(~bare.contains("V") & ~bare.contains("I"), F.lit(""))  # every rule asks for one of them
+        for cls, pattern in rules:
+            out = out.when(bare.rlike(pattern), cls)
+        return out.otherwise(F.lit(""))
+
+    return once(bare, first)
 
 
 def _letter_rule(kind: str, phase: str) -> str:
@@ -143,7 +155,7 @@ def display_label(name) -> Column:
     """
     bare = _bare_name(name, r"[\s_.-]")
     rules = [((k + p).lower(), f"{_letter_rule(k, p)}|{_digit_rule(k, d)}") for k, p, d in _PHASES]
-    return F.nullif(F.upper(_first_class(bare, rules)), F.lit(""))
+    return once(F.upper(_first_class(bare, rules)), lambda label: F.when(label != "", label))
 
 
 SLOTS = ("va", "vb", "vc", "ia")

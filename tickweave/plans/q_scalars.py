@@ -266,11 +266,12 @@ def _(spark, sf):
 def _(spark, sf):
     # unknown names keep their input order, here the reversed one
     names = F.reverse(F.transform("channels", lambda c: c["name"]))
-    labels = F.transform(layout.display_order("names"), lambda t: t["label"])
+    labels = F.transform(layout.display_order("names", "known"), lambda t: t["label"])
     return (
         with_channels(spark, sf)
         .withColumn("names", names)
-        .select("arrival_seq", F.array_join(labels, " ").alias("labels"), layout.cfg_list_text("names").alias("cfg_list"))
+        .withColumn("known", layout.display_labels("names"))
+        .select("arrival_seq", F.array_join(labels, " ").alias("labels"), layout.cfg_list_text("names", "known").alias("cfg_list"))
     )
 
 
