@@ -77,3 +77,27 @@ def test_ties_and_empty_clusters(spark):
 def test_too_large(spark):
     with pytest.raises(Exception, match="don't fit a long"):
         lloyd(table(spark, [(1, [1e6, 0.0])]), dims=2).collect()
+
+
+def test_sums_need_no_stage_of_their_own(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(i % 3, 1) for _ in range(4)]) for i in range(60)]
+    tracker, used = spark.sparkContext.statusTracker(), {}
+    for most in (256, 0):
+        monkeypatch.setattr(centroids, "SUMMED", most)
+        seen = []
+
+        def moved(self, centres, most=most, seen=seen, plain=centroids.Shards.moved):
+            spark.sparkContext.setJobGroup(f"round-{most}", "")
+            try:
+                return plain(self, centres)
+            finally:
+                seen.extend(tracker.getJobIdsForGroup(f"round-{most}"))
+                spark.sparkContext.setJobGroup("other", "")
+
+        with monkeypatch.context() as m:
+            m.setattr(centroids.Shards, "moved", moved)
+            assert rows_of(lloyd(table(spark, rows), k=3, rounds=1, dims=4, shards=2)) == plain(rows, 3, 1, 4, 1024, 3)
+        used[most] = max(len(tracker.getJobInfo(j).stageIds) for j in seen)
+    # vectors dealt, partial distances, names, sums
+    assert used == {256: 4, 0: 5}

@@ -22,6 +22,8 @@ from tickweave.llm.common import written
 
 #: vectors of a block of rows, and blocks of a task
 ROWS, BLOCKS = 2048, 64
+#: tasks whose sums come to the driver as they are; of more tasks they meet by shard first
+SUMMED = 256
 #: whole-number components lie below this, so that a squared distance of 64 of them fits a long
 LARGEST = 1 << 27
 
@@ -114,7 +116,16 @@ class Shards:
             # Python's integers from here on, so that no sum overflows
             return shard, (total.astype(np.int64).astype(object), np.bincount(own, minlength=k).astype(object))
 
-        of_shard = dict(met.map(sums).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), min(self.tasks, shards)).collect())
+        def added(items):
+            own = {}
+            for shard, (total, n) in items:
+                own[shard] = (own[shard][0] + total, own[shard][1] + n) if shard in own else (total, n)
+            return iter(own.items())
+
+        of_task = met.map(sums).mapPartitions(added)
+        if self.tasks > SUMMED:
+            of_task = of_task.reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), min(self.tasks, shards))
+        of_shard = dict(added(of_task.collect()))
         return [
             [np.array([int(x) // int(n) for x in total], dtype=np.int64) if n else old for total, n, old in zip(*of_shard[s], centres[s], strict=True)]
             for s in range(shards)
@@ -133,7 +144,7 @@ def lloyd(
 
     Null keys: the vectors take part, and start a centroid only where others are lacking. Repeated rows count each; for one key with
     several vectors, the smaller vector is the first to start a centroid. No usable vector, or an empty table: no rows. The driver
-    holds k centroids, a sum and a count of each, and nothing that grows with the table.
+    holds k centroids, and in a round a sum and a count of each from SUMMED tasks at most.
     """
     spark = vectors.sparkSession
     raw = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
