@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD_TEXTS, SF, VOCABULARY, crc, documents
-from tickweave.llm import queries
+from tickweave.llm import queries, tokens
 from tickweave.llm.packing import pack
 from tickweave.llm.tokenfiles import decode_ranks, encode_ranks, read_token_files, write_token_files
 from tickweave.llm.tokens import Encoder
@@ -98,3 +98,18 @@ def test_queries_on_the_smallest_tables(spark, library):
         assert p.ids_crc32 == crc(by_doc[p.doc_id][p.start : p.start + p.length])
         covered[p.doc_id] += p.length
     assert covered == {k: len(v) for k, v in by_doc.items()}
+
+
+def test_pieces_are_learned_once(monkeypatch):
+    encoder = Encoder(VOCABULARY)
+    texts = ["Heat*** heat, heat.&& été! été don't don't", "heat été, &&heat don't."]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode(texts)] == want
+    # a word and the signs behind it have numbers of their own, so a word isn't learned again with other signs
+    assert sorted(encoder.known.to_pylist()) == sorted(["", "heat", "***", ",", ".&&", "été", "!", "don't", "&&heat", "don't."])
+    # what is forgotten is learned again
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "TOGETHER", 8)
+    again = [t for t in texts for _ in range(3)]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode(again)] == [ids for ids in want for _ in range(3)]
+    assert len(encoder.known) < 12
