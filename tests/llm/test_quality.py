@@ -63,6 +63,19 @@ def test_long_texts_compare_whole_hashes(spark, monkeypatch):
     assert Counter(tuple(r)[1:7] for r in got) == Counter(base(t) for t in texts)
 
 
+def test_texts_are_cut_by_patterns(spark):
+    docs = documents(spark, [*ODD_TEXTS, *REPEATS, "a$$$ b--c\x0bd\x0ce\u00a0f\u2028g ٣x é\u0301"])
+    text = F.coalesce("text", F.lit(""))
+    spaced = F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "), r"[ \t\n\x0B\f\r]+", " ")), " ")
+    cell = lambda h: h.bitwiseAND(F.lit(quality.CELLS - 1).cast("long")).cast("int")
+    alone = F.transform(F.array_remove(spaced, ""), lambda w: cell(F.xxhash64(w)))
+    for r in docs.select(cells(text).alias("c"), alone.alias("w")).collect():
+        assert r.c[: len(r.w)] == r.w and len(r.c) == max(2 * len(r.w) - 1, 0)
+    # letter by letter through a map is slow
+    plan = docs.select(cells(text), quality.base_counts(text))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
+
+
 def test_empty(spark):
     assert quality_rules(documents(spark, []), documents(spark, [])).count() == 0
     got = quality_rules(documents(spark, ["a b"]), documents(spark, [])).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
@@ -52,12 +53,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def pieces_of(text):
     """Column: what lies between the blanks of a text, empty pieces included."""
-    return F.split(F.translate(text, WORD_BREAKS[1:], " " * (len(WORD_BREAKS) - 1)), " ")
-
-
-def words_of(text):
-    """Column: the words of a text, `[^\\x20\\x09-\\x0D]+`."""
-    return F.array_remove(pieces_of(text), "")
+    return F.split(text, r"[ \t\n\x0B\f\r]")
 
 
 def bind(value, use):
@@ -66,8 +62,9 @@ def bind(value, use):
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of about `most` bytes: Spark bounds a batch's rows, not what they hold. A longer row comes alone."""
+    """Record batches of about `most` bytes, a tenth more at most but for long rows, all of a batch with as many rows."""
     for batch in batches:
-        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        parts = max(1, min(batch.num_rows, math.ceil(batch.nbytes / (1.1 * most))))
+        step = max(1, -(-batch.num_rows // parts))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import WORD_BREAKS, bind, free_name, keyed_text, pieces_of, words_of, written
+from tickweave.llm.common import WORD_BREAKS, bind, free_name, keyed_text, pieces_of, written
 
 #: cells that words and pairs of words are hashed to
 CELLS = 1 << 16  # a power of two
@@ -89,7 +89,7 @@ def base_counts(text: Column) -> Column:
             lambda words: F.struct(
                 F.size(words).cast("long").alias("n_words"),
                 (F.length(text) - F.size(pieces) + 1).cast("long").alias("word_chars"),
-                (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
                 bind(lines, lambda own: (F.size(own) - F.size(F.array_distinct(own))).cast("long")).alias("n_dup_lines"),
                 repeated_words(words).alias("n_repeat_words"),
             ),
@@ -99,7 +99,7 @@ def base_counts(text: Column) -> Column:
 
 def cells(text: Column) -> Column:
     """Where the text's words and pairs of words fall. Runs of symbols are words of their own; case counts."""
-    words = words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "))
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
     cell = lambda h: h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
     return bind(
         F.transform(words, lambda w: F.xxhash64(w)),
