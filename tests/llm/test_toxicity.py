@@ -211,3 +211,26 @@ def test_model_in_files(spark, monkeypatch):
     model = fit(docs, labels(spark, toxic)).model
     assert len(model.words.files) > 1
     assert {r.doc_id: r for r in toxicity_scores(docs, labels(spark, toxic)).collect()} == held
+
+
+def test_files_of_an_earlier_model_go(tmp_path):
+    held = toxicity.Held.of(np.array([3, 1], dtype=np.uint64), np.ones(2), np.ones(2))
+    uris = []
+    for name in ("one/a", "one/b", "two/a"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(held.keys.tobytes() + held.gains.tobytes() + held.support.tobytes())
+        uris.append((tmp_path / name).as_uri())
+    toxicity._kept.clear()
+    for uri, kept in zip(uris, (uris[:1], uris[:2], uris[2:]), strict=True):
+        assert toxicity._file(uri).keys.tolist() == [1, 3] and sorted(toxicity._kept) == kept
+    toxicity._kept.clear()
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes])})
+
+    rows = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 60_000_000 and max(got) < 16_000_000

@@ -87,7 +87,7 @@ _kept_lock = threading.Lock()
 
 
 def _file(uri: str) -> Held:
-    """A file of the model; a worker keeps KEPT bytes of them for its later batches and tasks."""
+    """A file of the model; a worker keeps KEPT bytes of them for its later batches and tasks, and none of an earlier model."""
     if uri in _kept:
         return _kept[uri]
     with reader(uri) as source:
@@ -95,6 +95,8 @@ def _file(uri: str) -> Held:
     n = len(data) // 16
     held = Held(np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<f4", n, 12 * n))
     with _kept_lock:
+        for old in [x for x in _kept if x.rpartition("/")[0] != uri.rpartition("/")[0]]:
+            del _kept[old]
         if 16 * (n + sum(len(h.keys) for h in _kept.values())) <= KEPT:
             _kept[uri] = held
     return held

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows for Python tasks: each batch is held outside the heap by the JVM and again by the worker
+    "spark.sql.execution.arrow.maxBytesPerBatch": "12m",
     "spark.sql.parquet.compression.codec": "zstd",
     # list hourly partition folders with a bounded number of tasks
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
