@@ -171,6 +171,69 @@ def test_live_events_come_when_they_happen():
     assert device.out[1][1:] == ("left_live", 2_900_000, 500_000, 2)
 
 
+class Counted(Map):
+    calls = 0
+
+
+def _counted(name):
+    def call(self, *args):
+        Counted.calls += 1
+        return getattr(Map, name)(self, *args)
+
+    return call
+
+
+for _name in ("containsKey", "getValue", "updateValue", "removeKey"):
+    setattr(Counted, _name, _counted(_name))
+
+
+def test_sessions_ask_state_by_pages_not_by_frames(monkeypatch):
+    monkeypatch.setattr(Handle, "getMapState", lambda self, name, schema, ttl=None: self.states.setdefault(name, Counted()))
+    monkeypatch.setattr(Counted, "calls", 0)
+    device, n = Device(Sessions(1_000_000)), 20_000
+    # a session of its own for each frame, in slots of their own
+    for at in range(0, n, 5000):
+        device.send([pd.DataFrame({"received_us": [k * 7_000_000 for k in range(at, at + 5000)], "patience_us": 1_000_000})])
+        device.pass_((at + 4000) * 7_000)
+    device.pass_(10**9)
+    assert len(device.out) == 2 * n and not device.handle.states["waiting"]
+    assert device.handle.states["waiting"].most < 10 and Counted.calls < 40
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_sessions_from_pages_against_a_loop(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(stateful, "RUN", rng.choice([8, 16, 64]), raising=False)
+    monkeypatch.setattr(stateful, "LEAF", rng.choice([2, 4, 8]), raising=False)
+    monkeypatch.setattr(stateful, "TOGETHER", rng.choice([1, 3, 100]))
+    delay, device = rng.choice([0, 2_000_000, 30_000_000]), Device(Sessions(rng.choice([1_000_000, 250_000])))
+    patience = {t: rng.choice([300_000, 700_000, 1_500_000]) for t in (rng.randrange(0, 400) * 100_000 + rng.randrange(3) for _ in range(300))}
+    rows = sorted([*patience, *rng.choices([*patience], k=40)], key=lambda t: t + rng.randrange(delay + 1))
+    top, taken = 0, []
+    while rows:
+        size = rng.choice([1, 5, 90])
+        part, rows = [t for t in rows[:size] if t >= top * 1000], rows[size:]
+        taken += part
+        frames = [pd.DataFrame([(t, patience[t]) for t in part[k::3]], columns=["received_us", "patience_us"]) for k in range(3)]
+        device.send([f for f in frames if len(f)])
+        top = max([top, *((t - delay) // 1000 for t in part)])
+        device.pass_(top)
+        assert len(device.handle.timers) <= 1
+    device.pass_(10**7)
+    want, live = [], None
+    for t in sorted(taken):
+        if live and t - live[1] > live[2]:
+            want.append(("d", "left_live", live[1] + live[2], live[0], live[3]))
+            live = None
+        if not live:
+            want.append(("d", "became_live", t, t, 0))
+        live = (live[0] if live else t, t, patience[t], live[3] + 1 if live else 1)
+    want.append(("d", "left_live", live[1] + live[2], live[0], live[3]))
+    assert device.out == want
+    # nothing left
+    assert not device.handle.timers and not any(s if isinstance(s, Map) else s.exists() and s.get()[0] is not None for n, s in device.handle.states.items())
+
+
 def test_sorter_holds_pages(monkeypatch):
     monkeypatch.setattr(stateful, "SORTED", 20)
     monkeypatch.setattr(stateful, "PAGE", 4)

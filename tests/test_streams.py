@@ -111,6 +111,16 @@ def test_session_events_equal_batch(spark, run):
     assert sorted(map(tuple, events)) == sorted(want) and len(events) > 1000
 
 
+def test_frames_without_an_arrival_time_belong_to_no_session(spark, run):
+    rows = spark.createDataFrame([(k, ["a", None][k % 2], None if k % 5 == 0 else k * 10_000_000) for k in range(60)], "arrival_seq long, pmu_id string, received_us long")
+    run.take(jobs.stream_sessions(run.land(rows), "0 seconds"), AS_IS)
+    got = sorted(map(tuple, run.table().select("time_us", "type", "pmu_id", "frames").collect()))
+    want = [(k * 10_000_000, k % 2) for k in range(60) if k % 5]
+    events = [e for t, odd in want for e in ((t, "became_live", [None, "a"][1 - odd], 0), (t + 1_000_000, "left_live", [None, "a"][1 - odd], 1))]
+    # the last frame is at the watermark, and no later one moves it
+    assert got == sorted(events)[:-2] and len(got) > 90
+
+
 def test_history_is_written_once(spark, run, tmp_path):
     rows = v.frames(spark, SF)
     stream = run.land(rows)

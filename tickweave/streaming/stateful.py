@@ -9,9 +9,9 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Callable, Iterator
-from io import BytesIO
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from tickweave.operators.align import normalize_period_us
 
 #: rows of a device that are ordered in memory, rows of a page of ordered ones, rows given on together
 SORTED, PAGE, TOGETHER = 16_384, 512, 8_192
+#: the same for rows that are two numbers: those ordered in memory, those of a page
+RUN, LEAF = 262_144, 8_192
 
 
 def records(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
@@ -108,46 +110,106 @@ class Due:
 
 
 class Waiting:
-    """Rows of a device by slots of event time, until the watermark has passed a slot: then they come out in order."""
+    """Rows of a device, a time and a number each, until the watermark has passed them: then they come out in order.
 
-    def __init__(self, handle: StatefulProcessorHandle, width_us: int) -> None:
-        self.slots, self.width = handle.getMapState("waiting", "slot long", "rows binary"), width_us
+    Rows lie in pages, each in order of its own. A list says of each page its number, its rows, how many of them have come out, and
+    the times of the next and of the last one, so that a page is read when its next row is due and written once.
+    """
 
-    def put(self, rows: Iterator[tuple]) -> int | None:
-        """Keeps rows, each beginning with its time; the end of their first slot."""
-        first, held, n = None, {}, 0
-        for row in rows:
-            slot = int(row[0]) // self.width
-            held.setdefault(slot, []).append(row)
-            n += 1
-            if n == SORTED:
-                first = self._flush(held, first)
-                held, n = {}, 0
-        first = self._flush(held, first)
-        return None if first is None else (first + 1) * self.width - 1
-
-    def _flush(self, held: dict[int, list[tuple]], first: int | None) -> int | None:
-        for slot, rows in held.items():
-            before = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
-            self.slots.updateValue((slot,), ((before[0] if before else b"") + pickle.dumps(rows),))
-            first = slot if first is None else min(slot, first)
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.pages, self.list = handle.getMapState("waiting", "page int", "rows binary"), handle.getValueState("waiting_pages", "pages binary")
+
+    def _listed(self) -> np.ndarray:
+        return np.frombuffer(self.list.get()[0] if self.list.exists() else b"", np.int64).reshape(-1, 5)
+
+    def _keep(self, listed: np.ndarray) -> None:
+        if len(listed):
+            self.list.update((listed.tobytes(),))
+        elif self.list.exists():
+            self.list.clear()
+
+    def _load(self, page: np.ndarray) -> np.ndarray:
+        """Rows of a page that haven't come out."""
+        (rows,) = self.pages.getValue((int(page[0]),))
+        return np.frombuffer(rows, np.int64).reshape(-1, 2)[page[2] :]
+
+    def put(self, parts: Iterator[np.ndarray]) -> int | None:
+        """Keeps rows; the time of the first one."""
+        listed = self._listed()
+        left = listed[:, 1] - listed[:, 2]
+        # what is left of small pages is written with the new rows, so that small batches don't leave a page each
+        small = np.flatnonzero((left < LEAF // 2) & (np.cumsum(np.where(left < LEAF // 2, left, 0)) < RUN))
+        held, n, first, found = [], 0, None, []
+        number = int(listed[:, 0].max(initial=-1)) + 1
+        for rows in parts:
+            if not len(rows):
+                continue
+            first = min(int(rows[:, 0].min()), first if first is not None else int(rows[0, 0]))
+            held.append(rows)
+            n += len(rows)
+            if n >= RUN:
+                run = np.concatenate(held)
+                full = n // LEAF * LEAF
+                found += self._write(run[:full], number + len(found))
+                held, n = [run[full:]], n - full
+        if first is None:
+            return None
+        if n:
+            run = np.concatenate([*held, *(self._load(listed[k]) for k in small)])
+            found += self._write(run, number + len(found))
+            for k in small:
+                self.pages.removeKey((int(listed[k, 0]),))
+            listed = np.delete(listed, small, axis=0)
+        self._keep(np.concatenate([listed, np.array(found, np.int64).reshape(-1, 5)]))
         return first
 
-    def passed(self, watermark_us: int) -> Iterator[tuple]:
-        """Rows of the slots that end before a time, in order."""
-        for slot in sorted(k[0] for k in self.slots.keys()):  # noqa: SIM118
-            if (slot + 1) * self.width > watermark_us:
-                return
-            data = BytesIO(self.slots.getValue((slot,))[0])
-            rows: list[tuple] = []
-            while data.tell() < len(data.getbuffer()):
-                rows += pickle.load(data)
-            self.slots.removeKey((slot,))
-            yield from sorted(rows)
-
-    def next_end(self) -> int | None:
-        slots = [k[0] for k in self.slots.keys()]  # noqa: SIM118
-        return (min(slots) + 1) * self.width - 1 if slots else None
+    def _write(self, rows: np.ndarray, number: int) -> list[tuple]:
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        found = []
+        for k, at in enumerate(range(0, len(rows), LEAF)):
+            page = rows[at : at + LEAF]
+            self.pages.updateValue((number + k,), (page.tobytes(),))
+            found.append((number + k, len(page), 0, page[0, 0], page[-1, 0]))
+        return found
+
+    def passed(self, until_us: int) -> Iterator[np.ndarray]:
+        """Rows before a time, in order, in parts; rows of equal times come in one part."""
+        listed = self._listed().copy()
+        ahead = [k for k in np.argsort(listed[:, 3], kind="stable") if listed[k, 3] < until_us][::-1]
+        if not ahead:
+            return
+        read: dict[int, np.ndarray] = {}
+        gone = []
+        while ahead or read:
+            # up to the end of the page that ends first, once all that begin before it have been read
+            upto = min((listed[k, 4] for k in read), default=until_us)
+            while ahead and (not read or listed[ahead[-1], 3] <= upto):
+                k = ahead.pop()
+                read[k] = self._load(listed[k])
+                upto = min(upto, listed[k, 4])
+            upto = min(upto, until_us - 1)
+            parts = []
+            for k, rows in list(read.items()):
+                n = int(np.searchsorted(rows[:, 0], upto, side="right"))
+                parts.append(rows[:n])
+                if n == len(rows):
+                    del read[k]
+                    self.pages.removeKey((int(listed[k, 0]),))
+                    gone.append(k)
+                else:
+                    read[k] = rows[n:]
+                    listed[k, 2] += n
+                    listed[k, 3] = rows[n, 0]
+                    if rows[n, 0] >= until_us:
+                        del read[k]
+            together = np.concatenate(parts)
+            yield together[np.lexsort((together[:, 1], together[:, 0]))]
+        self._keep(np.delete(listed, gone, axis=0))
+
+    def next(self) -> int | None:
+        """The time of the first row."""
+        listed = self._listed()
+        return int(listed[:, 3].min()) if len(listed) else None
 
 
 # ------------------------------------------------------------------ estimators
@@ -253,6 +315,38 @@ SESSION_EVENTS = T.StructType(
 )
 
 
+#: the events of a session, by number
+TURNS = np.array(["left_live", "became_live"], object)
+
+
+def session_turns(rows: np.ndarray, live: tuple | None) -> tuple[tuple[np.ndarray, ...], tuple]:
+    """Events of frames in order (time, patience), after a session (first, last, patience, frames) that is open or None.
+
+    Number in TURNS, time, begin and frames of each event; then the session that is open after the last frame.
+    """
+    at, patience = rows[:, 0], rows[:, 1]
+    last = np.concatenate([[live[1] if live else at[0]], at[:-1]])
+    bound = np.concatenate([[live[2] if live else -1], patience[:-1]])
+    starts = np.flatnonzero(at - last > bound)
+    # sessions that go on or begin here, and where their frames begin
+    begun = np.concatenate([np.zeros(1 if live else 0, np.int64), starts])
+    first = at[begun]
+    frames = np.diff(begun, append=len(at))
+    if live:
+        first[0] = live[0]
+        frames[0] += live[3]
+    left = starts if live else starts[1:]
+    told = len(left)
+    # each beginning follows the end before it
+    events = np.empty((4, len(starts), 2), np.int64)
+    events[0] = 0, 1
+    events[1, len(starts) - told :, 0], events[1, :, 1] = last[left] + bound[left], at[starts]
+    events[2, len(starts) - told :, 0], events[2, :, 1] = first[:told], at[starts]
+    events[3, len(starts) - told :, 0], events[3, :, 1] = frames[:told], 0
+    flat = events.reshape(4, -1)[:, 0 if live else 1 :]
+    return tuple(flat), (int(first[-1]), int(at[-1]), int(patience[-1]), int(frames[-1]))
+
+
 class Sessions(StatefulProcessor):
     """Live and not-live events of a device: the first when its first frame has passed the watermark, the second at the silence deadline."""
 
@@ -260,49 +354,58 @@ class Sessions(StatefulProcessor):
         self.width_us = width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting, self.due = Waiting(handle, self.width_us), Due(handle)
+        self.waiting, self.due = Waiting(handle), Due(handle)
         self.live = handle.getValueState("live", "first long, last long, patience long, frames long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        end = self.waiting.put(records(rows, ["received_us", "patience_us"]))
-        if end is not None:
-            self.due.earliest(end)
+        first = self.waiting.put(frame[["received_us", "patience_us"]].to_numpy(np.int64) for frame in rows)
+        if first is not None:
+            self.due.earliest(self._end(first))
         return iter(())
 
+    def _end(self, at_us: int) -> int:
+        """The end of the slot of a time."""
+        return (at_us // self.width_us + 1) * self.width_us - 1
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.due.fired()
-        return framed(self._passed(key, timerValues.getCurrentWatermarkInMs() * 1000), SESSION_EVENTS)
+        return self._passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _passed(self, key: tuple, watermark_us: int) -> Iterator[tuple]:
+    def _passed(self, key: tuple, watermark_us: int) -> Iterator[pd.DataFrame]:
         live = self.live.get() if self.live.exists() else None
-        for at, patience in self.waiting.passed(watermark_us):
-            if live and at - live[1] > live[2]:
-                yield (key[0], "left_live", live[1] + live[2], live[0], live[3])
-                live = None
-            if live is None:
-                yield (key[0], "became_live", at, at, 0)
-            live = (live[0], at, patience, live[3] + 1) if live else (at, at, patience, 1)
         # no frame before this time is still to come
         known_us = watermark_us // self.width_us * self.width_us
+        for rows in self.waiting.passed(known_us):
+            events, live = session_turns(rows, live)
+            yield from self._framed(key, *events)
         if live and live[1] + live[2] < known_us:
-            yield (key[0], "left_live", live[1] + live[2], live[0], live[3])
+            yield from self._framed(key, *(np.array([x]) for x in (0, live[1] + live[2], live[0], live[3])))
             live = None
         if live:
             self.live.update(live)
         elif self.live.exists():
             self.live.clear()
-        deadline = None if live is None else ((live[1] + live[2]) // self.width_us + 1) * self.width_us - 1
-        waits = [x for x in (self.waiting.next_end(), deadline) if x is not None]
+        first = self.waiting.next()
+        waits = [self._end(x) for x in (first, live and live[1] + live[2]) if x is not None]
         self.due.set(min(waits) if waits else None)
 
+    @staticmethod
+    def _framed(key: tuple, kind: np.ndarray, time: np.ndarray, first: np.ndarray, frames: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(kind), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            names = np.full(len(kind[some]), key[0], object)
+            yield pd.DataFrame(dict(zip(SESSION_EVENTS.names, (names, TURNS[kind[some]], time[some], first[some], frames[some]), strict=True)))
+
 
 def session_events(frames: DataFrame, patience_us: Any, delay: str, width_us: int = 1_000_000) -> DataFrame:
     """`became_live` and `left_live` rows of a stream of frames, each as soon as it is known.
 
     Frames are put in order of their arrival time; those later than `delay` are dropped. A device is live from its first frame on,
-    and leaves `patience_us` (a column) after its last one if none has come: a timer says so, no further frame has to.
+    and leaves `patience_us` (a column) after its last one if none has come: a timer says so, no further frame has to. Frames without
+    an arrival time belong to no session.
     """
-    rows = frames.select("pmu_id", "received_us", patience_us.cast("long").alias("patience_us"), F.timestamp_micros("received_us").alias("_at"))
+    timed = frames.filter(F.col("received_us").isNotNull())
+    rows = timed.select("pmu_id", "received_us", patience_us.cast("long").alias("patience_us"), F.timestamp_micros("received_us").alias("_at"))
     keyed = rows.withWatermark("_at", delay).groupBy("pmu_id")
     return keyed.transformWithStateInPandas(Sessions(width_us), SESSION_EVENTS, "append", "eventTime")
 
